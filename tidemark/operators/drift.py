@@ -28,10 +28,10 @@ class ReferenceBins:
 
     edges: dict[str, tuple[float, ...]]
 
-    def bin_of(self, feature: str, value: Column) -> Column:
-        """Left-closed bin number, null for a missing value."""
-        steps = [F.when(value >= e, 1).otherwise(0) for e in self.edges[feature]]
-        return F.when(value.isNotNull(), sum(steps[1:], steps[0]))
+    def bin_of(self, feature: str) -> str:
+        """SQL for the left-closed bin number of a column, null for a missing value."""
+        steps = " ".join(f"when {feature} < {e!r}D then {i}" for i, e in enumerate(self.edges[feature]))
+        return f"case when {feature} is null then null {steps} else {len(self.edges[feature])} end"
 
     @property
     def usable(self) -> list[str]:
@@ -64,17 +64,13 @@ def fit_reference(reference: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURE
 
 def cells(df: DataFrame, bins: ReferenceBins, categorical: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per value: (by..., feature, bin, level), numeric missing values left out."""
-    parts: list[Column] = []
-    for f in bins.usable:
-        parts += [F.lit(f), bins.bin_of(f, F.col(f)), F.lit(None).cast("string")]
-    for f in categorical:
-        parts += [F.lit(f), F.lit(None).cast("int"), fx.category(F.col(f))]
-    n = len(parts) // 3
-    if not n:
+    parts = [f"'{f}', {bins.bin_of(f)}, cast(null as string)" for f in bins.usable]
+    parts += [f"'{f}', cast(null as int), coalesce(cast({f} as string), '{fx.MISSING_LEVEL}')" for f in categorical]
+    if not parts:
         empty = df.sparkSession.createDataFrame([], "feature string, bin int, level string")
         return empty.select(*[F.lit(None).alias(c) for c in by], "*")
-    long = df.select(*by, F.stack(F.lit(n), *parts).alias("feature", "bin", "level"))
-    return long.where("bin is not null or level is not null")
+    stacked = f"stack({len(parts)}, {', '.join(parts)}) as (feature, bin, level)"
+    return df.selectExpr(*by, stacked).where("bin is not null or level is not null")
 
 
 def cell_counts(reference: DataFrame, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -88,12 +84,19 @@ def cell_counts(reference: DataFrame, current: DataFrame, by: Sequence[str] = ()
 def psi_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, psi, n_ref, n_cur) from cell counts."""
     keys = [*by, "feature"]
+    # Both uses of ``counts`` keep all of its columns, so they share one shuffle.
     totals = counts.groupBy(*keys).agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
     term = fx.psi_term(F.col("ref") / F.col("n_ref"), F.col("cur") / F.col("n_cur"))
-    joined = counts.join(totals, keys).where("n_ref > 0 and n_cur > 0")
-    terms = joined.groupBy(*keys).agg(F.sum(term).alias("psi"))
-    out = totals.join(terms, keys, "left")
-    return out.select(*keys, F.coalesce("psi", F.lit(0.0)).alias("psi"), "n_ref", "n_cur")
+    both = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
+    return (
+        counts.join(totals, keys)
+        .groupBy(*keys)
+        .agg(
+            F.coalesce(F.sum(F.when(both, term)), F.lit(0.0)).alias("psi"),
+            F.max("n_ref").alias("n_ref"),
+            F.max("n_cur").alias("n_cur"),
+        )
+    )
 
 
 def feature_psi(

@@ -19,8 +19,8 @@ from .ranges import ROWS_PER_RANGE, fit_ranges
 
 def unpivot_with_ranges(df: DataFrame, columns: list[str], extra: Sequence[str] = ()) -> DataFrame:
     """(feature, rng, x) rows for the non-missing values; ``extra`` columns come along."""
-    parts = [p for c in columns for p in (F.lit(c), F.col(f"range_{c}"), F.col(c).cast("double"))]
-    long = df.select(*extra, F.stack(F.lit(len(columns)), *parts).alias("feature", "rng", "x"))
+    parts = ", ".join(f"'{c}', range_{c}, cast({c} as double)" for c in columns)
+    long = df.selectExpr(*extra, f"stack({len(columns)}, {parts}) as (feature, rng, x)")
     return long.where("x is not null")
 
 
@@ -33,6 +33,8 @@ def exact_quantiles(
     come to the driver. Missing values must be null, not NaN.
     """
     columns = list(columns)
+    if not columns:
+        return {}
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     ranges = fit_ranges(doubles, columns, rows_per_range=rows_per_range)
     values = unpivot_with_ranges(ranges.ids(doubles), columns)
@@ -53,11 +55,10 @@ def exact_quantiles(
         return {c: [] for c in columns}
 
     targets = df.sparkSession.createDataFrame(sorted(wanted), "feature string, rng int, local long, rank long")
-    hit = {(f, g) for f, g, _, _ in wanted}
-    relevant = F.lit(False)
-    for c in columns:
-        if mine := sorted(g for f, g in hit if f == c):
-            relevant = relevant | ((F.col("feature") == c) & F.col("rng").isin(mine))
+    hit: dict[str, set[int]] = {}
+    for feature, rng, _, _ in wanted:
+        hit.setdefault(feature, set()).add(rng)
+    relevant = " or ".join(f"feature = '{f}' and rng in ({', '.join(map(str, sorted(g)))})" for f, g in hit.items())
     per_value = values.where(relevant).groupBy("feature", "rng", "x").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("feature", "rng").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     # At most two ranks per column and probability, so the target table is always small.

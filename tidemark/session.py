@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the jobs rely on wherever they run. Partition counts are left to the cluster:
 # adaptive execution merges small shuffle partitions and splits skewed ones.
@@ -27,6 +28,8 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.ui.showConsoleProgress": "false",
+        # Small test files would otherwise all be packed into one task.
+        "spark.sql.files.openCostInBytes": "65536",
     }
     for key, value in {**BASE_CONF, **local, **conf}.items():
         builder = builder.config(key, value)
@@ -51,3 +54,14 @@ def work_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(_own_roots[app] + "/checkpoints")
         root = _own_roots[app]
     return f"{root.rstrip('/')}/tidemark/{app}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the work folder and read it back.
+
+    For results several jobs read: nothing upstream runs again, and a lost executor costs a
+    re-read, not a recomputation.
+    """
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.drift import ReferenceBins, fit_reference
 from ..operators.features import engineer_features
 from ..operators.split import time_split
 from ..session import work_dir
@@ -87,7 +89,8 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _land_once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
+def land_once(spark: SparkSession, sf_dir: str, what: str, write: Callable[[str], None]) -> str:
+    """Path of a derived table, written by ``write`` the first time a session asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir, what)
     with _lock:
         if key not in _landed:
@@ -97,13 +100,16 @@ def _land_once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
         return _landed[key]
 
 
-def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The landed loan view: every later scan reads only the columns it needs."""
-
+def landed_path(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
         loan_view(spark, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
-    return spark.read.parquet(_land_once(spark, sf_dir, "loans", write))
+    return land_once(spark, sf_dir, "loans", write)
+
+
+def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed loan view: every later scan reads only the columns it needs."""
+    return spark.read.parquet(landed_path(spark, sf_dir))
 
 
 def loan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +119,14 @@ def loan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         frame = time_split(engineer_features(raw_loans(spark, sf_dir)), VIEW_SETTINGS)
         frame.write.mode("overwrite").partitionBy("split").option("compression", "zstd").parquet(path)
 
-    return spark.read.parquet(_land_once(spark, sf_dir, "features", write))
+    return spark.read.parquet(land_once(spark, sf_dir, "features", write))
+
+
+def loan_reference(spark: SparkSession, sf_dir: str) -> ReferenceBins:
+    """Frozen decile bins of the train split, kept beside the features."""
+
+    def write(path: str) -> None:
+        train = loan_features(spark, sf_dir).where(F.col("split") == "train")
+        fit_reference(train).to_frame(spark).coalesce(1).write.mode("overwrite").parquet(path)
+
+    return ReferenceBins.from_frame(spark.read.parquet(land_once(spark, sf_dir, "reference", write)))
