@@ -512,7 +512,7 @@ def ledger_current(spark, sf_dir):
         event = {"metrics": {"test_roc_auc": auc}, "stage": ledger.STAGE_NONE}
         version = ledger.register(spark, settings, lambda v, e=event: ledger.Event(v, "registered", **e))
         if auc >= settings.roc_auc_min:
-            state = ledger.versions(ledger.events(spark, settings)).collect()
+            state = ledger.stages(ledger.events(spark, settings)).collect()
             ledger.append(spark, settings, ledger.promotion_events(state, version, auc))
     log = ledger.events(spark, settings)
     served = ledger.served_version(log).select(F.col("version").alias("served"))

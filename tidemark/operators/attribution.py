@@ -14,7 +14,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
@@ -100,15 +100,15 @@ def _tree_leaves(nodes: dict[int, dict], weight: float) -> Iterator[tuple[Leaf |
     yield from walk(0, {})
 
 
-def tree_tables(df: DataFrame, model: GBTClassificationModel) -> TreeTables:
-    """Look-up tables of a fitted model, read from its saved node table.
+def tree_tables(spark: SparkSession, model: GBTClassificationModel, path: str | None = None) -> TreeTables:
+    """Look-up tables of a fitted model, read from the node table of its saved form.
 
+    ``path`` is where the model is saved; without it, it is saved to the work folder first.
     Size is (trees x leaves x 2^depth x depth) numbers, whatever the data; it is checked.
-    ``df`` only lends its session.
     """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/trees-{model.uid}"
-    model.write().overwrite().save(path)
+    if path is None:
+        path = f"{work_dir(spark)}/trees-{model.uid}"
+        model.write().overwrite().save(path)
     rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
     trees: dict[int, dict[int, dict]] = {}
     for r in rows:

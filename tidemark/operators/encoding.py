@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import columns as fx
 from ..session import materialise
-from .bounded import join_bounded
+from .bounded import TooManyRows, small_rows
 from .features import CATEGORICAL_FEATURES
 
 # Fixed value: folds of the cross-fitting.
@@ -78,12 +79,23 @@ class CrossFit:
 def _encode(
     df: DataFrame, table: DataFrame, columns: Sequence[str], extra: dict[str, Column], unseen: Column
 ) -> DataFrame:
+    """Look every categorical up in ``table``: by broadcast while that is small, else by a shuffle join."""
     keys = ["level", *extra]
+    try:
+        small = {c: [] for c in columns}
+        for row in small_rows(table.select("feature", *keys, "value")):
+            small[row["feature"]].append(tuple(row)[1:])
+    except TooManyRows:
+        small = None
     for c in columns:
-        mine = table.where(F.col("feature") == c).select(*[F.col(k).alias(f"__{k}") for k in keys], "value")
-        keyed = df.withColumns({"__level": fx.category(F.col(c)), **{f"__{k}": v for k, v in extra.items()}})
-        joined = join_bounded(keyed, mine, [f"__{k}" for k in keys], "left")
-        df = joined.select(*df.columns, F.coalesce("value", unseen).alias(f"{c}{SUFFIX}"))
+        if small is None:
+            mine = table.where(F.col("feature") == c).select(*keys, "value")
+        else:
+            schema = StructType([table.schema[k] for k in (*keys, "value")])
+            mine = F.broadcast(table.sparkSession.createDataFrame(small[c], schema))
+        here = {"level": fx.category(F.col(c)), **extra}
+        on = [here[k] == mine[k] for k in keys]
+        df = df.join(mine, on, "left").select(*df.columns, F.coalesce(mine["value"], unseen).alias(f"{c}{SUFFIX}"))
     return df
 
 

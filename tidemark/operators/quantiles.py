@@ -1,8 +1,9 @@
-"""Exact quantiles of several columns without bringing a column together.
+"""Exact quantiles of several columns without bringing a long column together.
 
-``percentile`` keeps every distinct value of a column in one task. Here the columns are cut
-into ranges, a histogram says in which ranges the wanted order statistics fall, and only
-the values of those ranges are counted and ordered.
+The built-in ``percentile`` keeps every distinct value of a column in one task, so it serves
+tables of at most one range of rows. Beyond that the columns are cut into ranges, a
+histogram says in which ranges the wanted order statistics fall, and only the values of
+those ranges are counted and ordered.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ def exact_quantiles(
         return {}
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     ranges = fit_ranges(doubles, columns, rows_per_range=rows_per_range)
+    if not any(ranges.splits.values()):
+        at = F.array(*[F.lit(float(p)) for p in probabilities])
+        row = doubles.agg(*[F.percentile(c, at).alias(c) for c in columns]).first()
+        return {c: list(row[c] or []) for c in columns}
     values = unpivot_with_ranges(ranges.ids(doubles), columns)
 
     counts: dict[str, list[tuple[int, int]]] = {c: [] for c in columns}

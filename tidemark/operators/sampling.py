@@ -2,9 +2,9 @@
 
 "The k rows of each stratum with the smallest hash" would need every row of a stratum
 sorted in one task. Instead the k-th smallest hash is located first: a histogram of hash
-prefixes finds the one prefix in which it falls (hashes are uniform, so a prefix holds
-1/65536 of a stratum however skewed the strata are), and only that prefix is ranked. The
-selection itself is then a comparison with the cut, without a shuffle.
+prefixes finds the one prefix in which it falls (hashes are uniform, so a prefix holds the
+same small part of a stratum however skewed the strata are), and only that prefix is ranked.
+The selection itself is then a comparison with the cut, without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from .bounded import join_bounded
 
-_PREFIX_DIGITS = 4
+# Up to this many rows 256 prefixes leave few rows to rank; beyond it there are 65,536.
+_FEW_ROWS = 50_000_000
 
 
 def hash_cuts(df: DataFrame, strata: dict[str, Column], size: Column, *, id_column: str, salt: object) -> DataFrame:
@@ -28,7 +29,7 @@ def hash_cuts(df: DataFrame, strata: dict[str, Column], size: Column, *, id_colu
     names = list(strata) or ["__all"]
     keys = [c.alias(n) for n, c in strata.items()] or [F.lit(1).alias("__all")]
     rows = df.select(*keys, fx.hash_order(id_column, salt).alias("h"), F.col(f"`{id_column}`").alias("row_id"))
-    prefix = F.substring("h", 1, _PREFIX_DIGITS)
+    prefix = F.substring("h", 1, 2 if rows.count() <= _FEW_ROWS else 4)
 
     histogram = rows.groupBy(*names, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("m"))
     per_stratum = Window.partitionBy(*names)

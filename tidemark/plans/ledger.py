@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..settings import Settings
@@ -52,34 +52,43 @@ def append(spark: SparkSession, settings: Settings, new: Sequence[Event]) -> Non
     stamped.coalesce(1).write.mode("append").parquet(settings.ledger_dir)
 
 
+def _latest(name: str) -> Column:
+    return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
+
+
+def stages(log: DataFrame) -> DataFrame:
+    """(version, stage, model_path): the fold that decides what is served."""
+    state = log.groupBy("version").agg(_latest("stage"), _latest("model_path"))
+    return state.withColumn("stage", F.coalesce("stage", F.lit(STAGE_NONE)))
+
+
 def versions(log: DataFrame) -> DataFrame:
     """One row per version: current stage, and everything said about it, later words winning."""
-    def latest(name: str):
-        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
-
-    state = log.groupBy("version").agg(latest("stage"), latest("model_path"), latest("input_schema"), F.min("ts").alias("created"))
+    state = stages(log).join(log.groupBy("version").agg(_latest("input_schema"), F.min("ts").alias("created")), "version")
     for name in ("metrics", "params", "tags"):
         entries = log.select("version", "seq", F.explode(name))
         last = entries.groupBy("version", "key").agg(F.max_by("value", "seq").alias("value"))
-        merged = last.groupBy("version").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(name))
+        merged = last.groupBy("version").agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(name)
+        )
         state = state.join(merged, "version", "left")
-    return state.withColumn("stage", F.coalesce("stage", F.lit(STAGE_NONE)))
+    return state
 
 
 def latest_version(log: DataFrame) -> DataFrame:
     """The highest version as a number ("10" is after "9"), at most one row."""
-    return versions(log).orderBy(F.desc("version")).limit(1)
+    return stages(log).orderBy(F.desc("version")).limit(1)
 
 
 def current_production(log: DataFrame) -> DataFrame:
     """The version in Production, at most one row."""
-    return versions(log).where(F.col("stage") == PRODUCTION).orderBy(F.desc("version")).limit(1)
+    return stages(log).where(F.col("stage") == PRODUCTION).orderBy(F.desc("version")).limit(1)
 
 
 def served_version(log: DataFrame, prefer_production: bool = True) -> DataFrame:
     """Production when there is one and it is preferred, else the latest version."""
     rank = F.when((F.col("stage") == PRODUCTION) & F.lit(prefer_production), 1).otherwise(0)
-    return versions(log).orderBy(F.desc(rank), F.desc("version")).limit(1)
+    return stages(log).orderBy(F.desc(rank), F.desc("version")).limit(1)
 
 
 def register(spark: SparkSession, settings: Settings, event_of_version) -> int:
@@ -110,9 +119,10 @@ INFO_METRICS = ("test_roc_auc", "test_pr_auc", "test_ks", "test_brier")
 
 def model_info(spark: SparkSession, settings: Settings, n_features: int) -> DataFrame:
     """What is served: name, version, stage, feature count, contract hash and headline metrics."""
-    served = served_version(events(spark, settings))
+    log = events(spark, settings)
+    served = served_version(log).select(F.col("version").alias("served"))
     keys = F.array(*map(F.lit, INFO_METRICS))
-    return served.select(
+    return versions(log).join(F.broadcast(served), F.col("version") == F.col("served")).select(
         F.lit(settings.model_name).alias("registered_model_name"),
         "version",
         "stage",

@@ -74,7 +74,6 @@ class ModelParams:
             minInfoGain=self.gamma,
             maxBins=self.max_bins,
             # Long boosting runs cut their lineage through the shared checkpoint folder.
-            cacheNodeIds=True,
             checkpointInterval=10,
             maxMemoryInMB=1024,
             seed=self.seed,
@@ -83,7 +82,8 @@ class ModelParams:
 
 def _impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     changes = {f"{c}_missing": F.col(c).isNull().cast("double") for c in NULLABLE}
-    values = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in NUMERIC_FEATURES}
+    values = {c: F.col(c).cast("double") for c in NUMERIC_FEATURES}
+    values |= {c: F.coalesce(values[c], F.lit(medians[c])) for c in NULLABLE}
     return df.withColumns({**changes, **values})
 
 
@@ -96,6 +96,7 @@ class ScoringModel:
     trees: GBTClassificationModel
     calibrator: IsotonicRegressionModel | LogisticRegressionModel | None
     params: ModelParams
+    path: str | None = None
 
     def design(self, features: DataFrame) -> DataFrame:
         """``features`` with the model's input columns; feature columns hold imputed values."""
@@ -126,9 +127,11 @@ class ScoringModel:
     def explain(self, features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Per-row base value and contributions of the uncalibrated trees, on the log-odds scale."""
         design = self.design(features)
-        return attribution.attribute_rows(
-            design, attribution.tree_tables(design, self.trees), INPUTS, INPUT_GROUPS, keep=keep
-        )
+        return attribution.attribute_rows(design, self.tree_tables(), INPUTS, INPUT_GROUPS, keep=keep)
+
+    def tree_tables(self) -> attribution.TreeTables:
+        spark = self.encoding.levels.sparkSession
+        return attribution.tree_tables(spark, self.trees, self.path and f"{self.path}/trees")
 
     def save(self, path: str) -> None:
         self.encoding.levels.write.mode("overwrite").parquet(f"{path}/levels")
@@ -154,14 +157,14 @@ class ScoringModel:
             kind = IsotonicRegressionModel if params.calibration_method == "isotonic" else LogisticRegressionModel
             calibrator = kind.load(f"{path}/calibrator")
         encoding = TargetEncoding(spark.read.parquet(f"{path}/levels"), meta["prior"], CATEGORICAL_FEATURES)
-        return cls(encoding, meta["medians"], GBTClassificationModel.load(f"{path}/trees"), calibrator, params)
+        return cls(encoding, meta["medians"], GBTClassificationModel.load(f"{path}/trees"), calibrator, params, path)
 
 
 def fit_base(base: DataFrame, params: ModelParams, target: str = "Default", id_column: str = "id") -> ScoringModel:
     """Encoding, medians and trees fitted on ``base``; not calibrated yet."""
     work_dir(base.sparkSession)  # names the checkpoint folder where the session has none
     crossfit = fit_target_encoding(base, target=target, id_column=id_column, seed=params.seed)
-    found = exact_quantiles(base, NUMERIC_FEATURES, [0.5])
+    found = exact_quantiles(base, NULLABLE, [0.5])
     medians = {c: q[0] if q else 0.0 for c, q in found.items()}
     rows = _impute(crossfit.transform_train(base), medians)
     rows = VectorAssembler(inputCols=list(INPUTS), outputCol="inputs").transform(rows)

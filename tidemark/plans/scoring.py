@@ -95,6 +95,5 @@ def score_batch(
     if not explain:
         return out.select(*keys, *label)
     # The scored rows already hold the model inputs, so rows are scored and explained in one go.
-    tables = attribution.tree_tables(out, model.trees)
-    explained = attribution.attribute_rows(out, tables, INPUTS, INPUT_GROUPS, keep=[*keys, *label])
+    explained = attribution.attribute_rows(out, model.tree_tables(), INPUTS, INPUT_GROUPS, keep=[*keys, *label])
     return attribution.top_contributions(explained, top_n)

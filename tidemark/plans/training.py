@@ -261,7 +261,7 @@ def promote(
     Nothing is written before the verdict, and a failed gate or a dry run writes nothing.
     """
     settings = settings or Settings()
-    state = ledger.versions(ledger.events(spark, settings)).collect()
+    state = ledger.stages(ledger.events(spark, settings)).collect()
     if not state:
         raise RuntimeError(f"no registered versions of {settings.model_name!r}; train first")
     version = max(r["version"] for r in state) if version is None else int(version)

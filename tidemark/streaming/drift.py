@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.bounded import small_rows
 from ..operators.drift import ReferenceBins, cells, drifted_features, psi_of_counts
 from ..session import materialise
 from ..sources.paths import path_exists
@@ -54,9 +55,15 @@ def windowed_psi(counts: DataFrame, ref: FrozenReference) -> DataFrame:
     return psi_of_counts(both, ["window_start"]).select("window_start", "feature", "psi", "n_cur")
 
 
-def current_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Latest value of every counter written so far. Counters only grow."""
-    return spark.read.parquet(f"{path}/counts").groupBy("window_start", *_CELL).agg(F.max("cur").alias("cur"))
+def current_counts(spark: SparkSession, path: str, days: Sequence[object] | None = None) -> DataFrame:
+    """Latest value of every counter written so far. Counters only grow.
+
+    ``days`` limits the files read to windows that start on those dates.
+    """
+    written = spark.read.option("basePath", f"{path}/counts").parquet(f"{path}/counts")
+    if days is not None:
+        written = written.where(F.col("day").isin(list(days)))
+    return written.groupBy("window_start", *_CELL).agg(F.max("cur").alias("cur"))
 
 
 def start_drift(
@@ -78,12 +85,13 @@ def start_drift(
     def upsert(batch: DataFrame, batch_id: int) -> None:
         # Overwriting its own folder makes a repeated batch harmless.
         target = f"{path}/counts/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.withColumn("day", F.to_date("window_start")).write.mode("overwrite").partitionBy("day").parquet(target)
         if threshold is None:
             return
         spark = batch.sparkSession
         touched = spark.read.schema(batch.schema).parquet(target).select("window_start").distinct()
-        latest = current_counts(spark, path).join(touched, "window_start", "left_semi")
+        starts = [r["window_start"] for r in small_rows(touched)]
+        latest = current_counts(spark, path, {s.date() for s in starts}).where(F.col("window_start").isin(starts))
         psi = drifted_features(windowed_psi(latest, ref), threshold, key_features)
         fired = psi.where("is_key and drifted").groupBy("window_start").agg(
             F.sort_array(F.collect_list("feature")).alias("drifted_features"), F.max("psi").alias("max_psi")
