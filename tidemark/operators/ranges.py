@@ -63,7 +63,7 @@ def fit_ranges(df: DataFrame, columns: list[str], *, rows_per_range: int = ROWS_
     group = (F.spark_partition_id() % _MERGE_GROUPS).alias("g")
     parts = seen.groupBy(group).agg(*[F.kll_sketch_agg_double(c, k).alias(c) for c in columns])
     whole = parts.agg(*[F.kll_merge_agg_double(c, k).alias(c) for c in columns])
-    at = F.expr(f"transform(sequence(1, {n_ranges - 1}), i -> cast(i as double) / {n_ranges})")
+    at = F.expr(f"array({', '.join(f'{i / n_ranges!r}D' for i in range(1, n_ranges))})")
     points = whole.select(
         *[F.when(F.kll_sketch_get_n_double(c) > 0, F.kll_sketch_get_quantile_double(c, at)).alias(c) for c in columns]
     ).first()

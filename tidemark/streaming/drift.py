@@ -90,8 +90,8 @@ def start_drift(
             return
         spark = batch.sparkSession
         touched = spark.read.schema(batch.schema).parquet(target).select("window_start").distinct()
-        starts = [r["window_start"] for r in small_rows(touched)]
-        latest = current_counts(spark, path, {s.date() for s in starts}).where(F.col("window_start").isin(starts))
+        days = [r[0] for r in small_rows(touched.select(F.to_date("window_start")).distinct())]
+        latest = current_counts(spark, path, days).join(touched, "window_start", "left_semi")
         psi = drifted_features(windowed_psi(latest, ref), threshold, key_features)
         fired = psi.where("is_key and drifted").groupBy("window_start").agg(
             F.sort_array(F.collect_list("feature")).alias("drifted_features"), F.max("psi").alias("max_psi")
