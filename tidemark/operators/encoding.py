@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import columns as fx
 from ..session import materialise
@@ -88,14 +88,15 @@ def _encode(
     except TooManyRows:
         small = None
     for c in columns:
+        theirs = {k: f"__{c}_{k}" for k in (*keys, "value")}
         if small is None:
-            mine = table.where(F.col("feature") == c).select(*keys, "value")
+            mine = table.where(F.col("feature") == c).select(*theirs).withColumnsRenamed(theirs)
         else:
-            schema = StructType([table.schema[k] for k in (*keys, "value")])
+            schema = StructType([StructField(name, table.schema[k].dataType) for k, name in theirs.items()])
             mine = F.broadcast(table.sparkSession.createDataFrame(small[c], schema))
         here = {"level": fx.category(F.col(c)), **extra}
-        on = [here[k] == mine[k] for k in keys]
-        df = df.join(mine, on, "left").select(*df.columns, F.coalesce(mine["value"], unseen).alias(f"{c}{SUFFIX}"))
+        on = [here[k] == F.col(theirs[k]) for k in keys]
+        df = df.join(mine, on, "left").select(*df.columns, F.coalesce(theirs["value"], unseen).alias(f"{c}{SUFFIX}"))
     return df
 
 

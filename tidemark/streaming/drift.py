@@ -38,10 +38,15 @@ class FrozenReference:
 
 
 def windowed_cells(rows: DataFrame, ref: FrozenReference, *, ts: str, width: str) -> DataFrame:
-    """Counts per (window_start, cell); the same for a stream and a batch."""
-    windowed = rows.withColumn("window_start", F.window(F.col(ts), width)["start"])
-    long = cells(windowed, ref.bins, ref.categorical, ["window_start"])
-    return long.groupBy("window_start", *_CELL).agg(F.count(F.lit(1)).alias("cur"))
+    """Counts per (window_start, cell); the same for a stream and a batch.
+
+    Grouping is by the window itself: a start taken out of it would lose the event time, and
+    with it the dropping of late rows and of finished counters.
+    """
+    windowed = rows.withColumn("window", F.window(F.col(ts), width))
+    long = cells(windowed, ref.bins, ref.categorical, ["window"])
+    counts = long.groupBy("window", *_CELL).agg(F.count(F.lit(1)).alias("cur"))
+    return counts.select(F.col("window.start").alias("window_start"), *_CELL, "cur")
 
 
 def windowed_psi(counts: DataFrame, ref: FrozenReference) -> DataFrame:
