@@ -49,12 +49,13 @@ def test_no_columns():
     assert exact_quantiles(None, [], PROBS) == {}
 
 
+@pytest.mark.parametrize("rows_per_range", [10**6, 100])
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_totals_equal_a_global_order(data, descending):
+def test_running_totals_equal_a_global_order(data, descending, rows_per_range):
     base = data.select(F.coalesce("few", F.lit(0.0)).alias("g"), F.col("smooth").alias("k"), F.lit(1).alias("one")).where("k is not null")
-    ranged = fit_ranges(base, ["k"], rows_per_range=100).ids(base)
-    points = ranged.groupBy("g", "range_k", "k").agg(F.sum("one").alias("n"))
-    totals = running_totals(points, by=["g"], range_col="range_k", key="k", sums=["n"], descending=descending)
+    ranges = fit_ranges(base, ["k"], rows_per_range=rows_per_range)
+    points = ranges.ids(base).groupBy("g", "range_k", "k").agg(F.sum("one").alias("n"))
+    totals = running_totals(points, ranges, by=["g"], range_col="range_k", key="k", sums=["n"], descending=descending)
     found = totals.toPandas().sort_values(["g", "k"], ascending=[True, not descending])
     for _, part in found.groupby("g"):
         assert (part["n_upto"].to_numpy() == part["n"].cumsum().to_numpy()).all()
@@ -65,6 +66,7 @@ def test_running_totals_equal_a_global_order(data, descending):
 
 def test_ordering_runs_in_many_tasks(data):
     base = data.select(F.col("smooth").alias("k"), F.lit(1).alias("one")).where("k is not null")
-    points = fit_ranges(base, ["k"], rows_per_range=100).ids(base).groupBy("range_k", "k").agg(F.sum("one").alias("n"))
-    plan = executed_plan(running_totals(points, by=[], range_col="range_k", key="k", sums=["n"]))
+    ranges = fit_ranges(base, ["k"], rows_per_range=100)
+    points = ranges.ids(base).groupBy("range_k", "k").agg(F.sum("one").alias("n"))
+    plan = executed_plan(running_totals(points, ranges, by=[], range_col="range_k", key="k", sums=["n"]))
     assert "hashpartitioning(range_k" in plan

@@ -12,7 +12,7 @@ from .queries import CANDIDATES, SCORE_WEIGHTS, SEVERITIES, STREAM_REFERENCE_END
 
 _LOANS = """
 li as (
-  select l_orderkey, count(*) n_lines, avg(l_discount)*100 dti, avg(l_quantity) q,
+  select l_orderkey, count(*) n_lines, round(avg(l_discount)*100, 6) dti, avg(l_quantity) q,
          max(case when l_returnflag='R' then 1 else 0 end) d
   from lineitem group by l_orderkey),
 o as (
@@ -326,7 +326,7 @@ ORACLE: dict[str, str] = {
     "csv_round_trip": _with(
         _LOANS,
         """select cast(issue_date as varchar) as issue_date, count(*) as n, cast(sum("Default") as bigint) as n_default,
-        round(sum(loan_amnt), 2) as loan_amnt, cast(sum(length("desc")) as bigint) as desc_chars, count(title) as titles,
+        round(sum(loan_amnt), 2) as loan_amnt, cast(coalesce(sum(length("desc")), 0) as bigint) as desc_chars, count(title) as titles,
         count(distinct id) as ids from loans group by issue_date""",
     ),
     "base_rate": _with(

@@ -97,7 +97,7 @@ def csv_round_trip(spark, sf_dir):
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("Default").cast("bigint")).alias("n_default"),
         _r(F.sum("loan_amnt"), 2).alias("loan_amnt"),
-        F.sum(F.length("desc").cast("bigint")).alias("desc_chars"),
+        F.coalesce(F.sum(F.length("desc").cast("bigint")), F.lit(0)).alias("desc_chars"),
         F.count("title").alias("titles"),
         F.countDistinct("id").alias("ids"),
     )

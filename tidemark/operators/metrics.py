@@ -31,12 +31,12 @@ def score_curve(
     """
     by = list(by)
     rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(f"`{target}`").cast("bigint").alias("y"))
-    ranged = fit_ranges(rows, ["score"], rows_per_range=rows_per_range).ids(rows)
-    per_score = ranged.groupBy(*by, "range_score", "score").agg(
+    ranges = fit_ranges(rows, ["score"], rows_per_range=rows_per_range)
+    per_score = ranges.ids(rows).groupBy(*by, "range_score", "score").agg(
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
     )
     return running_totals(
-        per_score, by=by, range_col="range_score", key="score", sums=["pos", "neg"], descending=True
+        per_score, ranges, by=by, range_col="range_score", key="score", sums=["pos", "neg"], descending=True
     ).drop("range_score")
 
 

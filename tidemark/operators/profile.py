@@ -43,13 +43,13 @@ def numeric_distances(
     both = reference.select(*_doubles(columns), F.lit(1).alias("r"), F.lit(0).alias("c")).unionAll(
         current.select(*_doubles(columns), F.lit(0).alias("r"), F.lit(1).alias("c"))
     )
-    ranged = fit_ranges(both, columns, rows_per_range=rows_per_range).ids(both)
+    ranges = fit_ranges(both, columns, rows_per_range=rows_per_range)
     per_value = (
-        unpivot_with_ranges(ranged, columns, ["r", "c"])
+        unpivot_with_ranges(ranges.ids(both), columns, ["r", "c"])
         .groupBy("feature", "rng", "x")
         .agg(F.sum("r").alias("ref"), F.sum("c").alias("cur"))
     )
-    curve = running_totals(per_value, by=["feature"], range_col="rng", key="x", sums=["ref", "cur"])
+    curve = running_totals(per_value, ranges, by=["feature"], range_col="rng", key="x", sums=["ref", "cur"])
     gap = F.abs(
         F.try_divide(F.col("ref_upto"), F.col("ref_total")) - F.try_divide(F.col("cur_upto"), F.col("cur_total"))
     )

@@ -38,7 +38,7 @@ def exact_quantiles(
         return {}
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     ranges = fit_ranges(doubles, columns, rows_per_range=rows_per_range)
-    if not any(ranges.splits.values()):
+    if not ranges.many:
         at = F.array(*[F.lit(float(p)) for p in probabilities])
         row = doubles.agg(*[F.percentile(c, at).alias(c) for c in columns]).first()
         return {c: list(row[c] or []) for c in columns}

@@ -28,6 +28,11 @@ class Ranges:
 
     splits: dict[str, tuple[float, ...]]
 
+    @property
+    def many(self) -> bool:
+        """Whether any column has several ranges. If not, each has few rows or no finite values."""
+        return any(self.splits.values())
+
     def ids(self, df: DataFrame, prefix: str = "range_") -> DataFrame:
         """Add the range number of each column; missing values have none."""
         cut = [c for c, s in self.splits.items() if s]
@@ -72,34 +77,53 @@ def fit_ranges(df: DataFrame, columns: list[str], *, rows_per_range: int = ROWS_
 
 
 def running_totals(
-    df: DataFrame, *, by: list[str], range_col: str, key: str, sums: list[str], descending: bool = False
+    df: DataFrame,
+    ranges: Ranges,
+    *,
+    by: list[str],
+    range_col: str,
+    key: str,
+    sums: list[str],
+    descending: bool = False,
 ) -> DataFrame:
     """Running and grand totals of ``sums`` in order of ``key`` within each ``by`` group.
 
-    ``df`` has one row per (by, range, key). Adds ``<s>_upto`` (this row included),
-    ``<s>_total`` and ``next_key`` (null on the last row of a group). The table of range
-    totals has at most ``MAX_RANGES`` rows per group.
+    ``df`` has one row per (by, range, key), with the range numbers of ``ranges``. Adds
+    ``<s>_upto`` (this row included), ``<s>_total`` and ``next_key`` (null on the last row of
+    a group).
     """
+
     def order(c: str) -> Column:
         return F.desc(c) if descending else F.asc(c)
 
+    inside = Window.partitionBy(*by, range_col)
+    along = inside.orderBy(order(key))
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    if not ranges.many:
+        return df.select(
+            *df.columns,
+            *[F.sum(s).over(so_far).alias(f"{s}_upto") for s in sums],
+            *[F.sum(s).over(inside).alias(f"{s}_total") for s in sums],
+            F.lead(key).over(along).alias("next_key"),
+        )
+
+    # At most MAX_RANGES rows per group from here to the join.
     edge = F.max(key) if descending else F.min(key)
     per_range = df.groupBy(*by, range_col).agg(*[F.sum(s).alias(s) for s in sums], edge.alias("edge"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
-    along = group.orderBy(order(range_col))
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    between = group.orderBy(order(range_col))
+    before = between.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
         *[F.col(c).alias(f"__{c}") for c in [*by, range_col]],
         *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums],
         *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
-        F.lead("edge").over(along).alias("next_edge"),
+        F.lead("edge").over(between).alias("next_edge"),
     )
-    inside = Window.partitionBy(*by, range_col).orderBy(order(key))
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # Both sides are shuffled by (by, range), which the windows inside the ranges need anyway.
     joined = df.join(offsets, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, range_col]])
     return joined.select(
         *df.columns,
         *[(F.col(f"{s}_before") + F.sum(s).over(so_far)).alias(f"{s}_upto") for s in sums],
         *[f"{s}_total" for s in sums],
-        F.coalesce(F.lead(key).over(inside), "next_edge").alias("next_key"),
+        F.coalesce(F.lead(key).over(along), "next_edge").alias("next_key"),
     )
