@@ -370,7 +370,7 @@ def deciles(spark, sf_dir):
 @query
 def histogram(spark, sf_dir):
     ref, cur, bins = _sides(spark, sf_dir)
-    return drift.cell_counts(drift.cells(ref, bins, ()), drift.cells(cur, bins, ())).select("feature", "bin", "ref", "cur")
+    return drift.count_cells({"ref": ref, "cur": cur}, bins, ()).select("feature", "bin", "ref", "cur")
 
 
 # --- metrics ---------------------------------------------------------------------------

@@ -40,13 +40,15 @@ def fold_counts(
     df: DataFrame, columns: Sequence[str], *, target: str, id_column: str, seed: object
 ) -> DataFrame:
     """(feature, level, fold, n, pos): all categoricals in one pass, counted before the shuffle."""
-    parts = ", ".join(f"'{c}', coalesce(cast({c} as string), '{fx.MISSING_LEVEL}')" for c in columns)
+    levels = ", ".join(f"{i}, coalesce(cast({c} as string), '{fx.MISSING_LEVEL}')" for i, c in enumerate(columns))
     keyed = df.select(*columns, fold_of(id_column, seed).alias("fold"), F.col(f"`{target}`").cast("bigint").alias("y"))
-    return (
-        keyed.selectExpr("fold", "y", f"stack({len(columns)}, {parts}) as (feature, level)")
-        .groupBy("feature", "level", "fold")
+    counted = (
+        keyed.selectExpr("fold", "y", f"stack({len(columns)}, {levels}) as (slot, level)")
+        .groupBy("slot", "level", "fold")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     )
+    feature = F.element_at(F.array(*map(F.lit, columns)), F.col("slot") + 1)
+    return counted.select(feature.alias("feature"), "level", "fold", "n", "pos")
 
 
 @dataclass(frozen=True)
@@ -72,8 +74,9 @@ class CrossFit:
     seed: object
 
     def transform_train(self, df: DataFrame) -> DataFrame:
-        fold = {"fold": fold_of(self.id_column, self.seed)}
-        return _encode(df, self.fold_levels, self.encoding.columns, fold, F.lit(self.encoding.prior))
+        folded = df.withColumn("__fold", fold_of(self.id_column, self.seed))
+        fold = {"fold": F.col("__fold")}
+        return _encode(folded, self.fold_levels, self.encoding.columns, fold, F.lit(self.encoding.prior)).drop("__fold")
 
 
 def _encode(

@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bounded import small_rows
-from .ranges import ROWS_PER_RANGE, fit_ranges
+from .ranges import MAX_RANGES, ROWS_PER_RANGE, fit_ranges
+
+# A quantile needs at most two of the ranges ordered: the more there are, the less is sorted.
+_RANGES = 1024
 
 
 def unpivot_with_ranges(df: DataFrame, columns: list[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -37,43 +40,47 @@ def exact_quantiles(
     if not columns:
         return {}
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    ranges = fit_ranges(doubles, columns, rows_per_range=rows_per_range)
+    ranges = fit_ranges(doubles, columns, rows_per_range=rows_per_range, at_least=_RANGES)
     if not ranges.many:
         at = F.array(*[F.lit(float(p)) for p in probabilities])
         row = doubles.agg(*[F.percentile(c, at).alias(c) for c in columns]).first()
         return {c: list(row[c] or []) for c in columns}
-    values = unpivot_with_ranges(ranges.ids(doubles), columns)
-
+    located = ranges.ids(doubles)
+    # A cell is one range of one column, numbered so that counting groups by a single integer.
+    cell = {c: f"{i * MAX_RANGES} + range_{c}" for i, c in enumerate(columns)}
+    cells = located.selectExpr(f"explode(array({', '.join(cell.values())})) as cell").where("cell is not null")
     counts: dict[str, list[tuple[int, int]]] = {c: [] for c in columns}
-    for row in small_rows(values.groupBy("feature", "rng").agg(F.count(F.lit(1)).alias("n"))):
-        counts[row["feature"]].append((row["rng"], row["n"]))
+    for row in small_rows(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))):
+        counts[columns[row["cell"] // MAX_RANGES]].append((row["cell"], row["n"]))
 
-    wanted: set[tuple[str, int, int, int]] = set()  # feature, range, rank in range, rank overall
-    for feature, found in counts.items():
-        size = sum(n for _, n in found)
+    wanted: set[tuple[int, int, int]] = set()  # cell, rank in cell, rank in column
+    for found in counts.values():
+        size, start = sum(n for _, n in found), 0
         ranks = {r for p in probabilities for r in _neighbours(size, p)[:2]} if size else set()
-        start = 0
-        for rng, n in sorted(found):
-            wanted.update((feature, rng, r - start, r) for r in ranks if start <= r < start + n)
+        for number, n in sorted(found):
+            wanted.update((number, r - start, r) for r in ranks if start <= r < start + n)
             start += n
     if not wanted:
         return {c: [] for c in columns}
 
-    targets = df.sparkSession.createDataFrame(sorted(wanted), "feature string, rng int, local long, rank long")
-    hit: dict[str, set[int]] = {}
-    for feature, rng, _, _ in wanted:
-        hit.setdefault(feature, set()).add(rng)
-    relevant = " or ".join(f"feature = '{f}' and rng in ({', '.join(map(str, sorted(g)))})" for f, g in hit.items())
-    per_value = values.where(relevant).groupBy("feature", "rng", "x").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("feature", "rng").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    hit = {number for number, _, _ in wanted}
+    parts = []
+    for i, c in enumerate(columns):
+        if mine := sorted(n for n in hit if n // MAX_RANGES == i):
+            chosen = f"{cell[c]} in ({', '.join(map(str, mine))})"
+            parts.append(f"case when {chosen} then named_struct('cell', {cell[c]}, 'x', {c}) end")
+    values = located.selectExpr(f"explode(array({', '.join(parts)})) as v").where("v is not null").select("v.*")
+    per_value = values.groupBy("cell", "x").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     # At most two ranks per column and probability, so the target table is always small.
+    targets = df.sparkSession.createDataFrame(sorted(wanted), "cell int, local long, rank long")
     picked = (
         per_value.withColumn("upto", F.sum("n").over(upto))
-        .join(F.broadcast(targets), ["feature", "rng"])
+        .join(F.broadcast(targets), "cell")
         .where("upto - n <= local and local < upto")
-        .select("feature", "rank", "x")
+        .select("cell", "rank", "x")
     )
-    at = {(r["feature"], r["rank"]): r["x"] for r in picked.collect()}
+    at = {(columns[r["cell"] // MAX_RANGES], r["rank"]): r["x"] for r in picked.collect()}
     out: dict[str, list[float]] = {}
     for c in columns:
         size = sum(n for _, n in counts[c])

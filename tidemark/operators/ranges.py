@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 MAX_RANGES = 4096
 ROWS_PER_RANGE = 250_000
-# Rows looked at to place the split points. They only balance the ranges: whatever they
-# are, every row lands in exactly one range and results stay exact.
-SPLIT_POINT_ROWS = 5_000_000
+# Rows looked at per range to place the split points. They only balance the ranges: whatever
+# they are, every row lands in exactly one range and results stay exact.
+ROWS_PER_SPLIT_POINT = 200
 _SKETCH_K = 32_768  # rank error well below the width of one range
 _MERGE_GROUPS = 256
 
@@ -36,7 +36,7 @@ class Ranges:
     def ids(self, df: DataFrame, prefix: str = "range_") -> DataFrame:
         """Add the range number of each column; missing values have none."""
         cut = [c for c, s in self.splits.items() if s]
-        whole = {f"{prefix}{c}": F.lit(0) for c, s in self.splits.items() if not s}
+        whole = {f"{prefix}{c}": F.when(F.col(c).isNotNull(), 0) for c, s in self.splits.items() if not s}
         if whole:
             df = df.withColumns(whole)
         if not cut:
@@ -51,19 +51,23 @@ class Ranges:
         return located.withColumns({f"{prefix}{c}": F.col(f"{prefix}{c}").cast("int") for c in cut})
 
 
-def fit_ranges(df: DataFrame, columns: list[str], *, rows_per_range: int = ROWS_PER_RANGE) -> Ranges:
+def fit_ranges(
+    df: DataFrame, columns: list[str], *, rows_per_range: int = ROWS_PER_RANGE, at_least: int = 1
+) -> Ranges:
     """Cut double columns into ranges of about ``rows_per_range`` rows.
 
+    A table of at most that many rows stays one range, any other gets ``at_least`` so many.
     Runs a row count and, when one range is not enough, a quantile sketch that is merged in
     two steps so that no task receives the sketches of all others.
     """
     rows = df.count()
-    n_ranges = min(MAX_RANGES, -(-rows // rows_per_range))
-    if n_ranges <= 1:
+    if rows <= rows_per_range:
         return Ranges({c: () for c in columns})
+    n_ranges = min(MAX_RANGES, max(at_least, -(-rows // rows_per_range)))
     seen = df.select(*columns)
-    if rows > SPLIT_POINT_ROWS:
-        seen = seen.sample(SPLIT_POINT_ROWS / rows, seed=1)
+    wanted = n_ranges * ROWS_PER_SPLIT_POINT
+    if rows > 2 * wanted:
+        seen = seen.sample(wanted / rows, seed=1)
     k = F.lit(_SKETCH_K)
     group = (F.spark_partition_id() % _MERGE_GROUPS).alias("g")
     parts = seen.groupBy(group).agg(*[F.kll_sketch_agg_double(c, k).alias(c) for c in columns])
