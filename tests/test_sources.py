@@ -22,8 +22,8 @@ def csv(tmp_path):
     return write(
         tmp_path / "raw" / "loans.csv",
         f"{HEADER},int_rate\n"
-        '1,Dec-2015,1000,1.5,500,700,1,10+ years,car,RENT,CA,900xx,0,"My, loan","two\nlines ""quoted"""\,9.5\n'.replace("\\", "")
-        + "2,soon,abc,,500,700,1,,car,RENT,CA,900xx,1,,,9.5\n",
+        '1,Dec-2015,1000,1.5,500,700,1,10+ years,car,RENT,CA,900xx,0,"My, loan","two\nlines ""quoted""",9.5\n'
+        "2,soon,abc,,500,700,1,,car,RENT,CA,900xx,1,,,9.5\n",
     )
 
 
