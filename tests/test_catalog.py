@@ -1,6 +1,8 @@
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tidemark.catalog.oracle import ORACLE
+from tidemark.catalog.queries import registered as queries
 from tests.compare import connect, difference
 
 # Queries without a counterpart: files outside the tables, learned models, the whole loop.
@@ -10,6 +12,11 @@ ROWS_ONLY = {
 }
 
 
+
+def oracle_sql():
+    return ORACLE
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
