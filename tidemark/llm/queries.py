@@ -8,6 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
+from .mixing import mix
+from .perplexity import quality_rules
+from .ranking import rank_quality
+from .sharding import shard_documents
 from .simhash import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +45,80 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by 4-word SimHash, at most 4 bits apart."""
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
+@query
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    return shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+@query
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mixture of sources takes."""
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+_MIXTURE = r"""
+with rows as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+         (cast('0x' || substr(md5('7:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) + 0.5::double)
+           / 4503599627370496::double as draw
+  from documents),
+sizes as (
+  select source, cast(sum(size) as bigint) as source_size, 3 * cast(sum(size) as bigint) as fill,
+         (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight
+  from rows group by source),
+levels as (
+  select *, (sum(source_size) over () - coalesce(sum(fill) over before, 0))::double
+            / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
+  from sizes
+  window before as (order by fill / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+targets as (
+  select *, case when fill < level * weight then fill::double
+                 else max(case when fill >= level * weight then level end) over () * weight end as target
+  from levels),
+plan as (
+  select *, target - whole * source_size as wanted, (target - whole * source_size) / source_size as part
+  from (select *, coalesce(floor(target / nullif(source_size, 0)), 0) as whole from targets)),
+ranked as (
+  select r.doc_id, r.size, p.source, p.source_size, p.target, p.whole, p.wanted,
+         r.draw / (1 - r.draw) * ((1 - p.part) / p.part) as odds
+  from rows r join plan p on r.source is not distinct from p.source),
+fill0 as (select *, 0 as more, wanted as rest from ranked)
+"""
+
+# Once: documents in order while they fit; after the first time those that fit by themselves.
+_FILL = """,
+run{i} as (
+  select *, sum(case when open then size else 0 end) over (
+      partition by source order by floor(odds / (1 + odds) * 4503599627370496), doc_id) as upto
+  from (select *, more = 0 and size > 0 and rest >= 1{fits} as open from fill{i})),
+more{i} as (
+  select * replace (case when open and (upto <= floor(rest){last}) then 1 else more end as more) from run{i}),
+fill{next} as (
+  select * exclude (open, upto) replace (wanted - coalesce(sum(size) filter (more = 1) over (partition by source), 0) as rest)
+  from more{i})"""
+
+ORACLE["op7_mixture"] = (
+    _MIXTURE
+    + _FILL.format(i=0, next=1, fits="", last="")
+    + _FILL.format(i=1, next=2, fits=" and size <= rest", last="")
+    + _FILL.format(
+        i=2, next=3, fits=" and size <= rest", last=" or upto - size <= floor(rest) and 2 * (rest - (upto - size)) >= size"
+    )
+    + " select doc_id, size, source_size, target, cast((whole + more) * size as bigint) as taken from fill3"
+)
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, perplexity and verdict of every document."""
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from preference pairs of labelled ones."""
+    return rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
