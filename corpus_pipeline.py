@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_documents
+from tidemark.llm.mixing import mix
+from tidemark.llm.passages import remove_passages
+from tidemark.llm.perplexity import quality_rules
 from tidemark.llm.simhash import simhash_groups
 from tidemark.session import materialise
 
@@ -18,19 +22,38 @@ from tidemark.session import materialise
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the counting rules or lie outside their language's perplexity go."""
+    return quality_rules(docs, carry=tuple(docs.columns)).where("kept").select("carried.*")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest id."""
     kept = simhash_groups(docs, shingle=4, max_bits=4).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
 
 
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out of the later ones."""
+    return remove_passages(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mixture of sources takes."""
+    taken = mix(docs, carry=tuple(docs.columns)).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("carried.*")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what the mixture took."""
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 STAGES = [
+    ("quality_rules", quality),
     ("near_duplicates", near_duplicates),
+    ("repeated_passages", passages),
+    ("mixture", mixture),
     ("tokens", tokens),
 ]
 

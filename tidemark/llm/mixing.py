@@ -68,7 +68,7 @@ def mix(
     repeated histograms; no source is sorted.
 
     Columns: ``doc_id``, ``size`` (words), ``source_size``, ``target``, ``copies``, ``taken``
-    (words) and those named in ``carry``. A null text has no words; null sources are one
+    (words) and, in a struct ``carried``, those named in ``carry``. A null text has no words; null sources are one
     source, the last; rows that repeat an id are drawn apart, in order of input. An empty
     table gives an empty one. ``desirability`` below zero or null counts as zero.
     """
@@ -81,7 +81,7 @@ def mix(
         wish.alias("wish"),
         uniform(F.col(doc_id), seed).alias("draw"),
         F.monotonically_increasing_id().alias("row"),
-        *[F.col(c).alias(f"carried_{c}") for c in carry],
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
     rows = materialise(rows, "mixture-rows")
     sizes = rows.groupBy("source").agg(
@@ -119,7 +119,7 @@ def mix(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).cast("bigint").alias("taken"),
-        *[F.col(f"carried_{c}").alias(c) for c in carry],
+        *(["carried"] if carry else []),
     )
 
 

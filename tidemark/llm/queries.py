@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .mixing import mix
+from .passages import repeated_passages
 from .perplexity import quality_rules
 from .ranking import rank_quality
 from .sharding import shard_documents
@@ -47,6 +49,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+@query
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document holds too, one row each."""
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("passages").alias("p")).select("doc_id", "p.*").withColumnRenamed("other", "other_doc_id")
+
+
 @query
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""

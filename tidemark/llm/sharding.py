@@ -31,7 +31,7 @@ def shard_documents(
 
     Columns: ``doc_id``, ``size``, ``text_crc32``, ``law`` ('bytes'), ``shard``, ``slot`` (0 to
     the number of rows of the shard less one, in order), ``grown_shard`` (null: only a law
-    that goes by the key has one) and those named in ``carry``. Null ids come first; rows that
+    that goes by the key has one) and, in a struct ``carried``, those named in ``carry``. Null ids come first; rows that
     share an id, repeated rows too, stand in order of input, so that they split like any other. Null texts
     have the checksum of empty text. An empty table gives an empty one.
     """
@@ -40,7 +40,7 @@ def shard_documents(
     low = F.shiftleft(F.lit(1).cast("bigint"), 32) - 1
     keyed = docs.select(
         number.alias("doc_id"),
-        *[F.col(c).alias(f"carried_{c}") for c in carry],
+        *([F.struct(*carry).alias("carried")] if carry else []),
         (F.octet_length(value).cast("bigint") + ROW_BYTES).alias("size"),
         F.crc32(value.cast("binary")).alias("text_crc32"),
         # Nulls first, and the id in two halves that no difference can overflow.
@@ -74,7 +74,7 @@ def shard_documents(
         "shard",
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
-        *[F.col(f"carried_{c}").alias(c) for c in carry],
+        *(["carried"] if carry else []),
     )
 
 
