@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .frames import read_token_files, token_folder, write_token_files
 from .mixing import mix
 from .passages import repeated_passages
 from .perplexity import quality_rules
@@ -131,3 +132,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from preference pairs of labelled ones."""
     return rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded into frame files in order of doc_id, and read back from them."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer, token_folder(spark)))
