@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .frames import read_token_files, token_folder, write_token_files
+from .licenses import oracle as license_oracle
+from .licenses import scan_licenses
 from .mixing import mix
 from .passages import repeated_passages
 from .perplexity import quality_rules
@@ -50,6 +52,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document, and where the base phrases stand."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_licenses"] = license_oracle()
+
+
 @query
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document holds too, one row each."""
