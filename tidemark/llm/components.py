@@ -62,8 +62,8 @@ def blocks(postings: DataFrame, keys: Sequence[str], spread: Column, member: Col
     with itself too) is a row, so any two members of a list meet in at least one row, and no
     row holds more than about twice ``limit``. Columns: keys, ``left``, ``right``, ``members``.
     """
-    sizes = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / limit).cast("int")
+    sizes = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("list_rows")).where("list_rows > 1")
+    chunks = F.ceil(F.col("list_rows") / limit).cast("int")
     met = postings.join(sizes, list(keys)).withColumn("chunk", F.pmod(spread, chunks).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     return met.groupBy(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .caps import embedding_groups
 from .frames import read_token_files, token_folder, write_token_files
 from .licenses import oracle as license_oracle
 from .licenses import scan_licenses
@@ -39,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings, at a cosine of 0.98 within a label."""
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document under the many-language ranks, and what they decode to."""
