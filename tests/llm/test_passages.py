@@ -1,0 +1,101 @@
+import random
+
+import numpy as np
+
+from tests.llm.conftest import by
+from tidemark.llm.passages import PassageRules, align, chains, remove_passages, repeated_passages, seeds_of, without
+
+
+def prose(n):
+    return ["".join(random.choices("abcdefghij", k=random.randrange(2, 7))) for _ in range(n)]
+
+
+def test_an_equal_run_shares_a_seed():
+    random.seed(1)
+    rules = PassageRules()
+    for _ in range(200):
+        run = prose(rules.k + rules.window - 1)
+        a, b = (" ".join(prose(random.randrange(40)) + run + prose(random.randrange(40))).encode() for _ in range(2))
+        assert set(seeds_of(a, rules)[0].tolist()) & set(seeds_of(b, rules)[0].tolist())
+    assert len(seeds_of(b"too few words", rules)[0]) == 0 and len(seeds_of(b"one two three four five six", rules)[0]) == 1
+
+
+def brute_best(x, y, gap):
+    """Score of the best chain by looking at all earlier matches."""
+    order = sorted(range(len(x)), key=lambda i: (x[i], -y[i]))
+    score = {}
+    for i in order:
+        fits = [score[j] - ((x[i] - x[j]) + (y[i] - y[j])) / (2 * gap) for j in score if x[j] < x[i] and y[j] < y[i]]
+        score[i] = 1 + max([0.0, *fits])
+    return max(score.values())
+
+
+def test_best_chain_equals_brute_force():
+    random.seed(2)
+    for _ in range(60):
+        n = random.randrange(1, 40)
+        x, y = (np.array([random.randrange(60) for _ in range(n)]) for _ in range(2))
+        found = chains(x, y, 1000)
+        assert sorted(i for c in found for i in c.tolist()) == list(range(n))
+        assert all((np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() for c in found)
+        cost = [len(c) - ((x[c[-1]] - x[c[0]]) + (y[c[-1]] - y[c[0]])) / 2000 for c in found]
+        assert abs(max(cost) - brute_best(x.tolist(), y.tolist(), 1000)) < 1e-9
+
+
+def test_chains_are_cut_at_long_gaps():
+    x = np.array([0, 10, 20, 100, 110])
+    assert [c.tolist() for c in chains(x, x, 25)] == [[0, 1, 2], [3, 4]] or [c.tolist() for c in chains(x, x, 25)] == [[3, 4], [0, 1, 2]]
+
+
+def test_align_counts_what_matches():
+    a = [b"q", *(b"w%d" % i for i in range(40)), b"z"]
+    b = [b"r", b"s", *a[1:20], b"new", *a[20:41], b"y"]
+    start, end, b_start, b_end, matching = align(a, b, [3, 25], [4, 27], 6)
+    assert (start, end, b_start, b_end, matching) == (1, 41, 2, 43, 40)
+
+
+def test_words_go_with_the_space_after_them():
+    assert without(b" a b  c\nd e", [(1, 2)]) == b" a d e"
+    assert without(b"a b c", [(0, 2), (1, 2)]) == b""
+
+
+def test_planted_passages_are_found_and_others_left_alone(documents):
+    random.seed(4)
+    common, long_one = prose(70), prose(150)
+    rows, holders, edited = [], [], []
+    for i in range(120):
+        words = prose(random.randrange(60, 140))
+        at = random.randrange(len(words))
+        if i % 10 == 3:
+            words[at:at] = common
+            holders.append(i)
+        elif i % 10 == 7:
+            changed = [w for j, w in enumerate(long_one) if j % 23 != i % 23]
+            changed[40] = "other"
+            words[at:at] = changed
+            edited.append(i)
+        rows.append((i, " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "short text"), (903, rows[1][1]), (None, rows[3][1]), (904, rows[13][1]), (904, "x " * 40000)]
+    found = {r["doc_id"]: r for r in repeated_passages(documents(rows)).collect()}
+    assert set(found) == {*holders[1:], *edited[1:], 903}
+    text = dict(rows)
+    for i in holders[1:]:
+        passages = found[i]["passages"]
+        assert {p["other"] for p in passages} == {holders[0]} and " ".join(common[5:65]) not in found[i]["left_text"]
+        assert all(p["n_words"] >= 50 for p in passages) and len(found[i]["left_text"].split()) <= len(text[i].split()) - 68
+    for i in edited[1:]:
+        gone = len(text[i].split()) - len(found[i]["left_text"].split())
+        assert 120 <= gone <= 170
+    assert found[903]["left_text"].strip() == ""
+
+    kept = {r["doc_id"]: r for r in remove_passages(documents(rows).where("doc_id is not null")).collect()}
+    assert 903 not in kept and {900, 901, 902, 904, *range(120)} <= set(kept)
+    for i in range(120):
+        assert kept[i]["text"] == (found[i]["left_text"] if i in found else text[i])
+        assert kept[i]["n_chars"] == len(kept[i]["text"]) and kept[i]["label"] == "x"
+
+
+def test_empty_tables(documents):
+    assert repeated_passages(documents([])).collect() == []
+    assert remove_passages(documents([])).collect() == []
+    assert by(remove_passages(documents([(1, None), (2, "a")])), "doc_id", "text") == [(1, None), (2, "a")]

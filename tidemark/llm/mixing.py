@@ -85,7 +85,7 @@ def mix(
     )
     rows = materialise(rows, "mixture-rows")
     sizes = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), (F.sum(F.col("wish") * F.col("size")) / F.sum("size")).alias("mean_wish")
+        F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("wish") * F.col("size")), F.sum("size")).alias("mean_wish")
     )
     sizes = materialise(sizes, "source-sizes")
     plan = source_targets(sizes.select("source", "source_size"), most).withColumnRenamed("source", "plan_source")
@@ -97,7 +97,7 @@ def mix(
     in_source = F.col("source").eqNullSafe(F.col("plan_source"))
     chance = F.col("part") * F.col("wish") / F.coalesce(F.nullif(F.col("mean_wish"), F.lit(0.0)), F.lit(1.0))
     ranked = rows.join(plan, in_source).withColumn("chance", F.least(chance, F.lit(1.0)))
-    odds = F.col("draw") / (1 - F.col("draw")) * ((1 - F.col("chance")) / F.col("chance"))
+    odds = F.col("draw") / (1 - F.col("draw")) * F.try_divide(1 - F.col("chance"), F.col("chance"))
     # Ranks run from 0 (odds zero, certain) to the grid's end (never); order is that of the odds.
     rank = F.when(F.col("chance") > 0, F.floor(odds / (1 + odds) * _GRID).cast("bigint")).otherwise(F.lit(_GRID))
     ranked = ranked.withColumn("rank", rank).select("row", "source", "rank", "size")

@@ -88,7 +88,7 @@ def _with_slots(dealt: DataFrame, rows_per_piece: int) -> DataFrame:
     pieces = F.ceil(F.col("n") / rows_per_piece)
     part = F.floor((F.col("doc_id").cast("double") - F.col("least")) / (F.col("most") - F.col("least") + 1) * pieces)
     cut = dealt.join(F.broadcast(span), "shard")  # one row per shard
-    cut = cut.withColumn("piece", F.coalesce(F.least(part, pieces - 1), F.lit(0)).cast("int")).drop("least", "most", "n")
+    cut = cut.withColumn("piece", F.least(F.coalesce(part, F.lit(0)), pieces - 1).cast("int")).drop("least", "most", "n")
     counts = cut.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "piece", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
