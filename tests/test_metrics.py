@@ -109,3 +109,12 @@ def test_latency_blocks_when_given(spark, latency, passes):
     passed, checks = gate(spark, 0.70, latency_p95_ms=latency)
     assert passed is passes and "latency_p95<300ms" in checks
     assert "latency_p95<300ms" not in gate(spark, 0.70)[1]
+
+
+@pytest.mark.parametrize("column", ["score", "Default"])
+def test_missing_scores_and_labels_are_errors(spark, column):
+    df = spark.range(50).selectExpr("id / 50 as score", "id % 2 as Default")
+    holes = df.withColumn(column, F.when(F.col("score") > 0.2, F.col(column)))
+    for measure in (classification_metrics, reliability_curve):
+        with pytest.raises(Exception, match=f"missing values in {column}"):
+            measure(holes).collect()

@@ -36,7 +36,7 @@ def test_equal_to_numpy_whatever_the_ranges(data, rows_per_range):
         if not len(values):
             assert found[c] == []
             continue
-        np.testing.assert_allclose(found[c], np.quantile(values, PROBS), rtol=1e-12, atol=1e-12)
+        np.testing.assert_array_equal(found[c], np.quantile(values, PROBS))
 
 
 def test_ranges_split_a_hot_column(data):
@@ -70,3 +70,13 @@ def test_ordering_runs_in_many_tasks(data):
     points = ranges.ids(base).groupBy("range_k", "k").agg(F.sum("one").alias("n"))
     plan = executed_plan(running_totals(points, ranges, by=[], range_col="range_k", key="k", sums=["n"]))
     assert "hashpartitioning(range_k" in plan
+
+
+def test_many_columns_with_odd_names(spark):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(400, 200)) * 10.0 ** rng.integers(-8, 8, 200)
+    names = [f"my col {i} `x` 'y'" for i in range(200)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in values], ", ".join(f"c{i} double" for i in range(200))).toDF(*names)
+    found = exact_quantiles(df, names, [0.1, 0.5], rows_per_range=1)
+    for i in (0, 57, 199):
+        np.testing.assert_array_equal(found[names[i]], np.quantile(values[:, i], [0.1, 0.5]))

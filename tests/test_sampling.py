@@ -23,9 +23,9 @@ def skewed(spark):
     )
 
 
-@pytest.mark.parametrize("few_rows", [10**9, 10])
-def test_stratified_sample_is_the_k_smallest_hashes_per_cell(skewed, monkeypatch, few_rows):
-    monkeypatch.setattr(sampling, "_FEW_ROWS", few_rows)
+@pytest.mark.parametrize("ranked", [10**9, 3])
+def test_stratified_sample_is_the_k_smallest_hashes_per_cell(skewed, monkeypatch, ranked):
+    monkeypatch.setattr(sampling, "_RANK_ROWS", ranked)
     cells = defaultdict(list)
     for r in skewed.where("issue_date is not null").collect():
         cells[r["Default"], r["issue_date"].year].append((md5("", r["id"]), r["id"]))
@@ -43,6 +43,16 @@ def test_exact_sample(skewed):
     assert values(exact_sample(skewed, 50, seed=1), "id") != values(exact_sample(skewed, 50, seed=2), "id")
 
 
+def test_missing_ids_and_a_cut_between_rows_of_one_id_are_errors(spark):
+    missing = spark.range(100).select(F.when(F.col("id") > 9, F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="missing values in id"):
+        exact_sample(missing, 5).collect()
+    repeated = spark.range(100).select((F.col("id") % 10).alias("id"))
+    with pytest.raises(Exception, match="share the id"):
+        exact_sample(repeated, 15).collect()
+    assert exact_sample(repeated, 20).count() == 20
+
+
 def test_holdout_takes_the_rounded_share_of_each_class(skewed):
     found = stratified_holdout(skewed, 0.15)
     sizes = {r["Default"]: (r["n"], r["h"]) for r in found.groupBy("Default").agg(F.count("*").alias("n"), F.count_if("is_holdout").alias("h")).collect()}

@@ -21,6 +21,15 @@ def small_rows(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list[Row]:
     return rows
 
 
+def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` held by the driver when it has at most ``max_rows`` rows, so that it is not computed
+    again; unchanged otherwise."""
+    try:
+        return df.sparkSession.createDataFrame(small_rows(df, max_rows), df.schema)
+    except TooManyRows:
+        return df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` as a broadcast table when it has at most ``max_rows`` rows.
 

@@ -16,6 +16,12 @@ METRICS = ("roc_auc", "pr_auc", "ks", "brier", "base_rate", "n")
 BRIER_SLACK = 1e-6
 
 
+def _present(name: str, kind: str) -> Column:
+    """The column as numbers; a missing one fails the job instead of leaving some metrics."""
+    value = F.col(f"`{name}`").cast(kind)
+    return F.when(value.isNull(), F.raise_error(F.lit(f"missing values in {name}"))).otherwise(value)
+
+
 def score_curve(
     df: DataFrame,
     *,
@@ -30,7 +36,7 @@ def score_curve(
     so neither a score shared by many rows nor a very long curve ends up in one task.
     """
     by = list(by)
-    rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(f"`{target}`").cast("bigint").alias("y"))
+    rows = df.select(*by, _present(score, "double").alias("score"), _present(target, "bigint").alias("y"))
     ranges = fit_ranges(rows, ["score"], rows_per_range=rows_per_range)
     per_score = ranges.ids(rows).groupBy(*by, "range_score", "score").agg(
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
@@ -52,7 +58,7 @@ def classification_metrics(
 
     AUC counts ties half, average precision is the step sum over distinct scores (not the
     trapezoid), KS is the largest lead of the true- over the false-positive rate. A metric
-    that needs a class which does not occur is null.
+    that needs a class which does not occur is null. Missing scores and labels are an error.
     """
     curve = score_curve(df, score=score, target=target, by=by, rows_per_range=rows_per_range)
     pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "pos_upto", "neg_upto"))
@@ -88,9 +94,10 @@ def ks_statistic(df: DataFrame, **names: str) -> DataFrame:
 def reliability_curve(df: DataFrame, *, score: str = "score", target: str = "Default", n_bins: int = 10) -> DataFrame:
     """Mean predicted against observed rate in quantile bins.
 
-    Bins are closed on the right, unlike PSI bins, and empty bins are absent.
+    Bins are closed on the right, unlike PSI bins, and empty bins are absent. Missing scores
+    and labels are an error.
     """
-    rows = df.select(F.col(score).cast("double").alias("score"), F.col(f"`{target}`").cast("double").alias("y"))
+    rows = df.select(_present(score, "double").alias("score"), _present(target, "double").alias("y"))
     edges = exact_quantiles(rows, ["score"], [i / n_bins for i in range(n_bins + 1)])["score"]
     steps = " ".join(f"when score <= {e!r}D then {i}" for i, e in enumerate(edges[1:-1]))
     bin_of = F.expr(f"case {steps} else {n_bins - 1} end") if steps else F.lit(0)

@@ -13,8 +13,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 4096
 ROWS_PER_RANGE = 250_000
+# Ranges of the smallest and the largest table. The upper end is what the sketch can tell apart.
+MIN_RANGES = 16
+MAX_RANGES = 16_384
 # Rows looked at per range to place the split points. They only balance the ranges: whatever
 # they are, every row lands in exactly one range and results stay exact.
 ROWS_PER_SPLIT_POINT = 200
@@ -30,13 +32,13 @@ class Ranges:
 
     @property
     def many(self) -> bool:
-        """Whether any column has several ranges. If not, each has few rows or no finite values."""
+        """Whether any column has several ranges. If not, none has two different finite values."""
         return any(self.splits.values())
 
     def ids(self, df: DataFrame, prefix: str = "range_") -> DataFrame:
         """Add the range number of each column; missing values have none."""
         cut = [c for c, s in self.splits.items() if s]
-        whole = {f"{prefix}{c}": F.when(F.col(c).isNotNull(), 0) for c, s in self.splits.items() if not s}
+        whole = {f"{prefix}{c}": F.when(F.col(f"`{c}`").isNotNull(), 0) for c, s in self.splits.items() if not s}
         if whole:
             df = df.withColumns(whole)
         if not cut:
@@ -52,29 +54,26 @@ class Ranges:
 
 
 def fit_ranges(
-    df: DataFrame, columns: list[str], *, rows_per_range: int = ROWS_PER_RANGE, at_least: int = 1
+    df: DataFrame, columns: list[str], *, rows_per_range: int = ROWS_PER_RANGE, at_least: int = MIN_RANGES
 ) -> Ranges:
-    """Cut double columns into ranges of about ``rows_per_range`` rows.
+    """Cut double columns into ranges of about ``rows_per_range`` rows, ``at_least`` so many.
 
-    A table of at most that many rows stays one range, any other gets ``at_least`` so many.
-    Runs a row count and, when one range is not enough, a quantile sketch that is merged in
-    two steps so that no task receives the sketches of all others.
+    Runs a row count and a quantile sketch that is merged in two steps, so that no task
+    receives the sketches of all others.
     """
     rows = df.count()
-    if rows <= rows_per_range:
-        return Ranges({c: () for c in columns})
     n_ranges = min(MAX_RANGES, max(at_least, -(-rows // rows_per_range)))
-    seen = df.select(*columns)
+    seen = df.select(*[F.col(f"`{c}`") for c in columns])
     wanted = n_ranges * ROWS_PER_SPLIT_POINT
     if rows > 2 * wanted:
         seen = seen.sample(wanted / rows, seed=1)
     k = F.lit(_SKETCH_K)
     group = (F.spark_partition_id() % _MERGE_GROUPS).alias("g")
-    parts = seen.groupBy(group).agg(*[F.kll_sketch_agg_double(c, k).alias(c) for c in columns])
-    whole = parts.agg(*[F.kll_merge_agg_double(c, k).alias(c) for c in columns])
+    parts = seen.groupBy(group).agg(*[F.kll_sketch_agg_double(F.col(f"`{c}`"), k).alias(c) for c in columns])
+    whole = parts.agg(*[F.kll_merge_agg_double(F.col(f"`{c}`"), k).alias(c) for c in columns])
     at = F.expr(f"array({', '.join(f'{i / n_ranges!r}D' for i in range(1, n_ranges))})")
     points = whole.select(
-        *[F.when(F.kll_sketch_get_n_double(c) > 0, F.kll_sketch_get_quantile_double(c, at)).alias(c) for c in columns]
+        *[F.when(F.kll_sketch_get_n_double(F.col(f"`{c}`")) > 0, F.kll_sketch_get_quantile_double(F.col(f"`{c}`"), at)).alias(c) for c in columns]
     ).first()
     inf = float("inf")
     return Ranges({c: tuple(sorted({p for p in points[c] or () if -inf < p < inf})) for c in columns})
@@ -111,7 +110,7 @@ def running_totals(
             F.lead(key).over(along).alias("next_key"),
         )
 
-    # At most MAX_RANGES rows per group from here to the join.
+    # One row per range of a group from here to the join.
     edge = F.max(key) if descending else F.min(key)
     per_range = df.groupBy(*by, range_col).agg(*[F.sum(s).alias(s) for s in sums], edge.alias("edge"))
     group = Window.partitionBy(*(by or [F.lit(0)]))

@@ -2,8 +2,8 @@
 
 "The k rows of each stratum with the smallest hash" would need every row of a stratum
 sorted in one task. Instead the k-th smallest hash is located first: a histogram of hash
-prefixes finds the one prefix in which it falls (hashes are uniform, so a prefix holds the
-same small part of a stratum however skewed the strata are), and only that prefix is ranked.
+prefixes finds the one prefix in which it falls, prefixes grow until few hashes share it, and
+only those are ranked.
 The selection itself is then a comparison with the cut, without a shuffle.
 """
 
@@ -13,40 +13,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from .bounded import join_bounded
+from .bounded import join_bounded, small_table
 
-# Up to this many rows 256 prefixes leave few rows to rank; beyond it there are 65,536.
-_FEW_ROWS = 50_000_000
+# A bucket of this many hashes is ranked in one task; a larger one is told apart by more digits.
+_RANK_ROWS = 100_000
+_DIGITS = 2
 
 
 def hash_cuts(df: DataFrame, strata: dict[str, Column], size: Column, *, id_column: str, salt: object) -> DataFrame:
     """Per stratum the hash and id of its last selected row.
 
     ``size`` is the number of rows to select, an expression that may use ``n``, the number
-    of rows of the stratum. ``id_column`` must be unique. Strata with nothing to select are
-    absent.
+    of rows of the stratum. Strata with nothing to select are absent. Ids must be there and
+    unique: a null id and a cut between rows of one id fail the job, since no hash order
+    tells such rows apart.
     """
     names = list(strata) or ["__all"]
     keys = [c.alias(n) for n, c in strata.items()] or [F.lit(1).alias("__all")]
-    rows = df.select(*keys, fx.hash_order(id_column, salt).alias("h"), F.col(f"`{id_column}`").alias("row_id"))
-    prefix = F.substring("h", 1, 2 if rows.count() <= _FEW_ROWS else 4)
-
-    histogram = rows.groupBy(*names, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("m"))
+    row_id = F.col(f"`{id_column}`")
+    known = F.when(row_id.isNull(), F.raise_error(F.lit(f"missing values in {id_column}"))).otherwise(row_id)
+    rows = df.select(*keys, known.alias("row_id")).withColumn("h", fx.hash_order("row_id", salt))
     per_stratum = Window.partitionBy(*names)
-    ahead = F.coalesce(F.sum("m").over(per_stratum.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reached = histogram.select(*names, "prefix", "m", ahead.alias("ahead"), F.sum("m").over(per_stratum).alias("n"))
-    boundary = (
-        reached.withColumn("k", F.least(size.cast("bigint"), F.col("n")))
-        .where("ahead < k and k <= ahead + m")
-        .select(*names, "prefix", (F.col("k") - F.col("ahead")).alias("rank_in_prefix"))
-    )
-    candidates = join_bounded(rows.withColumn("prefix", prefix), boundary, [*names, "prefix"])
-    rank = F.row_number().over(Window.partitionBy(*names).orderBy("h", "row_id"))
-    return (
-        candidates.withColumn("r", rank)
-        .where("r = rank_in_prefix")
-        .select(*names, F.col("h").alias("cut_hash"), F.col("row_id").alias("cut_id"))
-    )
+    wanted, prefix = None, 0
+    while True:
+        prefix += _DIGITS
+        rows = rows.withColumn("prefix", F.substring("h", 1, prefix))
+        histogram = rows.groupBy(*names, "prefix").agg(F.count(F.lit(1)).alias("m"))
+        ahead = F.coalesce(F.sum("m").over(per_stratum.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        reached = histogram.select(*names, "prefix", "m", ahead.alias("ahead"), F.sum("m").over(per_stratum).alias("n"))
+        if wanted is None:
+            reached = reached.withColumn("k", F.least(size.cast("bigint"), F.col("n")))
+        else:
+            reached = join_bounded(reached, wanted, names)
+        boundary = reached.where("ahead < k and k <= ahead + m").select(
+            *names, "prefix", "m", (F.col("k") - F.col("ahead")).alias("k")
+        )
+        boundary = small_table(boundary)  # one row per stratum
+        largest = boundary.agg(F.max("m")).first()[0] or 0
+        rows = join_bounded(rows, boundary.select(*names, "prefix"), [*names, "prefix"])
+        wanted = boundary.select(*names, "k")
+        if largest <= _RANK_ROWS or prefix >= 32:
+            break
+    candidates = join_bounded(rows, wanted, names)
+    order = Window.partitionBy(*names).orderBy("h", "row_id")
+    ranked = candidates.withColumn("r", F.row_number().over(order)).withColumn("next_id", F.lead("row_id").over(order))
+    split = F.raise_error(F.concat(F.lit(f"rows share the {id_column} "), F.col("row_id").cast("string")))
+    cut_id = F.when(F.col("row_id").eqNullSafe(F.col("next_id")), split).otherwise(F.col("row_id"))
+    return ranked.where("r = k").select(*names, F.col("h").alias("cut_hash"), cut_id.alias("cut_id"))
 
 
 def hash_select(
@@ -71,7 +84,7 @@ def stratified_sample(df: DataFrame, per_cell: int = 170, *, target: str = "Defa
 
 
 def exact_sample(df: DataFrame, n: int, *, seed: int = 42, id_column: str = "id") -> DataFrame:
-    """Exactly ``n`` rows, or all rows when there are no more than that."""
+    """Exactly ``n`` rows, or all rows when there are no more than that; ids must be unique."""
     rows, chosen = hash_select(df, {}, F.lit(n), id_column=id_column, salt=seed)
     return rows.where(chosen).select(*[F.col(f"`{c}`") for c in df.columns])
 
