@@ -7,7 +7,7 @@ from tests.compare import connect, difference
 
 # Queries without a counterpart: files outside the tables, learned models, the whole loop.
 ROWS_ONLY = {
-    "manifest_check", "gbt_calibrated_scores", "gbt_metrics", "score_applications", "global_attribution",
+    "gbt_calibrated_scores", "gbt_metrics", "score_applications", "global_attribution",
     "row_attribution", "lifecycle_run",
 }
 
@@ -34,10 +34,7 @@ def test_query_equals_its_counterpart(spark, sf_dir, con, name):
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY - {"lifecycle_run"}))
 def test_rows_only_queries_return_rows(spark, sf_dir, name):
-    found = queries()[name](spark, sf_dir)
-    assert found.count() > 0
-    if name == "manifest_check":
-        assert found.where("status <> 'ok'").isEmpty()
+    assert queries()[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):

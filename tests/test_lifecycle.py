@@ -1,4 +1,5 @@
 import dataclasses
+import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tidemark import ModelParams, Settings, load_split, promote, run_lifecycle,
 from tidemark.__main__ import main
 from tidemark.plans import ledger
 from tidemark.plans.ledger import Event
+from tidemark.plans.lifecycle import run_cycle
 from tidemark.plans.training import load_production, load_served, run_eval
 from tidemark.sources.store import build_feature_store, load_or_build
 
@@ -106,6 +108,18 @@ def test_loop_retrains_on_drift_and_only_then(spark, shared):
     assert set(summary["feature_psi"].asDict()) >= {"fico_n", "zip_code"}
 
 
+def test_an_alert_of_the_stream_retrains_without_batch_drift(spark, shared, tmp_path):
+    schema = "window_start timestamp, drifted_features array<string>, max_psi double"
+    alert = spark.sql("select timestamp'2024-01-18' as w, array('fico_n') as f, 1.5D as p").toDF(*[c.split()[0] for c in schema.split(", ")])
+    alert.write.parquet(str(tmp_path / "alerts" / "batch=0"))
+    quiet = dict(params=TINY, inject=False, write_reports=False, alerts_path=str(tmp_path))
+    calm = dataclasses.replace(shared, psi_threshold=50.0)
+    handled = run_cycle(spark, calm, alerts_handled_until=dt.datetime(2024, 1, 18), **quiet)
+    assert handled.action == "none" and not handled.monitoring.drift_detected
+    answered = run_cycle(spark, calm, **quiet)
+    assert answered.action == "retrained" and not answered.monitoring.drift_detected
+
+
 def test_nothing_registered_is_an_error(spark, settings):
     with pytest.raises(RuntimeError, match="train first"):
         load_served(spark, settings)

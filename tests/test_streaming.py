@@ -87,6 +87,30 @@ def test_alerts_name_the_drifted_windows(spark, events, frozen, tmp_path):
     assert not stream.retrain_due(spark, str(tmp_path / "nowhere"))
 
 
+def test_a_feature_missing_all_through_a_window_has_a_row_there(spark, events, frozen, tmp_path):
+    hole = events.withColumn("value", F.when(F.dayofmonth("ts") != 18, F.col("value")))
+    land(hole, tmp_path / "in", [17, 18])
+    found = as_dict(run(spark, hole, frozen, tmp_path))
+    assert found["2024-01-18 00:00:00", "value"] == (0.0, 0) and len(found) == 4
+
+
+def test_merged_counters_equal_all_counters(spark, events, frozen, tmp_path):
+    days = range(16, 21)
+    land(events, tmp_path / "in", days)
+    later = events.where(F.dayofmonth("ts").between(16, 20))
+    assert as_dict(run(spark, events, frozen, tmp_path, merge_every=2, threshold=50.0)) == batch(later, frozen)
+    assert stream._merges(spark, str(tmp_path / "out"))
+
+
+def test_keys_default_to_those_of_the_batch_decision(events, frozen):
+    assert frozen.key_features(None) == ("value", "event_type") and frozen.key_features(["value"]) == ("value",)
+    with pytest.raises(KeyError):
+        frozen.key_features(["fico_n"])
+    named = events.withColumnRenamed("value", "fico_n")
+    own = stream.FrozenReference.fit(named, fit_reference(named, ["fico_n"]), ["event_type"])
+    assert own.key_features(None) == ("fico_n",)
+
+
 def test_stream_scores_equal_batch_scores(spark, sf_dir, raw, tmp_path):
     def scorer(df):
         scored = formula_score(build_feature_matrix(df, keep=("id",)))

@@ -59,13 +59,13 @@ feats as (
 
 
 def _score(a: float, b: float, c: float) -> str:
-    return f"round(1 / (1 + exp(-(({a}) + ({b}) * emp_length_years + ({c}) * (fico_n - 600)))), 6)"
+    return f"round(1 / (1 + exp(-(({a}) + ({b}) * coalesce(emp_length_years, 0) + ({c}) * (coalesce(fico_n, 600) - 600)))), 6)"
 
 
 _SCORED = (
     _FEATS
     + f""",
-scored as (select id, split, {_score(*SCORE_WEIGHTS)} as score, "Default" as y from feats where emp_length_years is not null)"""
+scored as (select id, split, {_score(*SCORE_WEIGHTS)} as score, "Default" as y from feats)"""
 )
 
 
@@ -277,7 +277,7 @@ moved as (select severity, feature, sum({_TERM}) as psi from shares group by all
 
 def _ledger() -> str:
     rivals = " union all ".join(
-        f"select {v} as version, {_score(a, b, c)} as score, \"Default\" as y from feats where split = 'test' and emp_length_years is not null"
+        f"select {v} as version, {_score(a, b, c)} as score, \"Default\" as y from feats where split = 'test'"
         for v, a, b, c in CANDIDATES
     )
     return _with(
@@ -317,7 +317,14 @@ def _drifted_list() -> str:
 
 _KEY_FIRED = f"(select bool_or(psi > 0.2) from psi_num where feature in ({', '.join(repr(c) for c in KEY_FEATURES)}))"
 
+_FILES = (
+    "absent customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations region nation"
+).split()
+_STATUS = {"absent": "missing", "part": "unlisted", "region": "wrong_size", "nation": "wrong_md5"}
+_FILE_ROWS = ", ".join(f"('{f}.parquet', '{_STATUS.get(f, 'ok')}')" for f in _FILES)
+
 ORACLE: dict[str, str] = {
+    "manifest_check": f"select file, status from (values {_FILE_ROWS}) as f(file, status)",
     "source_validation": _with(
         _LOANS,
         """select count(*) as n_rows, count(*) filter (where "Default" not in (0, 1) or "Default" is null) as bad_targets,
@@ -435,8 +442,8 @@ cur_scores as (select score from scored where split = 'test'),""" + _PREDICTION_
     ),
     "drift_decision": _with(
         _TRAIN_STRESSED + _psi_ctes("ref", "cur") + f""",
-ref_scores as (select {_score(*SCORE_WEIGHTS)} as score from feats where split = 'valid' and emp_length_years is not null),
-cur_scores as (select {_score(*SCORE_WEIGHTS)} as score from cur where emp_length_years is not null),""" + _PREDICTION_PSI,
+ref_scores as (select {_score(*SCORE_WEIGHTS)} as score from feats where split = 'valid'),
+cur_scores as (select {_score(*SCORE_WEIGHTS)} as score from cur),""" + _PREDICTION_PSI,
         f"""select {_drifted_list()} as drifted_features, {_KEY_FIRED} as key_drift, round(psi, 9) as prediction_psi, psi > 0.2 as prediction_drift,
         psi > 0.2 or {_KEY_FIRED} as drift_detected, (select count(*) from ref) as n_reference, (select count(*) from cur) as n_current from ppsi""",
     ),

@@ -63,14 +63,14 @@ def _split(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _logistic(a: float, b: float, c: float) -> Column:
-    z = a + b * F.col("emp_length_years") + c * (F.col("fico_n") - 600)
+    # Orders without lines have neither; they count as new in the job and of middling credit.
+    z = a + b * F.coalesce("emp_length_years", F.lit(0.0)) + c * (F.coalesce("fico_n", F.lit(600.0)) - 600)
     return F.round(1 / (1 + F.exp(-z)), 6)
 
 
 def formula_score(df: DataFrame) -> DataFrame:
-    """Rows with order lines, scored by a fixed logistic of two features."""
-    # Orders without lines carry label 0 by construction, so they would flatter any score.
-    return df.where("emp_length_years is not null").withColumn("score", _logistic(*SCORE_WEIGHTS))
+    """Rows scored by a fixed logistic of two features."""
+    return df.withColumn("score", _logistic(*SCORE_WEIGHTS))
 
 
 def _scored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,9 +105,15 @@ def csv_round_trip(spark, sf_dir):
 
 @query
 def manifest_check(spark, sf_dir):
-    """Size and MD5 of every table file, taken and then verified."""
-    manifest = integrity.file_manifest(spark, sf_dir, "*.parquet")
-    return integrity.check_manifest(spark, sf_dir, manifest, "*.parquet")
+    """The table files against a manifest that is wrong in four known places."""
+    manifest = integrity.file_manifest(spark, sf_dir, "*.parquet").where("file <> 'part.parquet'")
+    wrong = manifest.select(
+        "file",
+        (F.col("size_bytes") + F.when(F.col("file") == "region.parquet", 1).otherwise(0)).alias("size_bytes"),
+        F.when(F.col("file") == "nation.parquet", F.reverse("md5")).otherwise(F.col("md5")).alias("md5"),
+    )
+    absent = manifest.where("file = 'orders.parquet'").withColumn("file", F.lit("absent.parquet"))
+    return integrity.check_manifest(spark, sf_dir, wrong.unionByName(absent), "*.parquet")
 
 
 # --- cohorts ---------------------------------------------------------------------------
@@ -442,7 +448,7 @@ def target_encode_new(spark, sf_dir):
 def demo_model(spark: SparkSession, sf_dir: str) -> ScoringModel:
     """A small model, trained once per session and saved."""
     def write(path: str) -> None:
-        rows = loan_features(spark, sf_dir).where("emp_length_years is not null")
+        rows = loan_features(spark, sf_dir)
         train, valid = (rows.where(F.col("split") == s) for s in ("train", "valid"))
         calibrate(fit_base(train, DEMO_PARAMS), valid).save(path)
 
@@ -456,18 +462,17 @@ def gbt_calibrated_scores(spark, sf_dir):
 
 @query
 def gbt_metrics(spark, sf_dir):
-    rows = _split(spark, sf_dir, "test").where("emp_length_years is not null")
+    rows = _split(spark, sf_dir, "test")
     return metrics.classification_metrics(demo_model(spark, sf_dir).score(rows).select("score", "Default"))
 
 
-def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    applications = raw_loans(spark, sf_dir).select("id", *RAW_INPUT_COLUMNS)
-    return with_errors(applications).where(F.size("errors") == 0).drop("errors")
-
-
 @query
 def score_applications(spark, sf_dir):
-    return score_batch(_accepted(spark, sf_dir), demo_model(spark, sf_dir), version=1, stage=ledger.PRODUCTION)
+    """Every application: the accepted ones scored, the rejected ones with their errors."""
+    checked = with_errors(raw_loans(spark, sf_dir).select("id", *RAW_INPUT_COLUMNS))
+    accepted = checked.where(F.size("errors") == 0).drop("errors")
+    scored = score_batch(accepted, demo_model(spark, sf_dir), version=1, stage=ledger.PRODUCTION)
+    return checked.select("id", F.array_join("errors", "; ").alias("errors")).join(scored, "id", "left")
 
 
 @query
@@ -504,7 +509,7 @@ def risk_bands(spark, sf_dir):
 def ledger_current(spark, sf_dir):
     """Rival scores as versions: measured in one job, gated, promoted in turn, folded to what is served."""
     settings = Settings(root=f"{work_dir(spark)}/ledger-{uuid.uuid4().hex[:12]}")
-    rows = _split(spark, sf_dir, "test").where("emp_length_years is not null")
+    rows = _split(spark, sf_dir, "test")
     rivals = F.inline(F.array(*[F.struct(F.lit(v).alias("version"), _logistic(a, b, c).alias("score")) for v, a, b, c in CANDIDATES]))
     measured = metrics.classification_metrics(rows.select("Default", rivals), by=["version"])
     for row in measured.orderBy("version").collect():  # one row per version
@@ -533,7 +538,7 @@ def lifecycle_run(spark, sf_dir):
     settings = Settings(root=root, train_end=VIEW_SETTINGS.train_end, valid_end=VIEW_SETTINGS.valid_end)
     raw_loans(spark, sf_dir).write.parquet(settings.raw_parquet)
     params = ModelParams(n_estimators=5, max_depth=4, learning_rate=0.3)
-    return run_lifecycle(spark, settings, params=params, write_reports=False)
+    return run_lifecycle(spark, settings, params=params)
 
 
 # --- streams ---------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from ..settings import Settings
 from .features import CATEGORICAL_FEATURES, FEATURE_COLUMNS, NUMERIC_FEATURES, apply_scenario
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quoted, text_literal
 
 # The features whose drift triggers a retrain, and the number of bins.
 KEY_FEATURES = ("fico_n", "dti_n", "loan_to_income", "revenue", "loan_amnt")
@@ -31,8 +31,9 @@ class ReferenceBins:
 
     def bin_of(self, feature: str) -> str:
         """SQL for the left-closed bin number of a column, null for a missing value."""
-        steps = " ".join(f"when {feature} < {e!r}D then {i}" for i, e in enumerate(self.edges[feature]))
-        return f"case when {feature} is null then null {steps} else {len(self.edges[feature])} end"
+        name = quoted(feature)
+        steps = " ".join(f"when {name} < {e!r}D then {i}" for i, e in enumerate(self.edges[feature]))
+        return f"case when {name} is null then null {steps} else {len(self.edges[feature])} end"
 
     @property
     def usable(self) -> list[str]:
@@ -54,7 +55,7 @@ def fit_reference(reference: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURE
     found = exact_quantiles(reference, numeric, [i / bins for i in range(bins + 1)])
     small = {c for c in numeric if not found[c]}
     if enough := [c for c in numeric if found[c]]:
-        sizes = reference.agg(*[F.count(c).alias(c) for c in enough]).first()
+        sizes = reference.agg(*[F.count(F.col(quoted(c))).alias(c) for c in enough]).first()
         small.update(c for c in enough if sizes[c] < bins)
     edges = {}
     for c in numeric:
@@ -68,14 +69,14 @@ def cells(df: DataFrame, bins: ReferenceBins, categorical: Sequence[str], by: Se
 
     For streams, which can count only one such table; ``count_cells`` is faster in batch.
     """
-    parts = [f"'{f}', {bins.bin_of(f)}, cast(null as string)" for f in bins.usable]
-    parts += [f"'{f}', cast(null as int), {_level(f)}" for f in categorical]
+    parts = [f"{text_literal(f)}, {bins.bin_of(f)}, cast(null as string)" for f in bins.usable]
+    parts += [f"{text_literal(f)}, cast(null as int), {_level(f)}" for f in categorical]
     stacked = f"stack({len(parts)}, {', '.join(parts)}) as (feature, bin, level)"
     return df.selectExpr(*by, stacked).where("bin is not null or level is not null")
 
 
 def _level(feature: str) -> str:
-    return f"coalesce(cast({feature} as string), '{fx.MISSING_LEVEL}')"
+    return f"coalesce(cast({quoted(feature)} as string), '{fx.MISSING_LEVEL}')"
 
 
 def count_cells(
@@ -143,6 +144,8 @@ def psi_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     totals = counts.groupBy(*keys).agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
     term = fx.psi_term(F.col("ref") / F.col("n_ref"), F.col("cur") / F.col("n_cur"))
     both = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
+    if not by:
+        totals = F.broadcast(totals)  # one row per feature; the counts grow with the levels
     return (
         counts.join(totals, keys)
         .groupBy(*keys)

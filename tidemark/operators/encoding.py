@@ -13,6 +13,7 @@ from ..functions import columns as fx
 from ..session import materialise
 from .bounded import TooManyRows, small_rows
 from .features import CATEGORICAL_FEATURES
+from .quantiles import quoted
 
 # Fixed value: folds of the cross-fitting.
 FOLDS = 5
@@ -40,8 +41,8 @@ def fold_counts(
     df: DataFrame, columns: Sequence[str], *, target: str, id_column: str, seed: object
 ) -> DataFrame:
     """(feature, level, fold, n, pos): all categoricals in one pass, counted before the shuffle."""
-    levels = ", ".join(f"{i}, coalesce(cast({c} as string), '{fx.MISSING_LEVEL}')" for i, c in enumerate(columns))
-    keyed = df.select(*columns, fold_of(id_column, seed).alias("fold"), F.col(f"`{target}`").cast("bigint").alias("y"))
+    levels = ", ".join(f"{i}, coalesce(cast({quoted(c)} as string), '{fx.MISSING_LEVEL}')" for i, c in enumerate(columns))
+    keyed = df.select(*[F.col(quoted(c)) for c in columns], fold_of(id_column, seed).alias("fold"), F.col(f"`{target}`").cast("bigint").alias("y"))
     counted = (
         keyed.selectExpr("fold", "y", f"stack({len(columns)}, {levels}) as (slot, level)")
         .groupBy("slot", "level", "fold")

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..session import materialise
 from .features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from .quantiles import exact_quantiles, unpivot_with_ranges
+from .quantiles import exact_quantiles, quoted, text_literal, unpivot_with_ranges
 from .ranges import ROWS_PER_RANGE, fit_ranges, running_totals
 
 # A column counts as drifted from this distance on, a table from this share on.
@@ -26,9 +27,21 @@ def _wide_to_rows(wide: DataFrame, columns: Sequence[str], fields: dict[str, str
     return wide.select(F.inline(F.array(*per_column)))
 
 
-def _missing_shares(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    wide = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
-    return _wide_to_rows(wide, columns, {name: "{}"})
+def _side_facts(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], name: str) -> DataFrame:
+    """(feature, <name>, sigma): missing shares and, of numbers, the deviation, by one aggregate."""
+    columns = [*numeric, *categorical]
+    missing = [F.avg(F.col(quoted(c)).isNull().cast("double")).alias(f"{i}_missing") for i, c in enumerate(columns)]
+    sigma = [F.stddev_pop(quoted(c)).alias(f"{i}_sigma") for i, c in enumerate(numeric)]
+    wide = df.agg(*missing, *sigma)
+    rows = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.col(f"{i}_missing").alias(name),
+            (F.col(f"{i}_sigma") if i < len(numeric) else F.lit(None).cast("double")).alias("sigma"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def numeric_distances(
@@ -37,6 +50,7 @@ def numeric_distances(
     columns: Sequence[str] = NUMERIC_FEATURES,
     *,
     rows_per_range: int = ROWS_PER_RANGE,
+    sigma: DataFrame | None = None,
 ) -> DataFrame:
     """(feature, ks, wasserstein): exact two-sample KS and Wasserstein-1 over sigma of the reference."""
     columns = list(columns)
@@ -49,6 +63,8 @@ def numeric_distances(
         .groupBy("feature", "rng", "x")
         .agg(F.sum("r").alias("ref"), F.sum("c").alias("cur"))
     )
+    # Read three times below; shuffled once.
+    per_value = materialise(per_value, "values-of-both-sides")
     curve = running_totals(per_value, ranges, by=["feature"], range_col="rng", key="x", sums=["ref", "cur"])
     gap = F.abs(
         F.try_divide(F.col("ref_upto"), F.col("ref_total")) - F.try_divide(F.col("cur_upto"), F.col("cur_total"))
@@ -57,13 +73,14 @@ def numeric_distances(
     distances = curve.groupBy("feature").agg(
         F.max(gap).alias("ks"), F.coalesce(F.sum(area), F.lit(0.0)).alias("w1"), F.max("ref_total").alias("n_ref")
     )
-    sigma = _wide_to_rows(reference.agg(*[F.stddev_pop(c).alias(c) for c in columns]), columns, {"sigma": "{}"})
+    if sigma is None:
+        sigma = _side_facts(reference, (), columns, "missing").select("feature", "sigma")
     scaled = F.col("w1") / F.greatest(F.col("sigma"), F.lit(_MIN_SIGMA))
     return sigma.join(distances, "feature", "left").select("feature", "ks", scaled.alias("wasserstein"))
 
 
 def _doubles(columns: Sequence[str]) -> list[Column]:
-    return [F.col(c).cast("double").alias(c) for c in columns]
+    return [F.col(quoted(c)).cast("double").alias(c) for c in columns]
 
 
 def categorical_distances(
@@ -71,7 +88,7 @@ def categorical_distances(
 ) -> DataFrame:
     """(feature, jensen_shannon): base-2 Jensen-Shannon distance, missing as its own level."""
     def levels(df: DataFrame, r: int, c: int) -> DataFrame:
-        parts = ", ".join(f"'{x}', coalesce(cast({x} as string), '{fx.MISSING_LEVEL}')" for x in columns)
+        parts = ", ".join(f"{text_literal(x)}, coalesce(cast({quoted(x)} as string), '{fx.MISSING_LEVEL}')" for x in columns)
         return df.selectExpr(f"stack({len(columns)}, {parts}) as (feature, level)", f"{r} as r", f"{c} as c")
 
     counts = (
@@ -82,7 +99,8 @@ def categorical_distances(
     )
     totals = counts.groupBy("feature").agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
     p, q = F.try_divide(F.col("ref"), F.col("n_ref")), F.try_divide(F.col("cur"), F.col("n_cur"))
-    shares = counts.join(totals, "feature").select("feature", p.alias("p"), q.alias("q"))
+    # One row per feature; the counts grow with the levels.
+    shares = counts.join(F.broadcast(totals), "feature").select("feature", p.alias("p"), q.alias("q"))
     m = (F.col("p") + F.col("q")) / 2
 
     def half(share: str) -> Column:
@@ -102,7 +120,10 @@ def drift_report(
 ) -> DataFrame:
     """One row per column: distance and its kind, KS for numbers, missing shares, drift flag."""
     shape = "feature", "kind", "method", "distance", "ks"
-    numbers = numeric_distances(reference, current, numeric, rows_per_range=rows_per_range).select(
+    ref_facts = materialise(_side_facts(reference, categorical, numeric, "ref_missing"), "side-facts")
+    cur_facts = _side_facts(current, categorical, numeric, "cur_missing").drop("sigma")
+    sigma = ref_facts.where(F.col("feature").isin(*numeric)).select("feature", "sigma")
+    numbers = numeric_distances(reference, current, numeric, rows_per_range=rows_per_range, sigma=sigma).select(
         "feature", F.lit("numeric").alias("kind"), F.lit("wasserstein").alias("method"),
         F.col("wasserstein").alias("distance"), "ks",
     )
@@ -110,12 +131,11 @@ def drift_report(
         "feature", F.lit("categorical").alias("kind"), F.lit("jensen_shannon").alias("method"),
         F.col("jensen_shannon").alias("distance"), F.lit(None).cast("double").alias("ks"),
     )
-    columns = [*numeric, *categorical]
     return (
         numbers.select(*shape)
         .unionByName(levels.select(*shape))
-        .join(_missing_shares(reference, columns, "ref_missing"), "feature")
-        .join(_missing_shares(current, columns, "cur_missing"), "feature")
+        .join(ref_facts.drop("sigma"), "feature")
+        .join(cur_facts, "feature")
         .withColumn("drifted", F.coalesce(F.col("distance") >= COLUMN_DISTANCE, F.lit(False)))
     )
 
@@ -176,8 +196,8 @@ def column_profile(
     if approximate_distinct:
         return out
 
-    parts = [f"'{c}', cast({c} as double), cast(null as string)" for c in numeric]
-    parts += [f"'{c}', cast(null as double), cast({c} as string)" for c in categorical]
+    parts = [f"{text_literal(c)}, cast({quoted(c)} as double), cast(null as string)" for c in numeric]
+    parts += [f"{text_literal(c)}, cast(null as double), cast({quoted(c)} as string)" for c in categorical]
     values = df.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) as (feature, x, level)")
     frequent = (
         values.where("x is not null or level is not null")

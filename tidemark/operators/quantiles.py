@@ -28,12 +28,12 @@ def quoted(name: str) -> str:
 
 def unpivot_with_ranges(df: DataFrame, columns: list[str], extra: Sequence[str] = ()) -> DataFrame:
     """(feature, rng, x) rows for the non-missing values; ``extra`` columns come along."""
-    parts = ", ".join(f"{_text(c)}, {quoted(f'range_{c}')}, cast({quoted(c)} as double)" for c in columns)
+    parts = ", ".join(f"{text_literal(c)}, {quoted(f'range_{c}')}, cast({quoted(c)} as double)" for c in columns)
     long = df.selectExpr(*extra, f"stack({len(columns)}, {parts}) as (feature, rng, x)")
     return long.where("x is not null")
 
 
-def _text(value: str) -> str:
+def text_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..settings import Settings
 from ..sources.store import build_feature_store, load_store
+from ..streaming.drift import retrain_due
 from . import ledger
 from .model import ModelParams
 from .monitoring import MonitoringResult, run_monitoring
@@ -40,10 +41,18 @@ def run_cycle(
     inject: bool = True,
     sample_size: int | None = None,
     write_reports: bool = True,
+    alerts_path: str | None = None,
+    alerts_handled_until: object = None,
 ) -> CycleResult:
+    """Monitor, and retrain and promote on drift: that of the batch, or an alert of a drift stream.
+
+    ``alerts_path`` is the folder the stream works in; windows up to ``alerts_handled_until``
+    count as answered.
+    """
     settings = settings or Settings()
     found = run_monitoring(spark, settings, inject=inject, sample_size=sample_size, write_reports=write_reports)
-    if not found.drift_detected:
+    alerted = alerts_path is not None and retrain_due(spark, alerts_path, alerts_handled_until)
+    if not (found.drift_detected or alerted):
         return CycleResult(found)
     return CycleResult(found, *retrain_and_promote(spark, settings, params))
 
@@ -61,6 +70,8 @@ def run_lifecycle(
     inject: bool = True,
     sample_size: int | None = None,
     write_reports: bool = True,
+    alerts_path: str | None = None,
+    alerts_handled_until: object = None,
 ) -> DataFrame:
     """Build the store and a first model where absent, run a cycle, and report what changed."""
     settings = settings or Settings()
@@ -73,7 +84,14 @@ def run_lifecycle(
         promote(spark, settings, version=first.version)
     before = _served(spark, settings)
     cycle = run_cycle(
-        spark, settings, params=params, inject=inject, sample_size=sample_size, write_reports=write_reports
+        spark,
+        settings,
+        params=params,
+        inject=inject,
+        sample_size=sample_size,
+        write_reports=write_reports,
+        alerts_path=alerts_path,
+        alerts_handled_until=alerts_handled_until,
     )
     after = _served(spark, settings)
     row = (

@@ -67,6 +67,7 @@ def run_monitoring(
     report = evaluate_drift(reference, current, threshold=settings.psi_threshold, **scores)
     version = served[1] if served else None
     decision = report.decision.withColumn("served_version", F.lit(version).cast("int"))
+    decision = materialise(decision, "drift-decision")
     reports: dict[str, str] = {}
     if write_reports:
         prefix = f"{settings.reports_dir}/{'drift_injected' if inject else 'drift_baseline'}"

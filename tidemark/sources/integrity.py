@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A file's bytes have to fit in one row.
-MAX_FILE_BYTES = 2**31 - 1
+# A file's bytes fit in one row up to here; larger ones are hashed as a stream by their task.
+ONE_ROW_BYTES = 2**31 - 1
+_CHUNK = 1 << 20
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -16,13 +22,30 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(file, size_bytes, md5) of the files under ``path``."""
-    return _files(spark, path, pattern).select(
-        "file", F.col("length").alias("size_bytes"), F.md5("content").alias("md5")
-    )
+    return _sums(_files(spark, path, pattern)).withColumnsRenamed({"length": "size_bytes", "found_md5": "md5"})
+
+
+def _sums(files: DataFrame) -> DataFrame:
+    """(file, length, found_md5) of files of any size."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, file, length in zip(*(batch.column(c).to_pylist() for c in ("path", "file", "length"))):
+                system, place = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+                digest = hashlib.md5(usedforsecurity=False)
+                with system.open_input_stream(place, compression=None) as source:
+                    while chunk := source.read(_CHUNK):
+                        digest.update(chunk)
+                columns = [pa.array([x]) for x in (file, length, digest.hexdigest())]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "length", "found_md5"])
+
+    small = files.where(F.col("length") <= ONE_ROW_BYTES).select("file", "length", F.md5("content").alias("found_md5"))
+    large = files.where(F.col("length") > ONE_ROW_BYTES).select("path", "file", "length")
+    return small.unionByName(large.mapInArrow(stream, "file string, length bigint, found_md5 string"))
 
 
 def check_manifest(spark: SparkSession, path: str, manifest: DataFrame, pattern: str = "*") -> DataFrame:
-    """(file, status): ok, missing, wrong_size, wrong_md5, too_large or unlisted.
+    """(file, status): ok, missing, wrong_size, wrong_md5 or unlisted.
 
     Sizes come from the file listing alone; only files of the right size are read.
     """
@@ -30,15 +53,13 @@ def check_manifest(spark: SparkSession, path: str, manifest: DataFrame, pattern:
     sizes = _files(spark, path, pattern).select("file", F.col("length").alias("found_bytes"))
     listed = manifest.select("file", "size_bytes", F.col("md5").alias("want_md5"))
     states = listed.join(sizes, "file", "full")
-    readable = _files(spark, path, pattern).where(F.col("length") <= MAX_FILE_BYTES)
-    sums = readable.join(
-        listed.select("file", "size_bytes"), (readable["file"] == listed["file"]) & (readable["length"] == listed["size_bytes"])
-    ).select(readable["file"], F.md5("content").alias("found_md5"))
+    wanted = listed.select(F.col("file").alias("listed_file"), F.col("size_bytes").alias("listed_bytes"))
+    right_size = (F.col("file") == F.col("listed_file")) & (F.col("length") == F.col("listed_bytes"))
+    sums = _sums(_files(spark, path, pattern).join(wanted, right_size, "left_semi")).select("file", "found_md5")
     status = (
         F.when(F.col("found_bytes").isNull(), "missing")
         .when(F.col("size_bytes").isNull(), "unlisted")
         .when(F.col("found_bytes") != F.col("size_bytes"), "wrong_size")
-        .when(F.col("found_bytes") > MAX_FILE_BYTES, "too_large")
         .when(F.col("found_md5") != F.col("want_md5"), "wrong_md5")
         .otherwise("ok")
     )
@@ -48,5 +69,8 @@ def check_manifest(spark: SparkSession, path: str, manifest: DataFrame, pattern:
 def require_manifest(spark: SparkSession, path: str, manifest: DataFrame, pattern: str = "*") -> None:
     """Raise if any listed file is absent or differs."""
     bad = check_manifest(spark, path, manifest, pattern).where("status not in ('ok', 'unlisted')")
-    if rows := bad.orderBy("file").limit(20).collect():
-        raise OSError("files do not match the manifest: " + ", ".join(f"{r['file']} ({r['status']})" for r in rows))
+    named = 20
+    if rows := bad.orderBy("file").limit(named).collect():
+        more = bad.count() - len(rows)
+        listed = ", ".join(f"{r['file']} ({r['status']})" for r in rows)
+        raise OSError(f"files do not match the manifest: {listed}" + (f" and {more} more" if more else ""))

@@ -12,6 +12,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def child_paths(spark: SparkSession, path: str) -> list[str]:
+    """What lies directly in a folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    return [status.getPath().toString() for status in found]
+
+
 def resolve_source(spark: SparkSession, source: str | None = None, settings: Settings | None = None) -> str:
     """An explicit source, else the landed Parquet, else the sample; an error if there is none."""
     settings = settings or Settings()

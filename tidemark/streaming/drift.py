@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.bounded import small_rows
-from ..operators.drift import ReferenceBins, cells, drifted_features, psi_of_counts
+from ..operators.drift import KEY_FEATURES, ReferenceBins, cells, drifted_features, psi_of_counts
 from ..session import materialise
-from ..sources.paths import path_exists
+from ..sources.paths import child_paths, path_exists
 
 _CELL = ["feature", "bin", "level"]
+MERGE_EVERY = 50
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,18 @@ class FrozenReference:
     counts: DataFrame
     categorical: tuple[str, ...]
 
+    @property
+    def features(self) -> tuple[str, ...]:
+        return (*self.bins.edges, *self.categorical)
+
+    def key_features(self, named: Sequence[str] | None) -> tuple[str, ...]:
+        """The features that may raise an alert: those named, else the batch decision's keys, else all."""
+        if named is not None:
+            if unknown := sorted(set(named) - set(self.features)):
+                raise KeyError(f"key features without a PSI: {unknown}")
+            return tuple(named)
+        return tuple(f for f in KEY_FEATURES if f in self.features) or self.features
+
     @classmethod
     def fit(cls, reference: DataFrame, bins: ReferenceBins, categorical: Sequence[str]) -> FrozenReference:
         counts = cells(reference, bins, categorical).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("ref"))
@@ -51,26 +64,51 @@ def windowed_cells(rows: DataFrame, ref: FrozenReference, *, ts: str, width: str
 
 def windowed_psi(counts: DataFrame, ref: FrozenReference) -> DataFrame:
     """(window_start, feature, psi, n_cur) from current counts and the frozen reference."""
-    # A window is compared with all reference cells, also those it has no rows in.
-    features = counts.select("window_start", "feature").distinct()
+    # A window is compared with all reference cells, also those it has no rows in, and has a
+    # row for every feature of the reference, also one that is missing all through the window.
+    names = F.array(*[F.lit(f) for f in ref.features])
+    features = counts.select("window_start").distinct().select("window_start", F.explode(names).alias("feature"))
     zero = F.lit(0).cast("bigint")
     expected = features.join(ref.counts, "feature").select("window_start", *_CELL, "ref", zero.alias("cur"))
     seen = counts.select("window_start", *_CELL, zero.alias("ref"), "cur")
     both = expected.unionByName(seen).groupBy("window_start", *_CELL).agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
-    return psi_of_counts(both, ["window_start"]).select("window_start", "feature", "psi", "n_cur")
+    found = psi_of_counts(both, ["window_start"]).select("window_start", "feature", "psi", "n_cur")
+    return features.join(found, ["window_start", "feature"], "left").select(
+        "window_start", "feature", F.coalesce("psi", F.lit(0.0)).alias("psi"), F.coalesce("n_cur", zero).alias("n_cur")
+    )
 
 
-def current_counts(spark: SparkSession, path: str, days: Sequence[object] | None = None) -> DataFrame:
-    """Latest value of every counter written so far. Counters only grow.
+def current_counts(
+    spark: SparkSession, path: str, days: Sequence[object] | None = None, *, upto: int | None = None
+) -> DataFrame:
+    """Latest value of every counter written so far, or up to a batch. Counters only grow.
 
     ``days`` limits the files read to windows that start on those dates.
     """
+    columns = ["window_start", *_CELL, "cur", "day"]
     written = spark.read.option("basePath", f"{path}/counts").parquet(f"{path}/counts")
+    if upto is not None:
+        written = written.where(F.col("batch") <= upto)
+    merges = [n for n in _merges(spark, path) if upto is None or n < upto]
+    if merges:
+        merged = spark.read.parquet(f"{path}/merged/upto={max(merges)}")
+        written = written.where(F.col("batch") > max(merges)).select(*columns).unionByName(merged.select(*columns))
     if days is not None:
         written = written.where(F.col("day").isin(list(days)))
     return written.groupBy("window_start", *_CELL).agg(F.max("cur").alias("cur"))
 
 
+def _merges(spark: SparkSession, path: str) -> list[int]:
+    """Batches up to which a finished merge exists."""
+    if not path_exists(spark, f"{path}/merged"):
+        return []
+    return [
+        int(p.rsplit("=", 1)[1])
+        for p in child_paths(spark, f"{path}/merged")
+        if path_exists(spark, f"{p}/_SUCCESS")
+    ]
+
+
 def start_drift(
     rows: DataFrame,
     ref: FrozenReference,
@@ -80,10 +118,19 @@ def start_drift(
     width: str = "1 day",
     watermark: str = "1 day",
     threshold: float | None = None,
-    key_features: Sequence[str] = (),
+    key_features: Sequence[str] | None = None,
+    score: str | None = None,
+    merge_every: int = MERGE_EVERY,
     **trigger,
 ) -> StreamingQuery:
-    """Maintain counters under ``path`` and, given a threshold, append an alert per drifted window."""
+    """Maintain counters under ``path`` and, given a threshold, append an alert per drifted window.
+
+    ``score`` names a prediction column among the reference's features; its drift raises an
+    alert beside that of the key features, as prediction drift does in the batch decision.
+    Every ``merge_every`` batches the counters so far are merged into one table, so that a
+    trigger reads that table and the few batches after it.
+    """
+    keys = dict.fromkeys([*ref.key_features(key_features), *([score] if score else [])])
     timed = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     counts = windowed_cells(timed, ref, ts=ts, width=width)
 
@@ -91,13 +138,16 @@ def start_drift(
         # Overwriting its own folder makes a repeated batch harmless.
         target = f"{path}/counts/batch={batch_id}"
         batch.withColumn("day", F.to_date("window_start")).write.mode("overwrite").partitionBy("day").parquet(target)
+        spark = batch.sparkSession
+        if batch_id % merge_every == merge_every - 1:
+            merged = current_counts(spark, path, upto=batch_id).withColumn("day", F.to_date("window_start"))
+            merged.write.mode("overwrite").partitionBy("day").parquet(f"{path}/merged/upto={batch_id}")
         if threshold is None:
             return
-        spark = batch.sparkSession
         touched = spark.read.schema(batch.schema).parquet(target).select("window_start").distinct()
         days = [r[0] for r in small_rows(touched.select(F.to_date("window_start")).distinct())]
         latest = current_counts(spark, path, days).join(touched, "window_start", "left_semi")
-        psi = drifted_features(windowed_psi(latest, ref), threshold, key_features)
+        psi = drifted_features(windowed_psi(latest, ref), threshold, list(keys))
         fired = psi.where("is_key and drifted").groupBy("window_start").agg(
             F.sort_array(F.collect_list("feature")).alias("drifted_features"), F.max("psi").alias("max_psi")
         )
