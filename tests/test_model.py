@@ -147,12 +147,12 @@ def test_top_contributors_and_directions(spark):
         ("b", -0.9, "toward repaying"), ("c", 0.9, "toward default"), ("a", 0.123, "toward default"),
     ]
     assert row["n_features"] == 4
-    top = attribution.global_attribution(df, top=2)
+    top = attribution.global_attribution(df, ["a", "b", "c", "d"], top=2)
     assert values(top) == [("b", 0.9), ("c", 0.9)]
 
 
 def test_global_attribution_covers_every_feature(model, rows):
-    found = attribution.global_attribution(model.explain(rows["test"]))
+    found = attribution.global_attribution(model.explain(rows["test"]), FEATURE_COLUMNS)
     assert {r["feature"] for r in found.collect()} == set(FEATURE_COLUMNS)
     assert found.first()["feature"] == "emp_length_years"
 

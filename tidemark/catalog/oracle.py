@@ -6,6 +6,7 @@ windows instead of ranges.
 
 from __future__ import annotations
 
+from ..functions.columns import TOWARD_DEFAULT, TOWARD_REPAYING
 from ..operators.drift import KEY_FEATURES
 from ..operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from .queries import CANDIDATES, SCORE_WEIGHTS, SEVERITIES, STREAM_REFERENCE_END
@@ -317,6 +318,36 @@ def _drifted_list() -> str:
 
 _KEY_FIRED = f"(select bool_or(psi > 0.2) from psi_num where feature in ({', '.join(repr(c) for c in KEY_FEATURES)}))"
 
+# Shapley values of the fixed forest by enumerating subsets: in each tree the value of knowing
+# nothing (o), the upper input (u), the lower one (l) or both (b), unknown splits by their covers.
+_FOREST = (
+    _FEATS
+    + """,
+x as (select id, split, coalesce(fico_n, 600.0) as f, loan_amnt as l, coalesce(dti_n, 5.0) as d from feats),
+n as (select count(*)::double as n, count(*) filter (f <= 560)::double as fl,
+             count(*) filter (f <= 560 and l <= 150000)::double as fll, count(*) filter (d <= 5)::double as dl,
+             count(*) filter (not d <= 5 and f <= 600)::double as drl
+      from x where split = 'train'),
+shares as (select fl / n as p, fll / fl as q, dl / n as r, drl / (n - dl) as s from n),
+v as (
+  select id,
+    p * (q * 0.7 + (1 - q) * 0.1) + (1 - p) * -0.4 as o1,
+    case when f <= 560 then q * 0.7 + (1 - q) * 0.1 else -0.4 end as u1,
+    p * (case when l <= 150000 then 0.7 else 0.1 end) + (1 - p) * -0.4 as l1,
+    case when f <= 560 then case when l <= 150000 then 0.7 else 0.1 end else -0.4 end as b1,
+    r * 0.3 + (1 - r) * (s * -0.2 + (1 - s) * -0.9) as o2,
+    case when d <= 5 then 0.3 else s * -0.2 + (1 - s) * -0.9 end as u2,
+    r * 0.3 + (1 - r) * (case when f <= 600 then -0.2 else -0.9 end) as l2,
+    case when d <= 5 then 0.3 when f <= 600 then -0.2 else -0.9 end as b2
+  from x, shares where split = 'test'),
+phi as (
+  select id, o1 + o2 as base_value, ((u1 - o1) + (b1 - l1)) / 2 + ((l2 - o2) + (b2 - u2)) / 2 as fico_n,
+         ((l1 - o1) + (b1 - u1)) / 2 as loan_amnt, ((u2 - o2) + (b2 - l2)) / 2 as dti_n
+  from v),
+long as (unpivot phi on fico_n, loan_amnt, dti_n into name feature value shap),
+ranked as (select *, row_number() over (partition by id order by abs(shap) desc, feature) - 1 as place from long)"""
+)
+
 _FILES = (
     "absent customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations region nation"
 ).split()
@@ -324,6 +355,21 @@ _STATUS = {"absent": "missing", "part": "unlisted", "region": "wrong_size", "nat
 _FILE_ROWS = ", ".join(f"('{f}.parquet', '{_STATUS.get(f, 'ok')}')" for f in _FILES)
 
 ORACLE: dict[str, str] = {
+    "forest_attribution": _with(
+        _FOREST,
+        f"""select id, round(base_value, 9) as base_value, cast(place as integer) as place, feature, round(shap, 6) as shap,
+                  case when shap > 0 then '{TOWARD_DEFAULT}' else '{TOWARD_REPAYING}' end as pushes from ranked where place < 2""",
+    ),
+    "forest_global": _with(_FOREST, "select feature, round(avg(abs(shap)), 6) as mean_abs_shap from long group by feature"),
+    # The largest over all starts of the smallest over all ends of the mean between them.
+    "isotonic_scores": _with(
+        _SCORED + """,
+pt as (select round(score, 2) as s, sum(y)::double as y, count(*)::double as w from scored where split = 'valid' group by 1),
+c as (select s, row_number() over (order by s) as k, sum(y) over (order by s) as cy, sum(w) over (order by s) as cw, y, w from pt),
+m as (select a.k as i, b.k as j, (b.cy - a.cy + a.y) / (b.cw - a.cw + a.w) as mean from c a join c b on a.k <= b.k),
+t as (select c.k, m.i, min(m.mean) as least from c join m on m.i <= c.k and m.j >= c.k group by c.k, m.i)""",
+        "select any_value(c.s) as raw_score, round(max(least), 6) as calibrated from t join c on c.k = t.k group by t.k",
+    ),
     "manifest_check": f"select file, status from (values {_FILE_ROWS}) as f(file, status)",
     "source_validation": _with(
         _LOANS,

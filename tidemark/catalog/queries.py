@@ -24,7 +24,7 @@ from ..operators.features import (
 from ..operators.quantiles import exact_quantiles
 from ..plans import ledger
 from ..plans.lifecycle import run_lifecycle
-from ..plans.model import ModelParams, ScoringModel, calibrate, fit_base
+from ..plans.model import INPUT_GROUPS, ModelParams, ScoringModel, calibrate, fit_base, isotonic
 from ..plans.scoring import score_batch, with_errors
 from ..session import work_dir
 from ..settings import Settings
@@ -478,7 +478,74 @@ def score_applications(spark, sf_dir):
 @query
 def global_attribution(spark, sf_dir):
     explained = demo_model(spark, sf_dir).explain(_split(spark, sf_dir, "train"))
-    return attribution.global_attribution(explained)
+    return attribution.global_attribution(explained, [name for name, _ in INPUT_GROUPS])
+
+
+def _node(feature: int, threshold: float, left: int, right: int) -> dict:
+    return {"feature": feature, "threshold": threshold, "left": left, "right": right, "prediction": 0.0}
+
+
+def _leaf(value: float) -> dict:
+    return {"feature": -1, "threshold": None, "left": -1, "right": -1, "prediction": value}
+
+
+# A forest small enough to be explained by hand.
+FOREST_INPUTS = ("fico_n", "loan_amnt", "dti_n")
+FOREST = (
+    {0: _node(0, 560.0, 1, 2), 1: _node(1, 150000.0, 3, 4), 2: _leaf(-0.4), 3: _leaf(0.7), 4: _leaf(0.1)},
+    {0: _node(2, 5.0, 1, 2), 1: _leaf(0.3), 2: _node(0, 600.0, 3, 4), 3: _leaf(-0.2), 4: _leaf(-0.9)},
+)
+
+
+def _forest_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = _split(spark, sf_dir, name)
+    return rows.withColumns({"fico_n": F.coalesce("fico_n", F.lit(600.0)), "dti_n": F.coalesce("dti_n", F.lit(5.0))})
+
+
+def fixed_forest(train: DataFrame) -> attribution.TreeTables:
+    """The forest with the covers that its nodes have in ``train``."""
+    reached: dict[tuple[int, int], Column] = {}
+    for number, tree in enumerate(FOREST):
+        stack = [(0, F.lit(True))]
+        while stack:
+            at, condition = stack.pop()
+            reached[number, at] = condition
+            node = tree[at]
+            if node["left"] >= 0:
+                left = F.col(FOREST_INPUTS[node["feature"]]) <= node["threshold"]
+                stack += [(node["left"], condition & left), (node["right"], condition & ~left)]
+    counts = train.agg(*[F.count_if(c).alias(f"n{t}_{i}") for (t, i), c in reached.items()]).first()
+    trees = [{i: node | {"cover": counts[f"n{t}_{i}"]} for i, node in tree.items()} for t, tree in enumerate(FOREST)]
+    return attribution.tables_of(trees, [1.0] * len(trees))
+
+
+def _forest_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = fixed_forest(_forest_rows(spark, sf_dir, "train"))
+    groups = [(c, (c,)) for c in FOREST_INPUTS]
+    return attribution.attribute_rows(_forest_rows(spark, sf_dir, "test"), tables, FOREST_INPUTS, groups, keep=["id"])
+
+
+@query
+def forest_attribution(spark, sf_dir):
+    """Contributions of the fixed forest: of every row the two largest, with their direction."""
+    shown = attribution.directed(attribution.top_contributions(_forest_explained(spark, sf_dir), 2), 6)
+    rows = shown.select("id", _r("base_value").alias("base_value"), F.posexplode("top_contributions").alias("place", "c"))
+    return rows.select("id", "base_value", "place", "c.feature", "c.shap", "c.pushes")
+
+
+@query
+def forest_global(spark, sf_dir):
+    found = attribution.global_attribution(_forest_explained(spark, sf_dir), FOREST_INPUTS)
+    return found.select("feature", _r("mean_abs_shap", 6).alias("mean_abs_shap"))
+
+
+@query
+def isotonic_scores(spark, sf_dir):
+    """The stand-in score, rounded, calibrated on the valid split and applied to it."""
+    rows = formula_score(_split(spark, sf_dir, "valid"))
+    points = rows.select(F.round("score", 2).alias("raw_score"), F.col("Default").cast("double").alias("y"))
+    curve = isotonic(points).transform(points.select("raw_score").distinct())
+    return curve.select("raw_score", _r("calibrated", 6).alias("calibrated"))
 
 
 @query

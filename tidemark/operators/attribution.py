@@ -121,11 +121,16 @@ def tree_tables(spark: SparkSession, model: GBTClassificationModel, path: str |
             "prediction": r["prediction"],
             "cover": r["impurityStats"][0],
         }
+    # Spark's margin is half the log-odds.
+    return tables_of([trees[i] for i in range(len(model.treeWeights))], [2.0 * w for w in model.treeWeights])
+
+
+def tables_of(trees: Sequence[dict[int, dict]], weights: Sequence[float]) -> TreeTables:
+    """Look-up tables of trees given by their nodes (left, right, feature, threshold, prediction, cover)."""
     leaves: list[Leaf] = []
     base, size = 0.0, 0
-    for i, weight in enumerate(model.treeWeights):
-        # Spark's margin is half the log-odds.
-        for leaf, share in _tree_leaves(trees[i], 2.0 * weight):
+    for tree, weight in zip(trees, weights):
+        for leaf, share in _tree_leaves(tree, weight):
             base += share
             if leaf is not None:
                 leaves.append(leaf)
@@ -159,13 +164,16 @@ def attribute_rows(
         tree_tables, to_groups = shared.value
         for pdf in batches:
             phi = tree_tables.contributions(pdf[inputs].to_numpy(dtype=float)) @ to_groups
-            yield pdf[keep].assign(base_value=tree_tables.base_value, phi=list(phi))
+            yield pdf[keep].assign(
+                base_value=tree_tables.base_value, **{f"phi_{i}": phi[:, i] for i in range(phi.shape[1])}
+            )
 
     kept = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in inputs])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    raw = kept.mapInPandas(explain, f"{schema}{', ' if keep else ''}base_value double, phi array<double>")
+    numbers = ", ".join(f"phi_{i} double" for i in range(len(groups)))
+    raw = kept.mapInPandas(explain, f"{schema}{', ' if keep else ''}base_value double, {numbers}")
     named = F.array(
-        *[F.struct(F.lit(name).alias("feature"), F.col("phi")[i].alias("shap")) for i, (name, _) in enumerate(groups)]
+        *[F.struct(F.lit(name).alias("feature"), F.col(f"phi_{i}").alias("shap")) for i, (name, _) in enumerate(groups)]
     )
     return raw.select(*keep, "base_value", named.alias("contributions"))
 
@@ -194,12 +202,14 @@ def directed(df: DataFrame, digits: int = 3) -> DataFrame:
     return df.withColumn("top_contributions", shown)
 
 
-def global_attribution(df: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
-    """Mean absolute contribution per feature over all rows, largest first."""
-    return (
-        df.select(F.explode("contributions").alias("c"))
-        .groupBy(F.col("c.feature").alias("feature"))
-        .agg(F.avg(F.abs("c.shap")).alias("mean_abs_shap"))
-        .orderBy(F.desc("mean_abs_shap"), "feature")
-        .limit(top)
+def global_attribution(df: DataFrame, features: Sequence[str], top: int = TOP_FEATURES) -> DataFrame:
+    """Mean absolute contribution per feature over all rows, largest first.
+
+    ``features`` are the reported features in order. Rows are summed as they are, one number per feature.
+    """
+    means = df.agg(*[F.avg(F.abs(F.col("contributions")[i]["shap"])).alias(f"m{i}") for i in range(len(features))])
+    rows = F.array(
+        *[F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("mean_abs_shap")) for i, f in enumerate(features)]
     )
+    shown = means.select(F.inline(rows)).where("mean_abs_shap is not null")
+    return shown.orderBy(F.desc("mean_abs_shap"), "feature").limit(top)

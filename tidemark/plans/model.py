@@ -179,16 +179,20 @@ def calibrate(model: ScoringModel, held_out: DataFrame, target: str = "Default")
     y = F.col(f"`{target}`").cast("double")
     scored = model.raw_scores(held_out)
     if model.params.calibration_method == "isotonic":
-        # Equal scores are one weighted point, which is what isotonic regression makes of them.
-        points = scored.groupBy("raw_score").agg(F.avg(y).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-        fitted = IsotonicRegression(
-            featuresCol="raw_score", labelCol="y", weightCol="w", predictionCol="calibrated"
-        ).fit(points)
+        fitted = isotonic(scored.select("raw_score", y.alias("y")))
     else:
         fitted = _platt(scored.select("margin", y.alias("y")))
     return ScoringModel(model.encoding, model.medians, model.trees, fitted, model.params)
 
 
+def isotonic(scored: DataFrame) -> IsotonicRegressionModel:
+    """Monotone curve of ``y`` (0 or 1) over ``raw_score``; it adds the column ``calibrated``."""
+    # Equal scores are one weighted point, which is what isotonic regression makes of them.
+    points = scored.groupBy("raw_score").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    curve = IsotonicRegression(featuresCol="raw_score", labelCol="y", weightCol="w", predictionCol="calibrated")
+    return curve.fit(points)
+
+
 def _platt(scored: DataFrame) -> LogisticRegressionModel:
     """Logistic curve on the margin with Platt's (1999) softened targets.
 
