@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import Forest, blocks, components
+from .texts import small_batches
 
 CODEWORDS = 64
 # How far towards another codeword the difference of two near vectors may point, in standard
@@ -197,6 +198,7 @@ def embedding_groups(
     compared as one and counted as many; rows that repeat an id are vectors of their own. Other columns
     are not read.
     """
+    small_batches(embeddings.sparkSession)
     found = embeddings.select(
         F.col(vec_id).cast("bigint").alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("vector")
     )

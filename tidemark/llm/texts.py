@@ -5,17 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The separators of words in the contracts that say [^\x20\x09-\x0D]+; bytes.split() cuts at
 # exactly these six, and bytes.lower() lowers A-Z only.
 SPACES = " \t\n\x0b\x0c\r"
 _BATCH_BYTES = 1 << 20
+_CROSSING_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have rows cross to Python in batches of a few megabytes, however long their texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_CROSSING_BYTES))
 
 
 def narrow(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
     """The columns an operator reads, null text as empty text."""
+    small_batches(docs.sparkSession)
     return docs.select(doc_id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text), *more)
 
 
