@@ -8,7 +8,7 @@ stage to the shared folder and reads it back as the next one's documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_documents
@@ -28,9 +28,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id."""
+    """One document of each SimHash group stays: the one with the smallest id.
+
+    Of rows that repeat this id one stays. Rows without an id cannot be told apart and stay.
+    """
     kept = simhash_groups(docs, shingle=4, max_bits=4).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    rows = docs.join(kept, "doc_id", "left_semi")
+    # The join has brought the rows of an id together already.
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    rows = rows.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

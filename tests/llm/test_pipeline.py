@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -70,3 +71,29 @@ def test_stages_take_effect(spark, sf_dir):
 def test_an_empty_table_goes_through(spark, tmp_path, sf_dir):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows_go_through(spark, sf_dir, tmp_path):
+    random.seed(5)
+    words = ["".join(random.choices("abcdefgh", k=random.randrange(2, 8))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(random.choices(words, k=n))
+
+    twice, long = prose(90), prose(60000)
+    rows = [(i, prose(random.randrange(60, 120)), "en", "s") for i in range(40)]
+    rows += [(50, twice, "en", "s"), (50, twice, "en", "s"), (51, twice, "en", "t"), (None, prose(80), None, None), (None, None, "en", "s")]
+    rows += [(60, None, "en", "s"), (61, "", "en", None), (62, "short", "en", "t"), (63, long, "en", "t"), (64, prose(70), None, None)]
+    schema = "doc_id bigint, text string, lang string, source string"
+    made = spark.createDataFrame(rows, schema).selectExpr("*", "cast(length(text) as bigint) as n_chars", "'x' as kept", "1 as copies", "2 as size")
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    docs, ids = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        assert docs.dtypes == before.dtypes
+        ids.append(sorted((r["doc_id"] for r in docs.select("doc_id").collect()), key=repr))
+    kept = [*range(40), 63, 64]
+    assert ids[0] == sorted([*kept, 50, 50, 51, None], key=repr)
+    assert ids[1] == ids[2] == sorted([*kept, 50, None], key=repr)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert sorted((r["doc_id"] for r in last.collect()), key=repr) == ids[3] and set(ids[3]) <= {*kept, 50, None}
