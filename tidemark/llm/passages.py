@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .texts import as_bytes, slices
+from .texts import as_bytes, slices, small_batches
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -30,9 +30,9 @@ class PassageRules:
 
     min_words: int = 50
     identity: float = 0.8
-    k: int = 6
-    window: int = 12
-    max_gap: int = 25
+    k: int = 5
+    window: int = 8
+    max_gap: int = 30
     margin: int = 64
     # Bits of the membership filter that keeps documents without matches out of the shuffle.
     filter_bits: int = 1 << 23
@@ -266,6 +266,7 @@ def repeated_passages(
     Every seed points at its first place, the minimum over all places, so the number of
     matches is that of the places however many documents share a passage.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("bigint").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
