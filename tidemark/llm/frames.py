@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,10 @@ _FOOTER = struct.Struct("<IBI")
 
 FRAME_IDS = 1 << 18
 END_ID = 2
-CACHE_CHUNKS = 600_000
+# Runs of text remembered by a worker. When there is no more room those met last go: common words
+# are met early.
+CACHE_CHUNKS = 400_000
+_CACHE_PIECES = 120_000
 _NO_ID = -(1 << 63)
 
 
@@ -69,29 +73,54 @@ class ChunkEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.space = self.shown[ord(" ")]
 
     def _merge(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.shown)
+        body = piece[1:]
+        if body.isascii() and body.isalpha() and (piece[0] == " " or piece[0].isascii() and piece[0].isalpha()):
+            mapped = self.space + body if piece[0] == " " else piece  # letters stand for themselves
+        else:
+            mapped = piece.encode().decode("latin-1").translate(self.shown)
         ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.merged) >= CACHE_CHUNKS // 2:
-            self.merged.clear()
-        if len(piece) < 40:
-            self.merged[piece] = found
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _merge_once(self, piece: str) -> bytes:
+        found = self.merged.get(piece)
+        if found is None:
+            found = self._merge(piece)
+            if len(self.merged) >= _CACHE_PIECES:
+                self.merged.clear()
+            if len(piece) < 40:
+                self.merged[piece] = found
+        return found
+
+    def _word(self, body: str) -> bytes:
+        """Ids of a space and a word of plain letters, which as a run of its own is remembered already."""
+        found = self.later.get(body)
+        if found is None:
+            found = self._merge(" " + body)
+            if len(body) < 64:
+                self.later[body] = found
         return found
 
     def _learn(self, chunks: set[str], prefix: str, known: dict[str, bytes]) -> dict[str, bytes]:
-        wanted = list(chunks)
+        found, wanted = {}, []
+        for c in chunks:
+            # A word of plain letters is one piece; a full stop or comma after it another.
+            body = c[:-1] if c[-1] in ".," else c
+            if body.isascii() and body.isalpha():
+                ids = self._word(body) if prefix else self._merge_once(body)
+                found[c] = ids if body is c else ids + self._merge_once(c[-1])
+            else:
+                wanted.append(c)
         cut, upto = pieces([prefix + c for c in wanted], self.classes)
         ids = list(map(self.merged.get, cut))
-        for i in [i for i, found in enumerate(ids) if found is None]:
-            ids[i] = self._merge(cut[i])
-        found, start = {}, 0
+        for i in [i for i, known_ids in enumerate(ids) if known_ids is None]:
+            ids[i] = self._merge_once(cut[i])
+        start = 0
         for c, end in zip(wanted, upto.tolist()):
             found[c] = ids[start] if end == start + 1 else b"".join(ids[start:end])
             start = end
-        if len(known) + len(found) > CACHE_CHUNKS:
-            known.clear()
         known.update((c, raw) for c, raw in found.items() if len(c) < 64)
         return found
 
@@ -102,30 +131,42 @@ class ChunkEncoder:
         """Ids of each text, as little-endian 32-bit numbers."""
         split = [t.split(" ") for t in texts]
         found = [list(map(self.later.get, words)) for words in split]
-        heads, new = set(), set()
+        missing, heads = [], set()
         for words, ids in zip(split, found):
             heads.add(words[0])
             ids[0] = b""
-            if None in ids:
-                new.update([w for w, i in zip(words, ids) if i is None])
+            missing.append(_places_of_none(ids))
+        new = {words[i] for words, places in zip(split, missing) for i in places}
         odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
         extra = self._learn(new - odd, " ", self.later)
+        if len(self.later) > CACHE_CHUNKS:
+            self.later = dict(islice(self.later.items(), CACHE_CHUNKS // 2))
         unknown = {w for w in heads if w and w not in self.first and not w[-1].isspace()}
         first = self._learn(unknown, "", {}) | {w: self.first[w] for w in heads if w in self.first}
-        self.first.update((w, first[w]) for w in unknown if len(w) < 64 and len(self.first) < CACHE_CHUNKS)
+        self.first.update((w, first[w]) for w in unknown if len(w) < 64 and len(self.first) < CACHE_CHUNKS // 8)
         out = []
-        for text, words, ids in zip(texts, split, found):
+        for text, words, ids, places in zip(texts, split, found, missing):
             if words[0]:
                 ids[0] = first.get(words[0])
-            if None in ids:
-                if ids[0] is None or not odd.isdisjoint(words[1:]):
-                    out.append(self._whole(text))
-                    continue
-                ids = [extra[w] if i is None else i for w, i in zip(words, ids)]
+            if ids[0] is None or odd and any(words[i] in odd for i in places):
+                out.append(self._whole(text))
+                continue
+            for i in places:
+                ids[i] = extra[words[i]]
             out.append(b"".join(ids))
         return out
 
 
+def _places_of_none(found: list) -> list[int]:
+    places, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            places.append(at)
+    except ValueError:
+        return places
+
+
 @lru_cache(2)
 def _encoder(path: str, packed_classes: bytes) -> ChunkEncoder:
     return ChunkEncoder(path, packed_classes)
