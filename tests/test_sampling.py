@@ -82,4 +82,7 @@ def test_large_tables_are_not_broadcast(spark):
     with pytest.raises(bounded.TooManyRows):
         bounded.small_rows(side, 6)
     assert bounded.broadcast_if_small(side, 6) is side
+    wide = spark.range(3).select(F.repeat(F.lit("x"), 8 << 20).alias("v"))
+    with pytest.raises(bounded.TooManyRows):
+        bounded.small_rows(wide)
     assert bounded.join_bounded(df, side, ["k"]).where("v = k * 10").count() == 30

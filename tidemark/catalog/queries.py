@@ -26,6 +26,7 @@ from ..plans import ledger
 from ..plans.lifecycle import run_lifecycle
 from ..plans.model import INPUT_GROUPS, ModelParams, ScoringModel, calibrate, fit_base, isotonic
 from ..plans.scoring import score_batch, with_errors
+from ..plans.training import EvalResult, promote
 from ..session import work_dir
 from ..settings import Settings
 from ..sources import exports, integrity, loans, readers
@@ -580,12 +581,12 @@ def ledger_current(spark, sf_dir):
     rivals = F.inline(F.array(*[F.struct(F.lit(v).alias("version"), _logistic(a, b, c).alias("score")) for v, a, b, c in CANDIDATES]))
     measured = metrics.classification_metrics(rows.select("Default", rivals), by=["version"])
     for row in measured.orderBy("version").collect():  # one row per version
-        auc = row["roc_auc"]
-        event = {"metrics": {"test_roc_auc": auc}, "stage": ledger.STAGE_NONE}
+        found = {m: row[m] for m in metrics.METRICS}
+        event = {"metrics": {"test_roc_auc": found["roc_auc"]}, "stage": ledger.STAGE_NONE}
         version = ledger.register(spark, settings, lambda v, e=event: ledger.Event(v, "registered", **e))
-        if auc >= settings.roc_auc_min:
-            state = ledger.stages(ledger.events(spark, settings)).collect()
-            ledger.append(spark, settings, ledger.promotion_events(state, version, auc))
+        gate = metrics.quality_gate(metrics.metrics_frame(spark, {"test": found}), settings=settings)
+        verdict = EvalResult(found, gate, metrics.gate_passed(gate).first()["passed"])
+        promote(spark, settings, version=version, evaluate=lambda _, v=verdict: v)
     log = ledger.events(spark, settings)
     served = ledger.served_version(log).select(F.col("version").alias("served"))
     return (

@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 100_000
 
 
+MAX_BROADCAST_BYTES = 16 << 20
+
+
 class TooManyRows(ValueError):
     pass
 
 
 def small_rows(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list[Row]:
-    """All rows of ``df``, which must have at most ``max_rows``; never fetches more than that."""
+    """All rows of ``df``, which must have at most ``max_rows``; never fetches more than that.
+
+    Text, which may be of any length, is measured before it is fetched.
+    """
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    if texts:
+        size = df.limit(max_rows + 1).agg(F.sum(sum(texts[1:], texts[0]).cast("bigint"))).first()[0] or 0
+        if size > MAX_BROADCAST_BYTES:
+            raise TooManyRows(f"{size} bytes of text in {max_rows} rows")
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise TooManyRows(f"more than {max_rows} rows")

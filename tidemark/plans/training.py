@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import FeatureContract, load_contract
@@ -189,6 +189,7 @@ def retrain(
         target=contract.target,
         id_column=contract.id_columns[0],
     )
+    pool = materialise(pool, "training-pool")  # several jobs read either side
     run_path = f"{settings.models_dir}/{uuid.uuid4().hex}" if log else None
     result = _fit_and_measure(
         pool.where(~F.col("is_holdout")).drop("is_holdout"),
@@ -255,10 +256,13 @@ def promote(
     version: int | None = None,
     archive_existing: bool = True,
     dry_run: bool = False,
+    evaluate: Callable[[Row], EvalResult] | None = None,
 ) -> PromotionResult:
     """Evaluate, then move to Production if the gate passes.
 
     Nothing is written before the verdict, and a failed gate or a dry run writes nothing.
+    ``evaluate`` turns the version's ledger row into a verdict; by default the model it names
+    is measured on the test split.
     """
     settings = settings or Settings()
     state = ledger.stages(ledger.events(spark, settings)).collect()
@@ -268,7 +272,10 @@ def promote(
     row = next((r for r in state if r["version"] == version), None)
     if row is None:
         raise RuntimeError(f"version {version} of {settings.model_name!r} is not registered")
-    verdict = evaluate_on_test(spark, ScoringModel.load(spark, row["model_path"]), settings)
+    if evaluate is None:
+        verdict = evaluate_on_test(spark, ScoringModel.load(spark, row["model_path"]), settings)
+    else:
+        verdict = evaluate(row)
     if not verdict.passed or dry_run:
         return PromotionResult(version, False, row["stage"], verdict.gate, verdict.passed, verdict.metrics)
     change = ledger.promotion_events(state, version, verdict.metrics["roc_auc"], archive_existing)
