@@ -15,7 +15,7 @@ from .texts import narrow, slices
 
 # Pieces whose ids each Python worker remembers; beyond that the cache starts anew. It only
 # saves work.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
