@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tests.llm.conftest import by
-from tidemark.llm.passages import PassageRules, align, chains, remove_passages, repeated_passages, seeds_of, without
+from tidemark.llm.passages import PassageRules, align, chains, covering, remove_passages, repeated_passages, seeds_of, without
 
 
 def prose(n):
@@ -95,6 +95,49 @@ def test_planted_passages_are_found_and_others_left_alone(documents):
         assert kept[i]["n_chars"] == len(kept[i]["text"]) and kept[i]["label"] == "x"
 
 
+def equal_runs(rows, n):
+    """(doc, place) of all runs of ``n`` words that a row with a smaller id holds, by brute force."""
+    held, found = set(), []
+    for i, text in sorted(rows):
+        words = text.split()
+        runs = [tuple(words[j : j + n]) for j in range(len(words) - n + 1)]
+        found += [(i, j) for j, run in enumerate(runs) if run in held]
+        held.update(runs)
+    return found
+
+
+def assert_all_equal_runs_are_found(rows, found, n=50):
+    wanted = equal_runs(rows, n)
+    for i, j in wanted:
+        covered = {w for p in found[i]["passages"] for w in range(p["start"], p["start"] + p["n_words"])}
+        assert covered >= set(range(j, j + n)), (i, j)
+    return wanted
+
+
+def test_passages_of_parts_that_stood_alone_before(documents):
+    random.seed(5)
+    rows, last = [], []
+    for parts in ([30, 30], [45, 45], [20, 20, 20], [49, 1], [49, 49, 49]):
+        texts = [prose(n) for n in parts]
+        for _ in range(2):  # every part alone, in two documents
+            rows += [(len(rows) + i, " ".join(prose(20) + t + prose(20))) for i, t in enumerate(texts)]
+        for _ in range(3):  # then together
+            rows.append((len(rows), " ".join(prose(30) + sum(texts, []) + prose(30))))
+            last.append(len(rows) - 1)
+    found = {r["doc_id"]: r for r in repeated_passages(documents(rows)).collect()}
+    wanted = assert_all_equal_runs_are_found(rows, found)
+    assert {i for i, _ in wanted} == set(found) == {i for n, i in enumerate(last) if n % 3}
+
+
+def test_few_spans_cover_all():
+    random.seed(8)
+    for _ in range(300):
+        spans = sorted((a, a + random.randrange(1, 9)) for a in random.choices(range(40), k=random.randrange(12)))
+        chosen = [spans[i] for i in covering(spans)]
+        assert {w for s in chosen for w in range(*s)} == {w for s in spans for w in range(*s)}
+        assert all(a[1] < b[1] and c[0] > a[1] for a, b, c in zip(chosen, chosen[1:], chosen[2:]))
+
+
 def test_empty_tables(documents):
     assert repeated_passages(documents([])).collect() == []
     assert remove_passages(documents([])).collect() == []

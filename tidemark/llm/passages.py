@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -23,9 +24,9 @@ class PassageRules:
     """What counts as a repeated passage.
 
     ``min_words`` words of a document, at least ``identity`` of which stand in the same order in
-    the other one, with nowhere more than ``max_gap`` words between two matching places. Seeds are
-    the k-mers of ``k`` words with the smallest hash in some ``window`` of them, so an equal
-    run of ``k + window - 1`` words always shares one.
+    the other one, with nowhere more than ``max_gap`` words between two matching places. The search
+    uses every run of ``k`` words. ``window`` is for ``seeds_of``, which samples them: the smallest
+    hash in some ``window`` of them, so an equal run of ``k + window - 1`` words always shares one.
     """
 
     min_words: int = 50
@@ -38,20 +39,33 @@ class PassageRules:
     filter_bits: int = 1 << 23
 
 
-def seeds_of(text: bytes, rules: PassageRules) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word position) of the seeds of one text, letters A-Z lowered."""
+def _mix(keys: np.ndarray) -> np.ndarray:
+    keys ^= keys >> np.uint64(29)
+    keys *= np.uint64(0xBF58476D1CE4E5B9)
+    keys ^= keys >> np.uint64(32)
+    return keys
+
+
+def runs_of(text: bytes, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words of one text by word position, letters A-Z lowered."""
     words = text.lower().split()
-    n = len(words) - rules.k + 1
+    n = len(words) - k + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64)
     single = np.fromiter(map(crc32, words), np.uint64, len(words))
     mixed = single[:n].copy()
-    for i in range(1, rules.k):
+    for i in range(1, k):
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed += single[i : n + i]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
+    return _mix(mixed)
+
+
+def seeds_of(text: bytes, rules: PassageRules) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word position) of sampled runs of one text, letters A-Z lowered."""
+    mixed = runs_of(text, rules.k)
+    n = len(mixed)
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     if n <= rules.window:
         at = np.array([int(mixed.argmin())])
     else:
@@ -60,15 +74,88 @@ def seeds_of(text: bytes, rules: PassageRules) -> tuple[np.ndarray, np.ndarray]:
     return mixed[at].view(np.int64), at.astype(np.int32)
 
 
+@contextmanager
+def _freed_shuffles(docs: DataFrame) -> Iterator[None]:
+    """Shuffle files of queries run inside go when these end; nothing reads them again."""
+    name, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", docs.sparkSession.conf
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
+# Hashes are sorted into buckets by their first bits; of the next 32 bits a bucket's cells are the first.
+_BUCKET_BITS, _CELL_BITS = 12, 15
+_HELD_HASHES = 1 << 21
+
+
+def _packed(held: list[np.ndarray]) -> pa.RecordBatch:
+    """(bucket, hashes): sorted 32-bit numbers, none more than twice."""
+    found = np.sort(np.concatenate(held) >> np.uint64(32 - _BUCKET_BITS))
+    often = np.zeros(len(found), bool)
+    often[2:] = found[2:] == found[:-2]
+    found = found[~often]
+    cuts = np.searchsorted(found >> np.uint64(32), np.arange((1 << _BUCKET_BITS) + 1, dtype=np.uint64))
+    low = found.astype(np.uint32)
+    full = np.nonzero(np.diff(cuts))[0]
+    blobs = [low[cuts[i] : cuts[i + 1]].tobytes() for i in full.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "hashes"])
+
+
+def _shared_cells(docs: DataFrame, rules: PassageRules) -> np.ndarray:
+    """A bitmap of fixed size over the first bits of hashes: cells that hold a run of two rows.
+
+    It only spares the shuffle runs that one row alone holds; those that pass by chance are
+    dropped by the counts afterwards. Four bytes a run are shuffled for it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in slices(batches):
+            for t in as_bytes(batch.column("text")):
+                held.append(np.unique(runs_of(t, rules.k)))
+                size += len(held[-1])
+                if size >= _HELD_HASHES:
+                    yield _packed(held)
+                    held, size = [], 0
+        if size:
+            yield _packed(held)
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = []
+            for blobs in batch.column("hashes").to_pylist():
+                found = np.sort(np.frombuffer(b"".join(blobs), np.uint32))
+                bits = np.zeros(1 << _CELL_BITS, bool)
+                bits[found[1:][found[1:] == found[:-1]] >> np.uint32(32 - _CELL_BITS)] = True
+                cells.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(cells, pa.binary())], ["bucket", "cells"])
+
+    by_bucket = docs.mapInArrow(run, "bucket int, hashes binary").groupBy("bucket").agg(F.collect_list("hashes").alias("hashes"))
+    bitmap = np.zeros((1 << _BUCKET_BITS, 1 << (_CELL_BITS - 3)), np.uint8)
+    with _freed_shuffles(docs):
+        found = by_bucket.mapInArrow(several, "bucket int, cells binary").toArrow()  # 16 MB at most
+    for bucket, cells in zip(found.column("bucket").to_pylist(), found.column("cells").to_pylist()):
+        bitmap[bucket] = np.frombuffer(cells, np.uint8)
+    return bitmap.reshape(-1)
+
+
 def seeds(docs: DataFrame, rules: PassageRules) -> DataFrame:
-    """(h, doc, pos) of all seeds of ``docs`` (doc, text)."""
+    """(h, doc, pos) of all runs of ``k`` words of ``docs`` (doc, text) that two rows may hold."""
+    held = docs.sparkSession.sparkContext.broadcast(_shared_cells(docs, rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [seeds_of(t, rules) for t in as_bytes(batch.column("text"))]
-            sizes = [len(h) for h, _ in found]
+            found = [runs_of(t, rules.k) for t in as_bytes(batch.column("text"))]
+            sizes = [len(h) for h in found]
             doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), sizes)
-            columns = [np.concatenate([h for h, _ in found]), doc, np.concatenate([p for _, p in found])]
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            h = np.concatenate(found)
+            cell = h >> np.uint64(64 - _BUCKET_BITS - _CELL_BITS)
+            kept = (held.value[(cell >> np.uint64(3)).astype(np.int64)] << (cell & np.uint64(7)).astype(np.uint8)) & 128 != 0
+            columns = [h[kept].view(np.int64), doc[kept], pos[kept]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "pos"])
 
     return docs.mapInArrow(run, "h bigint, doc bigint, pos int")
@@ -133,38 +220,133 @@ def chains(pos: np.ndarray, other: np.ndarray, max_gap: int) -> list[np.ndarray]
     return found
 
 
+def _breaks(other: np.ndarray, pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Starts of the stretches, with the end: neighbouring places that point at neighbouring places."""
+    going_on = (np.diff(pos) == 1) & (np.diff(at) == 1) & (np.diff(other) == 0)
+    return np.concatenate(([0], np.nonzero(~going_on)[0] + 1, [len(pos)]))
+
+
+def unsettled_runs(h: np.ndarray, pos: np.ndarray, stretch: np.ndarray, rules: PassageRules) -> tuple[np.ndarray, np.ndarray]:
+    """(key, position) of the runs of ``min_words`` words whose seeds are all shared, but whose seeds'
+    first places do not stand in one stretch. Both depend on the words alone, so whoever holds such
+    a run lists it.
+    """
+    span = rules.min_words - rules.k
+    n = len(pos) - span
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    at = np.nonzero((pos[span:] - pos[:n] == span) & (stretch[span:] != stretch[:n]))[0]
+    keys, seed = np.zeros(len(at), np.uint64), h.view(np.uint64)
+    for i in sorted({*range(0, span, rules.k), span}):
+        keys *= np.uint64(0x9E3779B97F4A7C15)
+        keys += seed[at + i]
+    return _mix(keys).view(np.int64), pos[at]
+
+
+_LINKS = "doc bigint, other bigint, pos array<int>, other_pos array<int>, key bigint, at int"
+
+
 def _chain_documents(matches: DataFrame, rules: PassageRules) -> DataFrame:
-    """(doc, other, pos, other_pos): chains that may reach ``min_words``."""
+    """(doc, other, pos, other_pos): chains that may reach ``min_words`` and equal runs that do; and
+    (doc, key, at): runs that first places of seeds do not settle.
+    """
     least = rules.min_words - 2 * (rules.k + rules.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, list[int], list[int]]] = []
+            keys, places, holders = [], [], []
             column = batch.column("matches")
             cuts, flat = column.offsets.to_numpy(), column.values
-            other, pos, at = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            columns = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
             for doc, i, j in zip(batch.column("doc").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
-                order = np.argsort(other[i:j], kind="stable") + i
+                order = np.argsort(columns[1][i:j], kind="stable") + i
+                h, pos, other, at = (c[order] for c in columns)
+                starts = _breaks(other, pos, at)
+                stretch = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                key, place = unsettled_runs(h, pos, stretch, rules)
+                keys.append(key)
+                places.append(place)
+                holders.append(np.full(len(key), doc, np.int64))
+                for a, b in zip(starts[:-1].tolist(), (starts[1:] - 1).tolist()):
+                    if b - a + rules.k >= rules.min_words and other[a] != doc:
+                        out.append((doc, int(other[a]), [int(pos[a]), int(pos[b])], [int(at[a]), int(at[b])]))
+                # Of a stretch every fourth place and the last are enough for chains.
+                ends = np.zeros(len(pos), bool)
+                ends[starts[1:] - 1] = True
+                some = (((np.arange(len(pos)) - starts[stretch]) % 4 == 0) | ends) & (other != doc)
+                pos, other, at = pos[some], other[some], at[some]
+                order = np.argsort(other, kind="stable")
                 names = other[order]
                 edges = np.concatenate(([0], np.nonzero(np.diff(names))[0] + 1, [len(names)])).tolist()
                 for a, b in zip(edges, edges[1:]):
                     if b - a < 2:
                         continue
                     x, y = pos[order[a:b]], at[order[a:b]]
+                    if x.max() - x.min() + rules.k < least:
+                        continue
                     for chain in chains(x, y, rules.max_gap):
                         if x[chain[-1]] - x[chain[0]] + rules.k >= least:
                             out.append((doc, int(names[a]), x[chain].tolist(), y[chain].tolist()))
+            more = sum(map(len, keys))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in out], pa.int64()),
-                    pa.array([r[1] for r in out], pa.int64()),
-                    pa.array([r[2] for r in out], pa.list_(pa.int32())),
-                    pa.array([r[3] for r in out], pa.list_(pa.int32())),
+                    pa.array(np.concatenate([np.array([r[0] for r in out], np.int64), *holders])),
+                    pa.array([r[1] for r in out] + [None] * more, pa.int64()),
+                    pa.array([r[2] for r in out] + [None] * more, pa.list_(pa.int32())),
+                    pa.array([r[3] for r in out] + [None] * more, pa.list_(pa.int32())),
+                    pa.concat_arrays([pa.nulls(len(out), pa.int64()), *map(pa.array, keys)]),
+                    pa.concat_arrays([pa.nulls(len(out), pa.int32()), *map(pa.array, places)]),
                 ],
-                ["doc", "other", "pos", "other_pos"],
+                [c.split()[0] for c in _LINKS.split(", ")],
             )
 
-    return matches.mapInArrow(run, "doc bigint, other bigint, pos array<int>, other_pos array<int>")
+    return matches.mapInArrow(run, _LINKS)
+
+
+def covering(spans: list[tuple[int, int]]) -> list[int]:
+    """Indices of few spans that cover what all (start, end), sorted by start, cover together."""
+    chosen, upto, best = [], -1, -1
+    for i, (start, end) in enumerate(spans):
+        if start > upto and best >= 0:
+            chosen.append(best)
+            upto, best = spans[best][1], -1
+        if end > upto and (best < 0 or end > spans[best][1]):
+            if start > upto and best < 0:
+                upto = start
+            best = i
+    return [*chosen, best] if best >= 0 else chosen
+
+
+def _equal_runs(runs: DataFrame, rules: PassageRules) -> DataFrame:
+    """(doc, other, pos, other_pos) of runs (doc, key, at) that an earlier document holds: at the
+    first place of the whole run, so no part of it that stands elsewhere gets in the way.
+    """
+    shared = runs.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"))
+    shared = shared.where("first.doc < last").select("key", F.col("first.doc").alias("other"), F.col("first.at").alias("other_at"))
+    by_doc = runs.join(shared, "key").where("doc <> other").groupBy("doc")
+    by_doc = by_doc.agg(F.collect_list(F.struct("at", "other", "other_at")).alias("matches"))
+    span = rules.min_words - rules.k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, list[int], list[int]]] = []
+            column = batch.column("matches")
+            cuts, flat = column.offsets.to_numpy(), column.values
+            columns = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            for doc, i, j in zip(batch.column("doc").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                order = np.argsort(columns[0][i:j], kind="stable") + i
+                at, other, place = (c[order] for c in columns)
+                starts = _breaks(other, at, place)
+                first, last = starts[:-1], starts[1:] - 1
+                chosen = covering(list(zip(at[first].tolist(), (at[last] + rules.min_words).tolist())))
+                for a, b in zip(first[chosen].tolist(), last[chosen].tolist()):
+                    out.append((doc, int(other[a]), [int(at[a]), int(at[b]) + span], [int(place[a]), int(place[b]) + span]))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            columns = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "other", "pos", "other_pos"])
+
+    return by_doc.mapInArrow(run, "doc bigint, other bigint, pos array<int>, other_pos array<int>")
 
 
 def _common(a: Sequence[bytes], b: Sequence[bytes]) -> int:
@@ -264,22 +446,30 @@ def repeated_passages(
     earlier document and lose nothing. Other columns are not read.
 
     Every seed points at its first place, the minimum over all places, so the number of
-    matches is that of the places however many documents share a passage.
+    matches is that of the places however many documents share a passage. Runs of ``min_words``
+    words whose seeds are all shared but do not point at one stretch (put together from parts that
+    stand elsewhere, or of few distinct words) point as a whole at their first place, so every
+    equal run of ``min_words`` words is found.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("bigint").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
-    found = materialise(seeds(rows, rules), "seeds")
+    found = seeds(rows, rules)
     repeated = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
     repeated = materialise(repeated, "repeated-ids")
     if not repeated.isEmpty():
         found = found.join(repeated, "doc", "left_anti")
-    shared = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"))
-    shared = shared.where("first.doc < last").select("h", F.col("first.doc").alias("other"), F.col("first.pos").alias("other_pos"))
-    matches = found.join(shared, "h").where("doc <> other")
-    by_doc = matches.groupBy("doc").agg(F.collect_list(F.struct("other", "pos", "other_pos")).alias("matches"))
-    linked = materialise(_chain_documents(by_doc, rules), "chains")
+    # One shuffle serves both the first place and its holders.
+    holders = Window.partitionBy("h")
+    placed = found.withColumns({"first": F.min(F.struct("doc", "pos")).over(holders), "last": F.max("doc").over(holders)})
+    matches = placed.where("first.doc < last").select("doc", "h", "pos", F.col("first.doc").alias("other"), F.col("first.pos").alias("other_pos"))
+    by_doc = matches.groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "other", "other_pos")).alias("matches"))
+    with _freed_shuffles(docs):
+        links = materialise(_chain_documents(by_doc, rules), "chains")
+    runs = links.where("key is not null").select("doc", "key", "at")
+    linked = links.where("key is null").select("doc", "other", "pos", "other_pos")
+    linked = linked.union(materialise(_equal_runs(runs, rules), "equal-runs"))
 
     ids = linked.select("doc").union(linked.select(F.col("other").alias("doc")))
     texts = materialise(_holding(rows, _members(ids, rules.filter_bits), rules.filter_bits), "passage-texts")
@@ -331,14 +521,26 @@ def repeated_passages(
 def _verified(raw: bytes, own: list[dict], rules: PassageRules) -> list[dict]:
     words, found = raw.lower().split(), []
     for chain in own:
-        at = [p - chain["begin"] for p in chain["other_pos"]]
-        start, end, a_start, a_end, matching = align(words, chain["part"].encode().split(), chain["pos"], at, rules.k)
-        if end - start >= rules.min_words and matching >= rules.identity * max(end - start, a_end - a_start):
-            found.append({
-                "other": chain["other"], "start": start, "n_words": end - start,
-                "other_start": a_start + chain["begin"], "other_words": a_end - a_start, "matching": matching,
-            })
-    return sorted(found, key=lambda p: (p["start"], p["other"], p["n_words"]))
+        at, pos, part = [p - chain["begin"] for p in chain["other_pos"]], chain["pos"], chain["part"].encode().split()
+        aligned = [align(words, part, pos, at, rules.k)]
+        n = pos[-1] + rules.k - pos[0]
+        if words[pos[0] : pos[0] + n] == part[at[0] : at[-1] + rules.k]:
+            # What follows an equal run must not cost it.
+            aligned.append((pos[0], pos[0] + n, at[0], at[0] + n, n))
+        for start, end, a_start, a_end, matching in aligned:
+            if end - start >= rules.min_words and matching >= rules.identity * max(end - start, a_end - a_start):
+                found.append({
+                    "other": chain["other"], "start": start, "n_words": end - start,
+                    "other_start": a_start + chain["begin"], "other_words": a_end - a_start, "matching": matching,
+                })
+                break
+    # An equal run is often part of a chain; each passage is named once.
+    kept, reached = [], {}
+    for p in sorted(found, key=lambda p: (p["start"], -p["n_words"], p["other"], p["other_start"])):
+        if p["start"] + p["n_words"] > reached.get(p["other"], 0):
+            kept.append(p)
+            reached[p["other"]] = p["start"] + p["n_words"]
+    return sorted(kept, key=lambda p: (p["start"], p["other"], p["n_words"]))
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
