@@ -129,6 +129,19 @@ def test_passages_of_parts_that_stood_alone_before(documents):
     assert {i for i, _ in wanted} == set(found) == {i for n, i in enumerate(last) if n % 3}
 
 
+def test_passages_of_few_distinct_words(documents):
+    random.seed(6)
+    few = [random.choices(prose(n), k=200) for n in (1, 2, 3, 8, 19)]
+    cycle = (prose(7) * 40)[:260]
+    rows = [(i, " ".join(prose(40) + t + prose(40))) for i, t in enumerate([*few, cycle])]
+    rows += [(100 + i, r[1]) for i, r in enumerate(rows)]  # whole copies
+    rows += [(200 + i, " ".join(prose(25) + t[20:90] + prose(25) + t[100:170])) for i, t in enumerate([*few, cycle])]
+    found = {r["doc_id"]: r for r in repeated_passages(documents(rows)).collect()}
+    wanted = assert_all_equal_runs_are_found(rows, found)
+    assert {i for i, _ in wanted} == set(found) == {*range(100, 106), *range(200, 206)}
+    assert not any(found[i]["left_text"].strip() for i in range(100, 106))
+
+
 def test_few_spans_cover_all():
     random.seed(8)
     for _ in range(300):
