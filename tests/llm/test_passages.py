@@ -142,6 +142,19 @@ def test_passages_of_few_distinct_words(documents):
     assert not any(found[i]["left_text"].strip() for i in range(100, 106))
 
 
+def test_passages_edited_every_few_words(documents):
+    random.seed(7)
+    rows, edits = [], [(60, 6), (60, 7), (60, 8), (100, 6), (100, 10)] * 8
+    for n, every in edits:
+        words = prose(n)
+        for changed in (words, [*words]):
+            if changed is not words:
+                changed[every - 1 :: every] = prose(len(changed[every - 1 :: every]))
+            rows.append((len(rows), " ".join(prose(40) + changed + prose(40))))
+    found = {r["doc_id"]: r for r in repeated_passages(documents(rows)).collect()}
+    assert set(found) == set(range(1, len(rows), 2))
+
+
 def test_few_spans_cover_all():
     random.seed(8)
     for _ in range(300):
