@@ -35,6 +35,22 @@ def test_encoder_equals_the_library(library):
         assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == [ids_of(library, t) for t in texts]
 
 
+def test_strings_of_added_tokens_get_their_ids(documents, tmp_path):
+    plain = Tokenizer.from_file(PATH)
+    random.seed(4)
+    encoder = ChunkEncoder(PATH, class_table(), added_tokens=True)
+    for _ in range(300):
+        texts = ["".join(random.choices(ALPHABET, k=random.randrange(14))) for _ in range(8)]
+        assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == [ids_of(plain, t) for t in texts]
+    texts = ["a <|endoftext|> b", "a b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext"]
+    files = write_token_files(documents(list(enumerate(texts))), PATH, str(tmp_path / "tokens"))
+    found = {r["doc_id"]: r for r in read_token_files(files).collect()}
+    for i, t in enumerate(texts):
+        ids = [*ids_of(plain, t), 2]
+        assert (found[i]["n_tokens"], found[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert 50256 in ids_of(plain, texts[0])
+
+
 def written(documents, frame_ids):
     sink = pa.BufferOutputStream()
     writer = FrameWriter(sink, frame_ids)

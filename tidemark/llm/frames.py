@@ -54,15 +54,19 @@ class ChunkEncoder:
 
     The tokenizer's pattern always cuts before a space that stands alone between two other
     characters, so such runs are encoded apart. A text with any other kind of space next to a
-    space goes through the library whole. New runs are cut into the pieces of the pattern and
+    space, or with the string of an added token, goes through the library whole. New runs are cut into the pieces of the pattern and
     merged by the library's own model.
     """
 
-    def __init__(self, path: str, packed_classes: bytes):
+    def __init__(self, path: str, packed_classes: bytes, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # With ``added_tokens`` their strings in a text get their ids, as the library does by itself;
+        # without, they are ordinary text.
+        self.tokenizer.encode_special_tokens = not added_tokens
+        found = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
+        self.added = [t.content for t in found if t.content]
         self.tokenizer.model._resize_cache(0)  # pieces are remembered here
         self.classes = load_table(packed_classes)
         # Ids as little-endian 32-bit numbers, so that a text's ids are one join of bytes.
@@ -148,7 +152,7 @@ class ChunkEncoder:
         for text, words, ids, places in zip(texts, split, found, missing):
             if words[0]:
                 ids[0] = first.get(words[0])
-            if ids[0] is None or odd and any(words[i] in odd for i in places):
+            if ids[0] is None or odd and any(words[i] in odd for i in places) or any(a in text for a in self.added):
                 out.append(self._whole(text))
                 continue
             for i in places:
@@ -169,7 +173,7 @@ def _places_of_none(found: list) -> list[int]:
 
 @lru_cache(2)
 def _encoder(path: str, packed_classes: bytes) -> ChunkEncoder:
-    return ChunkEncoder(path, packed_classes)
+    return ChunkEncoder(path, packed_classes, added_tokens=True)
 
 
 class FrameWriter:
