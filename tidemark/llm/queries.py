@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import ORACLE as AUDIT_ORACLE
+from .audit import audit_documents
 from .bpe import encode_documents
 from .caps import embedding_groups
 from .frames import read_token_files, token_folder, write_token_files
 from .licenses import oracle as license_oracle
 from .licenses import scan_licenses
+from .minhash import fingerprint_documents
 from .mixing import mix
 from .passages import repeated_passages
 from .perplexity import quality_rules
@@ -157,3 +160,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded into frame files in order of doc_id, and read back from them."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer, token_folder(spark)))
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike neighbours are."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each source, in all orders."""
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_filter_audit"] = AUDIT_ORACLE
