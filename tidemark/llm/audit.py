@@ -93,25 +93,22 @@ def audit(survivors: DataFrame) -> DataFrame:
     ``good_lost``, ``toxic_lost``, ``shapley``.
     """
 
-    def sums(bit: int) -> Column:
-        def of(s: int) -> Column:
-            value = F.col(f"s{s}") if not bit else F.when(F.col("label").bitwiseAND(bit) > 0, F.col(f"s{s}")).otherwise(0)
-            return F.sum(value)
+    def sums(bit: int) -> str:
+        value = f"if(label & {bit} > 0, s{{s}}, 0)" if bit else "s{s}"
+        return "array(" + ", ".join(f"sum({value.format(s=s)})" for s in range(SUBSETS)) + ")"
 
-        return F.array(*[of(s) for s in range(SUBSETS)])
-
-    parts = survivors.groupBy("part").agg(sums(0).alias("n"), sums(1).alias("good"), sums(2).alias("toxic"))
+    named = {"n": 0, "good": 1, "toxic": 2}
+    parts = survivors.groupBy("part").agg(*[F.expr(sums(bit)).alias(name) for name, bit in named.items()])
     # Of the 120 orders |T|! (4 - |T|)! have exactly the filters of T before a given one.
     last = len(LETTERS) - 1
     weight = [factorial(k) * factorial(last - k) for k in range(len(LETTERS))]
     shares = []
     for i in range(len(LETTERS)):
         before = [s for s in range(SUBSETS) if not s >> i & 1]
-        terms = [(F.col("n")[s] - F.col("n")[s | 1 << i]) * weight[s.bit_count()] for s in before]
-        shares.append(sum(terms[1:], terms[0]))
-    orders = F.array(*[F.lit("".join(p)) for p in permutations(LETTERS)])
+        shares.append(" + ".join(f"{weight[s.bit_count()]} * (n[{s}] - n[{s | 1 << i}])" for s in before))
+    orders = F.lit(["".join(p) for p in permutations(LETTERS)])
     steps = F.sequence(F.lit(1), F.lit(len(LETTERS)))
-    rows = parts.withColumn("shares", F.array(*shares)).withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(steps))
+    rows = parts.withColumn("shares", F.expr(f"array({', '.join(shares)})")).withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(steps))
 
     def place(letter: str) -> str:
         return f"instr('{LETTERS}', {letter}) - 1"

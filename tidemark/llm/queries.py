@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_documents
 from .audit import ORACLE as AUDIT_ORACLE
 from .audit import audit_documents
 from .bpe import encode_documents
@@ -162,6 +163,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer, token_folder(spark)))
 
 
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizations of every document."""
+    paths = [public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align_documents(table(spark, sf_dir, "documents"), *paths)
+
+
 @query
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike neighbours are."""
