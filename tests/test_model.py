@@ -9,7 +9,6 @@ from tests.conftest import executed_plan, values
 from tidemark import FEATURE_COLUMNS, ModelParams, classification_metrics, get_xy
 from tidemark.operators import attribution
 from tidemark.plans.model import INPUTS, ScoringModel, calibrate, fit_base
-from tidemark.operators.quantiles import exact_quantiles
 
 SMALL = ModelParams(n_estimators=6, max_depth=4, learning_rate=0.3)
 
@@ -56,7 +55,7 @@ def test_isotonic_calibration_is_monotone(model, rows):
 
 
 def test_sigmoid_calibration_fits_softened_targets(model, rows):
-    plain = ScoringModel(model.encoding, model.medians, model.trees, None, ModelParams(**{**SMALL.__dict__, "calibration_method": "sigmoid"}))
+    plain = ScoringModel(model.encoding, model.forest, None, ModelParams(**{**SMALL.__dict__, "calibration_method": "sigmoid"}))
     fitted = calibrate(plain, rows["valid"])
     held = plain.raw_scores(rows["valid"]).select("margin", "Default").toPandas()
     m, y = held["margin"].to_numpy(), held["Default"].to_numpy()
@@ -76,7 +75,7 @@ def test_training_reads_features_only(rows):
 
 def test_scoring_does_not_shuffle(model, rows):
     plan = executed_plan(model.score(rows["test"]).select("id", "score"))
-    assert "hashpartitioning" not in plan and "Python" not in plan
+    assert "Exchange" not in plan.replace("BroadcastExchange", "") and "BatchEvalPython" not in plan
 
 
 def test_contributions_add_up_to_the_margin(model, rows):
@@ -95,46 +94,103 @@ def tree_value(nodes, x, known):
             return n["prediction"]
         a, b = n["left"], n["right"]
         if n["feature"] in known:
-            return walk(a if x[n["feature"]] <= n["threshold"] else b)
+            v = x[n["feature"]]
+            return walk(a if (n["missing_left"] if np.isnan(v) else v <= n["threshold"]) else b)
         return (nodes[a]["cover"] * walk(a) + nodes[b]["cover"] * walk(b)) / n["cover"]
 
     return walk(0)
 
 
-def test_leaf_tables_equal_shapley_by_enumeration():
-    """A hand-made tree that splits twice on one input, against the definition over all subsets."""
-    def leaf(p, c):
-        return {"left": -1, "right": -1, "feature": -1, "threshold": None, "prediction": p, "cover": c}
+def leaf(p, c):
+    return {"left": -1, "right": -1, "feature": -1, "threshold": None, "prediction": p, "cover": c}
+
+
+def node(f, t, left, right, c, missing_left=False):
+    return {"left": left, "right": right, "feature": f, "threshold": t, "prediction": 0.0, "cover": c, "missing_left": missing_left}
+
 
-    def node(f, t, left, right, c):
-        return {"left": left, "right": right, "feature": f, "threshold": t, "prediction": 0.0, "cover": c}
+def shapley(nodes, row, inputs):
+    for j in range(inputs):
+        others = [k for k in range(inputs) if k != j]
+        yield sum(
+            factorial(size) * factorial(inputs - 1 - size) / factorial(inputs)
+            * (tree_value(nodes, row, {*s, j}) - tree_value(nodes, row, set(s)))
+            for size in range(inputs) for s in combinations(others, size)
+        )
 
+
+@pytest.mark.parametrize("table_inputs", [7, 0])
+def test_contributions_equal_shapley_by_enumeration(monkeypatch, table_inputs):
+    """A hand-made tree that splits twice on one input, against the definition over all subsets."""
+    monkeypatch.setattr(attribution, "_TABLE_INPUTS", table_inputs)
     nodes = {
-        0: node(0, 0.5, 1, 2, 100.0), 1: node(1, 0.3, 3, 4, 60.0), 2: node(0, 0.8, 5, 6, 40.0),
+        0: node(0, 0.5, 1, 2, 100.0), 1: node(1, 0.3, 3, 4, 60.0, True), 2: node(0, 0.8, 5, 6, 40.0, True),
         3: leaf(1.0, 20.0), 4: node(2, 0.1, 7, 8, 40.0), 5: leaf(-2.0, 30.0), 6: leaf(4.0, 10.0),
         7: leaf(0.5, 15.0), 8: leaf(3.0, 25.0),
     }
-    found = list(attribution._tree_leaves(nodes, 1.0))
-    tables = attribution.TreeTables([leaf for leaf, _ in found], sum(s for _, s in found))
+    tables = attribution.tables_of([nodes], [1.0])
     assert tables.base_value == pytest.approx(tree_value(nodes, None, set()))
     x = np.random.default_rng(0).random((50, 3))
     x[0] = [0.5, 0.3, 0.1]  # exactly on the thresholds
-    got = tables.contributions(x)
-    for row, phi in zip(x, got):
-        for j in range(3):
-            others = [k for k in range(3) if k != j]
-            want = sum(
-                factorial(size) * factorial(2 - size) / 6
-                * (tree_value(nodes, row, {*s, j}) - tree_value(nodes, row, set(s)))
-                for size in range(3) for s in combinations(others, size)
-            )
-            assert phi[j] == pytest.approx(want, abs=1e-12)
-
-
-def test_tables_are_bounded(spark, model, monkeypatch):
-    monkeypatch.setattr(attribution, "_MAX_TABLE_BYTES", 100)
-    with pytest.raises(ValueError, match="shallower"):
-        attribution.tree_tables(spark, model.trees)
+    x[1:4] = [[np.nan, 0.2, 0.2], [0.4, np.nan, np.nan], [np.nan] * 3]
+    for row, phi in zip(x, tables.contributions(x)):
+        assert phi == pytest.approx(list(shapley(nodes, row, 3)), abs=1e-12)
+
+
+def test_deep_trees_are_explained_without_tables():
+    """Trees of depth 12 over 8 inputs: some rows by enumeration, all by what they add up to."""
+    rng = np.random.default_rng(1)
+
+    def grown(depth):
+        nodes = {}
+
+        def grow(at, d, cover):
+            if d == depth or cover < 1.5:
+                nodes[at] = leaf(rng.normal(), cover)
+                return
+            share = rng.uniform(0.2, 0.8)
+            nodes[at] = node(int(rng.integers(8)), rng.random(), 2 * at + 1, 2 * at + 2, cover, bool(rng.integers(2)))
+            grow(2 * at + 1, d + 1, cover * share)
+            grow(2 * at + 2, d + 1, cover * (1 - share))
+
+        grow(0, 0, 400.0)
+        return nodes
+
+    trees = [grown(12) for _ in range(3)]
+    tables = attribution.tables_of(trees, [1.0] * 3, base=0.25)
+    assert any(len(leaf.features) > 7 for tree in tables.trees for leaf in tree.leaves)
+    x = rng.random((40, 8))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    phi = tables.contributions(x)
+    everything = set(range(8))
+    margins = [0.25 + sum(tree_value(t, row, everything) for t in trees) for row in x]
+    assert phi.sum(axis=1) + tables.base_value == pytest.approx(np.array(margins), abs=1e-9)
+    for i in (0, 1):
+        want = sum(np.array(list(shapley(t, x[i], 8))) for t in trees)
+        assert phi[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_full_size_forest_of_depth_12_is_explained(spark):
+    """400 trees of depth 12, at most 4,096 leaves each: no limit on what may be explained."""
+    rng = np.random.default_rng(2)
+    trees = []
+    for _ in range(400):
+        nodes, at = {}, 0
+        for d in range(12):  # one long path with a leaf at every step
+            nodes[at] = node(int(rng.integers(12)), rng.random(), at + 1, at + 2, 2.0 ** (12 - d))
+            nodes[at + 1] = leaf(rng.normal(), 2.0 ** (11 - d))
+            at += 2
+        nodes[at] = leaf(rng.normal(), 1.0)
+        trees.append(nodes)
+    tables = attribution.tables_of(trees, [0.1] * 400)
+    names = [f"x{i}" for i in range(12)]
+    df = spark.range(200).select("id", *[F.rand(i).alias(c) for i, c in enumerate(names)])
+    groups = [(c, (c,)) for c in names]
+    explained = attribution.attribute_rows(df, tables, names, groups, keep=["id"]).collect()
+    means = {r["feature"]: r["mean_abs_shap"] for r in attribution.mean_contributions(df, tables, names, groups).collect()}
+    assert len(explained) == 200 and set(means) == set(names)
+    for i, c in enumerate(names):
+        assert means[c] == pytest.approx(np.mean([abs(r["contributions"][i]["shap"]) for r in explained]))
 
 
 def test_top_contributors_and_directions(spark):
@@ -152,10 +208,16 @@ def test_top_contributors_and_directions(spark):
 
 
 def test_global_attribution_covers_every_feature(model, rows):
-    found = attribution.global_attribution(model.explain(rows["test"]), FEATURE_COLUMNS)
+    found = model.importance(rows["test"])
     assert {r["feature"] for r in found.collect()} == set(FEATURE_COLUMNS)
     assert found.first()["feature"] == "emp_length_years"
+    again = attribution.global_attribution(model.explain(rows["test"]), FEATURE_COLUMNS)
+    assert [r["feature"] for r in found.collect()] == [r["feature"] for r in again.collect()]
 
 
-def test_medians_are_those_of_the_train_rows(model, rows):
-    assert model.medians["fico_n"] == exact_quantiles(rows["train"], ["fico_n"], [0.5])["fico_n"][0]
+def test_missing_numbers_are_not_imputed(model, rows):
+    """Rows that differ only in a missing input may score apart from those with any value of it."""
+    row = rows["test"].where("fico_n is not null").limit(1)
+    design = model.design(row.withColumn("fico_n", F.lit(None).cast("double")))
+    assert design.first()["fico_n"] is None
+    assert {t.missing_left.any() for t in model.forest.trees} <= {True, False}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..functions.columns import TOWARD_DEFAULT, TOWARD_REPAYING
 from ..operators.drift import KEY_FEATURES
 from ..operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from .queries import CANDIDATES, SCORE_WEIGHTS, SEVERITIES, STREAM_REFERENCE_END
+from .queries import CANDIDATES, ROUND_CUTS, SCORE_WEIGHTS, SEVERITIES, STREAM_REFERENCE_END
 
 _LOANS = """
 li as (
@@ -354,7 +354,46 @@ _FILES = (
 _STATUS = {"absent": "missing", "part": "unlisted", "region": "wrong_size", "nation": "wrong_md5"}
 _FILE_ROWS = ", ".join(f"('{f}.parquet', '{_STATUS.get(f, 'ok')}')" for f in _FILES)
 
+_ROUND_CUT_ROWS = ", ".join(f"({f}, {c}::double)" for f, cuts in enumerate(ROUND_CUTS.values(), 1) for c in cuts)
+_ROUND_NAMES = ", ".join(f"'{c}'" for c in ROUND_CUTS)
+
+
+def _level(i: int) -> str:
+    """The best split of each node of level i: gradients are 0.5 - y, hessians 0.25."""
+    return f""",
+cand{i} as (
+  select node, f, c, side, sum(0.5 - y) as g, 0.25 * count(*) as h,
+         sum(0.5 - y) filter (v <= c or v is null and side = 1) as gl, 0.25 * count(*) filter (v <= c or v is null and side = 1) as hl
+  from (select node, y, unnest([1, 2, 3]) as f, unnest(x) as v from n{i}) join cuts using (f), (values (0), (1)) as s(side)
+  group by node, f, c, side),
+gain{i} as (
+  select *, gl * gl / (hl + 1.0) + (g - gl) * (g - gl) / (h - hl + 1.0) - g * g / (h + 1.0) as gain from cand{i} where hl >= 5 and h - hl >= 5),
+best{i} as (
+  select *, row_number() over (order by node) as place
+  from (select * from gain{i} where gain > 1e-6 qualify row_number() over (partition by node order by gain desc, f, c, side) = 1))"""
+
+
 ORACLE: dict[str, str] = {
+    "boosting_round": _with(
+        _FEATS
+        + f""",
+cuts(f, c) as (values {_ROUND_CUT_ROWS}),
+n0 as (select 0 as node, "Default"::double as y, [{", ".join(ROUND_CUTS)}] as x from feats where split = 'train')"""
+        + _level(0)
+        + """,
+n1 as (
+  select case when x[f] <= c or x[f] is null and side = 1 then 1 else 2 end as node, y, x from n0 join best0 using (node))"""
+        + _level(1)
+        + """,
+n2 as (
+  select 1 + 2 * place + case when x[f] <= c or x[f] is null and side = 1 then 0 else 1 end as node, y from n1 join best1 using (node)),
+every as (
+  select node, y from n0 union all select node, y from n1 union all select node, y from n2),
+inner_nodes as (select node, f, c, side from best0 union all select node, f, c, side from best1)""",
+        f"""select e.node::int as node, [{_ROUND_NAMES}][f] as feature, c as threshold, side = 1 as missing_left,
+  case when f is null then round(-0.3 * sum(0.5 - y) / (0.25 * count(*) + 1.0), 9) end as value, round(0.25 * count(*), 6) as cover
+from every e left join inner_nodes i on i.node = e.node group by e.node, f, c, side""",
+    ),
     "forest_attribution": _with(
         _FOREST,
         f"""select id, round(base_value, 9) as base_value, cast(place as integer) as place, feature, round(shap, 6) as shap,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import attribution, cohorts, drift, encoding, metrics, profile, sampling, split
+from ..operators import attribution, boosting, cohorts, drift, encoding, metrics, profile, sampling, split
 from ..operators.features import (
     CATEGORICAL_FEATURES,
     RAW_INPUT_COLUMNS,
@@ -21,10 +21,11 @@ from ..operators.features import (
     build_feature_matrix,
     engineer_features,
 )
+from ..operators.isotonic import fit_isotonic
 from ..operators.quantiles import exact_quantiles
 from ..plans import ledger
 from ..plans.lifecycle import run_lifecycle
-from ..plans.model import INPUT_GROUPS, ModelParams, ScoringModel, calibrate, fit_base, isotonic
+from ..plans.model import ModelParams, ScoringModel, calibrate, fit_base
 from ..plans.scoring import score_batch, with_errors
 from ..plans.training import EvalResult, promote
 from ..session import work_dir
@@ -41,7 +42,6 @@ _registry: dict[str, Query] = {}
 SCORE_WEIGHTS = (-1.2, 0.5, -0.002)
 CANDIDATES = ((1, -1.2, 0.5, -0.002), (2, 0.0, 0.0, -0.01), (3, -1.0, 0.4, 0.0), (4, 0.3, 0.01, 0.02))
 SEVERITIES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
-DEMO_PARAMS = ModelParams(n_estimators=20, learning_rate=0.1)
 # Events up to this moment are the reference of the streaming drift query.
 STREAM_REFERENCE_END = "2024-01-16"
 
@@ -447,15 +447,41 @@ def target_encode_new(spark, sf_dir):
 
 
 def demo_model(spark: SparkSession, sf_dir: str) -> ScoringModel:
-    """A small model, trained once per session and saved."""
+    """The model at its full size, trained once per session and saved."""
     def write(path: str) -> None:
         rows = loan_features(spark, sf_dir)
         train, valid = (rows.where(F.col("split") == s) for s in ("train", "valid"))
-        calibrate(fit_base(train, DEMO_PARAMS), valid).save(path)
+        calibrate(fit_base(train, ModelParams()), valid).save(path)
 
     return ScoringModel.load(spark, loans.land_once(spark, sf_dir, "model", write))
 
 
+# Cuts of a tree small enough to be grown in SQL.
+ROUND_CUTS = {"fico_n": (540, 560, 580, 600, 620, 640), "dti_n": (2, 4, 6, 8, 12, 16, 24), "emp_length_years": (1, 2, 4, 6)}
+ROUND_PARAMS = boosting.TreeParams(trees=1, depth=2, learning_rate=0.3, min_child_weight=5.0, l2=1.0)
+
+
+@query
+def boosting_round(spark, sf_dir):
+    """One round of boosting on the train split: a tree of two levels from even odds."""
+    rows = _split(spark, sf_dir, "train")
+    inputs = list(ROUND_CUTS)
+    found = boosting.boost(
+        rows, inputs, ROUND_PARAMS, label="Default", id_column="id", cuts=list(ROUND_CUTS.values()), base=0.0, task_rows=20_000
+    )
+    nodes = found.table(spark).where("tree = 0")
+    names = F.element_at(F.array(*map(F.lit, inputs)), F.col("feature") + 1)
+    inner = F.col("feature") >= 0
+    return nodes.select(
+        "node",
+        F.when(inner, names).alias("feature"),
+        F.when(inner, F.col("threshold")).alias("threshold"),
+        F.when(inner, F.col("missing_left")).alias("missing_left"),
+        _r(F.when(~inner, F.col("value"))).alias("value"),
+        _r("cover", 6).alias("cover"),
+    )
+
+
 @query
 def gbt_calibrated_scores(spark, sf_dir):
     return demo_model(spark, sf_dir).score(_split(spark, sf_dir, "test")).select("id", "margin", "raw_score", "score")
@@ -478,8 +504,7 @@ def score_applications(spark, sf_dir):
 
 @query
 def global_attribution(spark, sf_dir):
-    explained = demo_model(spark, sf_dir).explain(_split(spark, sf_dir, "train"))
-    return attribution.global_attribution(explained, [name for name, _ in INPUT_GROUPS])
+    return demo_model(spark, sf_dir).importance(_split(spark, sf_dir, "train"))
 
 
 def _node(feature: int, threshold: float, left: int, right: int) -> dict:
@@ -520,23 +545,23 @@ def fixed_forest(train: DataFrame) -> attribution.TreeTables:
     return attribution.tables_of(trees, [1.0] * len(trees))
 
 
-def _forest_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = fixed_forest(_forest_rows(spark, sf_dir, "train"))
-    groups = [(c, (c,)) for c in FOREST_INPUTS]
-    return attribution.attribute_rows(_forest_rows(spark, sf_dir, "test"), tables, FOREST_INPUTS, groups, keep=["id"])
+FOREST_GROUPS = [(c, (c,)) for c in FOREST_INPUTS]
 
 
 @query
 def forest_attribution(spark, sf_dir):
     """Contributions of the fixed forest: of every row the two largest, with their direction."""
-    shown = attribution.directed(attribution.top_contributions(_forest_explained(spark, sf_dir), 2), 6)
+    tables, rows = fixed_forest(_forest_rows(spark, sf_dir, "train")), _forest_rows(spark, sf_dir, "test")
+    explained = attribution.attribute_rows(rows, tables, FOREST_INPUTS, FOREST_GROUPS, keep=["id"])
+    shown = attribution.directed(attribution.top_contributions(explained, 2), 6)
     rows = shown.select("id", _r("base_value").alias("base_value"), F.posexplode("top_contributions").alias("place", "c"))
     return rows.select("id", "base_value", "place", "c.feature", "c.shap", "c.pushes")
 
 
 @query
 def forest_global(spark, sf_dir):
-    found = attribution.global_attribution(_forest_explained(spark, sf_dir), FOREST_INPUTS)
+    tables, rows = fixed_forest(_forest_rows(spark, sf_dir, "train")), _forest_rows(spark, sf_dir, "test")
+    found = attribution.mean_contributions(rows, tables, FOREST_INPUTS, FOREST_GROUPS)
     return found.select("feature", _r("mean_abs_shap", 6).alias("mean_abs_shap"))
 
 
@@ -545,7 +570,7 @@ def isotonic_scores(spark, sf_dir):
     """The stand-in score, rounded, calibrated on the valid split and applied to it."""
     rows = formula_score(_split(spark, sf_dir, "valid"))
     points = rows.select(F.round("score", 2).alias("raw_score"), F.col("Default").cast("double").alias("y"))
-    curve = isotonic(points).transform(points.select("raw_score").distinct())
+    curve = fit_isotonic(points).transform(points.select("raw_score").distinct())
     return curve.select("raw_score", _r("calibrated", 6).alias("calibrated"))
 
 
@@ -605,8 +630,7 @@ def lifecycle_run(spark, sf_dir):
     root = f"{work_dir(spark)}/lifecycle-{uuid.uuid4().hex[:12]}"
     settings = Settings(root=root, train_end=VIEW_SETTINGS.train_end, valid_end=VIEW_SETTINGS.valid_end)
     raw_loans(spark, sf_dir).write.parquet(settings.raw_parquet)
-    params = ModelParams(n_estimators=5, max_depth=4, learning_rate=0.3)
-    return run_lifecycle(spark, settings, params=params)
+    return run_lifecycle(spark, settings)
 
 
 # --- streams ---------------------------------------------------------------------------

@@ -1,8 +1,9 @@
 """Shapley attributions of boosted trees, path-dependent (Lundberg et al. 2018).
 
-A leaf contributes to a row only through which of its path's features the row satisfies.
-With at most ``depth`` features per path there are few such patterns, so each leaf gets a
-table from pattern to contributions (Yang 2021) and a row costs one look-up per leaf.
+A leaf contributes to a row only through which inputs of its path the row satisfies. Short
+paths have few such patterns, so each of their leaves gets a table from pattern to
+contributions (Yang 2021) and a row costs one look-up per leaf. Long paths are extended and
+unwound for all rows of a batch at once.
 """
 
 from __future__ import annotations
@@ -12,132 +13,215 @@ from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..session import work_dir
 
 # How many rows of a report and how many contributors of a row are shown.
 TOP_FEATURES = 20
 TOP_CONTRIBUTIONS = 8
-_MAX_TABLE_BYTES = 512 * 2**20
+# Inputs on a path up to which a leaf has a table (of 2^inputs x inputs numbers).
+_TABLE_INPUTS = 7
 
 
 @dataclass(frozen=True)
 class Leaf:
-    features: np.ndarray  # distinct inputs on the path
-    low: np.ndarray  # a path is satisfied in input j when low < x <= high
-    high: np.ndarray
-    table: np.ndarray  # pattern -> contribution of each path input
+    features: tuple[int, ...]  # distinct inputs on the path
+    turns: tuple[tuple[tuple[int, bool], ...], ...]  # of each input the splits on it: (split, goes left)
+    zero: np.ndarray  # share of training rows that follow the path at the splits on an input
+    value: float
+    table: np.ndarray | None  # input x pattern -> contribution
+
+
+@dataclass(frozen=True)
+class TreePaths:
+    """Leaves of one tree, and its splits: input, threshold and the side of missing values."""
+
+    splits: tuple[tuple[int, float, bool], ...]
+    leaves: tuple[Leaf, ...]
+
+    def add_contributions(self, x: np.ndarray, out: np.ndarray) -> None:
+        """``x``, ``out``: inputs x rows."""
+        left = []
+        for feature, threshold, missing_left in self.splits:
+            v = x[feature]
+            goes = v <= threshold
+            if missing_left:
+                goes |= np.isnan(v)
+            left.append(goes)
+        right = [~goes for goes in left]
+        for leaf in self.leaves:
+            hits = []
+            for turns in leaf.turns:
+                hit = None
+                for split, goes_left in turns:
+                    side = left[split] if goes_left else right[split]
+                    hit = side if hit is None else hit & side
+                hits.append(hit)
+            if leaf.table is None:
+                parts = unwound(leaf.value, leaf.zero, np.stack(hits))
+            else:
+                pattern = np.zeros(x.shape[1], np.uint8)
+                for j, hit in enumerate(hits):
+                    pattern |= hit.view(np.uint8) << np.uint8(j)
+                parts = (column[pattern] for column in leaf.table)
+            for feature, part in zip(leaf.features, parts):
+                out[feature] += part
 
 
 @dataclass(frozen=True)
 class TreeTables:
-    leaves: list[Leaf]
+    trees: tuple[TreePaths, ...]
     base_value: float
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(x)
-        for leaf in self.leaves:
-            part = x[:, leaf.features]
-            hit = (part > leaf.low) & (part <= leaf.high)
-            pattern = hit @ (1 << np.arange(len(leaf.features)))
-            out[:, leaf.features] += leaf.table[pattern]
-        return out
+        """Contribution of each input (rows x inputs, NaN for missing)."""
+        columns = np.ascontiguousarray(x.T)
+        out = np.zeros_like(columns)
+        for tree in self.trees:
+            tree.add_contributions(columns, out)
+        return out.T
+
 
+def _weights(d: int) -> np.ndarray:
+    """Share of the orders of ``d`` inputs in which k given others come before one."""
+    return np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
 
-def _leaf_table(value: float, zero: np.ndarray) -> np.ndarray:
-    """Contribution of each path input for every pattern of satisfied inputs.
 
-    ``zero[j]``: share of training rows that follow the path at the splits on input j, which
-    is how a path is weighted when input j is unknown.
+def leaf_tables(values: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """Contributions of each path input for every pattern of satisfied inputs: leaves x inputs x patterns.
+
+    ``zero[l, j]`` is how the path of leaf l is weighted when its input j is unknown.
     """
-    d = len(zero)
+    n, d = zero.shape
     one = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
-    weight = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
-    table = np.empty((1 << d, d))
+    table = np.empty((n, d, 1 << d))
     for j in range(d):
-        sizes = np.zeros((1 << d, d))  # summed products by number of known inputs
-        sizes[:, 0] = 1.0
+        sizes = np.zeros((n, 1 << d, d))  # summed products by number of known inputs
+        sizes[:, :, 0] = 1.0
         for t in range(d):
             if t != j:
-                known = np.roll(sizes, 1, axis=1) * one[:, [t]]
-                known[:, 0] = 0.0
-                sizes = sizes * zero[t] + known
-        table[:, j] = value * (one[:, j] - zero[j]) * (sizes @ weight)
+                known = np.roll(sizes, 1, axis=2) * one[None, :, t, None]
+                known[:, :, 0] = 0.0
+                sizes = sizes * zero[:, None, None, t] + known
+        table[:, j] = values[:, None] * (one[None, :, j] - zero[:, None, j]) * (sizes @ _weights(d))
     return table
 
 
-def _tree_leaves(nodes: dict[int, dict], weight: float) -> Iterator[tuple[Leaf | None, float]]:
-    """Each leaf with its share of the base value."""
-    root_cover = nodes[0]["cover"]
+def unwound(value: float, zero: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """The same for one leaf and many rows (inputs x rows of satisfied or not) without a table.
 
-    def walk(i: int, path: dict[int, tuple[float, float, float]]):
-        node = nodes[i]
+    The path is extended by one input after the other into sums of products by number of known
+    inputs; taking an input out again leaves the sums over the others.
+    """
+    d, n = hits.shape
+    sums = np.zeros((d + 1, n))
+    sums[0] = 1.0
+    for z, hit in zip(zero, hits):
+        sums[1:] = sums[1:] * z + sums[:-1] * hit
+        sums[0] *= z
+    weights, out = _weights(d), np.empty((d, n))
+    for j, (z, hit) in enumerate(zip(zero, hits)):
+        with_it, without = np.zeros(n), np.zeros(n)
+        rest = sums[d]
+        for k in range(d - 1, -1, -1):
+            with_it += weights[k] * rest
+            without += weights[k] * sums[k]
+            rest = sums[k] - z * rest
+        out[j] = value * np.where(hit, with_it * (1 - z), -without)
+    return out
+
+
+def _paths(nodes: dict[int, dict], weight: float) -> tuple[list[tuple[int, float, bool]], list[tuple], float]:
+    """Splits and leaves (path, value) of a tree, and its expected value."""
+    splits, leaves, base = [], [], 0.0
+    stack: list[tuple[int, dict[int, tuple[tuple, float]]]] = [(0, {})]
+    while stack:
+        at, path = stack.pop()
+        node = nodes[at]
         if node["left"] < 0:
             value = weight * node["prediction"]
-            share = value * node["cover"] / root_cover
-            if not path:
-                yield None, share
-                return
-            bounds = list(path.values())
-            zero = np.array([b[2] for b in bounds])
-            yield Leaf(
-                np.array(list(path)),
-                np.array([b[0] for b in bounds]),
-                np.array([b[1] for b in bounds]),
-                _leaf_table(value, zero),
-            ), share
-            return
-        f, cut = node["feature"], node["threshold"]
-        low, high, zero = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, lo, hi in ((node["left"], low, min(high, cut)), (node["right"], max(low, cut), high)):
-            yield from walk(child, {**path, f: (lo, hi, zero * nodes[child]["cover"] / node["cover"])})
-
-    yield from walk(0, {})
-
-
-def tree_tables(spark: SparkSession, model: GBTClassificationModel, path: str | None = None) -> TreeTables:
-    """Look-up tables of a fitted model, read from the node table of its saved form.
-
-    ``path`` is where the model is saved; without it, it is saved to the work folder first.
-    Size is (trees x leaves x 2^depth x depth) numbers, whatever the data; it is checked.
+            base += value * node["cover"] / nodes[0]["cover"] if path else value
+            if path:
+                leaves.append((path, value))
+            continue
+        number, f = len(splits), node["feature"]
+        splits.append((f, node["threshold"], node.get("missing_left", False)))
+        turns, zero = path.get(f, ((), 1.0))
+        for child, goes_left in ((node["right"], False), (node["left"], True)):
+            share = zero * nodes[child]["cover"] / node["cover"]
+            stack.append((child, {**path, f: ((*turns, (number, goes_left)), share)}))
+    return splits, leaves, base
+
+
+def tables_of(trees: Sequence[dict[int, dict]], weights: Sequence[float], base: float = 0.0) -> TreeTables:
+    """What rows are explained with, of trees given by their nodes.
+
+    A node has ``left``, ``right`` (-1 in a leaf), ``feature``, ``threshold``, ``prediction``, ``cover``
+    and, where missing values go left, ``missing_left``. Size grows with leaves times their path.
     """
-    if path is None:
-        path = f"{work_dir(spark)}/trees-{model.uid}"
-        model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
-    trees: dict[int, dict[int, dict]] = {}
-    for r in rows:
-        cut = r["split"]["leftCategoriesOrThreshold"]
-        trees.setdefault(r["treeID"], {})[r["id"]] = {
-            "left": r["leftChild"],
-            "right": r["rightChild"],
-            "feature": r["split"]["featureIndex"],
-            "threshold": cut[0] if cut else None,
-            "prediction": r["prediction"],
-            "cover": r["impurityStats"][0],
-        }
-    # Spark's margin is half the log-odds.
-    return tables_of([trees[i] for i in range(len(model.treeWeights))], [2.0 * w for w in model.treeWeights])
-
-
-def tables_of(trees: Sequence[dict[int, dict]], weights: Sequence[float]) -> TreeTables:
-    """Look-up tables of trees given by their nodes (left, right, feature, threshold, prediction, cover)."""
-    leaves: list[Leaf] = []
-    base, size = 0.0, 0
-    for tree, weight in zip(trees, weights):
-        for leaf, share in _tree_leaves(tree, weight):
-            base += share
-            if leaf is not None:
-                leaves.append(leaf)
-                size += leaf.table.nbytes
-                if size > _MAX_TABLE_BYTES:
-                    raise ValueError(f"attribution tables exceed {_MAX_TABLE_BYTES} bytes; use shallower trees")
-    return TreeTables(leaves, base)
+    splits, paths, owners = [], [], []
+    for number, (tree, weight) in enumerate(zip(trees, weights)):
+        own, leaves, expected = _paths(tree, weight)
+        splits.append(tuple(own))
+        paths += leaves
+        owners += [number] * len(leaves)
+        base += expected
+    zeros = [np.array([share for _, share in path.values()]) for path, _ in paths]
+    tables: list[np.ndarray | None] = [None] * len(paths)
+    for d in range(1, _TABLE_INPUTS + 1):
+        of_size = [i for i, z in enumerate(zeros) if len(z) == d]
+        for start in range(0, len(of_size), 256):
+            some = of_size[start : start + 256]
+            made = leaf_tables(np.array([paths[i][1] for i in some]), np.stack([zeros[i] for i in some]))
+            for i, table in zip(some, made):
+                tables[i] = table
+    leaves_of: list[list[Leaf]] = [[] for _ in splits]
+    for owner, (path, value), zero, table in zip(owners, paths, zeros, tables):
+        leaves_of[owner].append(Leaf(tuple(path), tuple(turns for turns, _ in path.values()), zero, value, table))
+    return TreeTables(tuple(TreePaths(s, tuple(leaves)) for s, leaves in zip(splits, leaves_of)), base)
+
+
+def _fold(inputs: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]]) -> np.ndarray:
+    fold = np.zeros((len(inputs), len(groups)))
+    for g, (_, members) in enumerate(groups):
+        fold[[inputs.index(m) for m in members], g] = 1.0
+    return fold
+
+
+def _numbers(inputs: Sequence[str]) -> list:
+    return [F.col(f"`{c}`").cast("double").alias(f"__input_{i}") for i, c in enumerate(inputs)]
+
+
+def _matrix(batch: pa.RecordBatch, n_inputs: int) -> np.ndarray:
+    columns = batch.columns[len(batch.columns) - n_inputs :]
+    return np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])
+
+
+def mean_contributions(
+    df: DataFrame, tables: TreeTables, inputs: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]], top: int = TOP_FEATURES
+) -> DataFrame:
+    """(feature, mean_abs_shap) over all rows, largest first. Tasks hand on sums, not rows."""
+    inputs = list(inputs)
+    shared = df.sparkSession.sparkContext.broadcast((tables, _fold(inputs, groups)))
+    names = [f"s{i}" for i in range(len(groups))]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree_tables, to_groups = shared.value
+        n, total = 0, np.zeros(len(names))
+        for batch in batches:
+            total += np.abs(tree_tables.contributions(_matrix(batch, len(inputs))) @ to_groups).sum(axis=0)
+            n += batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([v]) for v in total]], ["n", *names])
+
+    sums = df.select(*_numbers(inputs)).mapInArrow(add_up, "n bigint, " + ", ".join(f"{c} double" for c in names))
+    total = sums.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+    rows = [F.struct(F.lit(f).alias("feature"), (F.col(c) / F.col("n")).alias("mean_abs_shap")) for (f, _), c in zip(groups, names)]
+    shown = total.where("n is not null").select(F.inline(F.array(*rows)))
+    return shown.orderBy(F.desc("mean_abs_shap"), "feature").limit(top)
 
 
 def attribute_rows(
@@ -155,23 +239,20 @@ def attribute_rows(
     the row's margin.
     """
     inputs, keep = list(inputs), list(keep)
-    fold = np.zeros((len(inputs), len(groups)))
-    for g, (_, members) in enumerate(groups):
-        fold[[inputs.index(m) for m in members], g] = 1.0
-    shared = df.sparkSession.sparkContext.broadcast((tables, fold))
+    shared = df.sparkSession.sparkContext.broadcast((tables, _fold(inputs, groups)))
+    names = [f"phi_{i}" for i in range(len(groups))]
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree_tables, to_groups = shared.value
-        for pdf in batches:
-            phi = tree_tables.contributions(pdf[inputs].to_numpy(dtype=float)) @ to_groups
-            yield pdf[keep].assign(
-                base_value=tree_tables.base_value, **{f"phi_{i}": phi[:, i] for i in range(phi.shape[1])}
-            )
-
-    kept = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in inputs])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    numbers = ", ".join(f"phi_{i} double" for i in range(len(groups)))
-    raw = kept.mapInPandas(explain, f"{schema}{', ' if keep else ''}base_value double, {numbers}")
+        for batch in batches:
+            phi = tree_tables.contributions(_matrix(batch, len(inputs))) @ to_groups
+            base = pa.array(np.full(batch.num_rows, tree_tables.base_value))
+            columns = [*batch.columns[: len(keep)], base, *[pa.array(c) for c in np.ascontiguousarray(phi.T)]]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "base_value", *names])
+
+    kept = df.select(*[f"`{c}`" for c in keep], *_numbers(inputs))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(keep)]]
+    raw = kept.mapInArrow(explain, ", ".join([*schema, "base_value double", *[f"{n} double" for n in names]]))
     named = F.array(
         *[F.struct(F.lit(name).alias("feature"), F.col(f"phi_{i}").alias("shap")) for i, (name, _) in enumerate(groups)]
     )

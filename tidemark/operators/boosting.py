@@ -492,20 +492,28 @@ def _boosted_in_task(state: DataFrame, cuts: Sequence[np.ndarray], p: TreeParams
 
 
 def boost(
-    df: DataFrame, inputs: Sequence[str], p: TreeParams, *, label: str, id_column: str, task_rows: int = _TASK_ROWS
+    df: DataFrame,
+    inputs: Sequence[str],
+    p: TreeParams,
+    *,
+    label: str,
+    id_column: str,
+    cuts: Sequence[Sequence[float]] | None = None,
+    base: float | None = None,
+    task_rows: int = _TASK_ROWS,
 ) -> Forest:
     """Fit a forest to the 0/1 column ``label``; null and NaN inputs are missing.
 
     Rows of a tree are drawn by a hash of ``id_column``, columns by the tree's number. Besides
     trees, one histogram per node of a level is what reaches the driver. Up to ``task_rows`` rows are
-    boosted within one task.
+    boosted within one task. ``cuts`` of the inputs and the ``base`` log-odds are found unless given.
     """
     sums = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(f"`{label}`").cast("double")).alias("pos")).first()
     if not sums["n"]:
         raise ValueError("cannot fit trees on no rows")
     share = min(max((sums["pos"] or 0) / sums["n"], 1e-6), 1 - 1e-6)
-    base = float(np.log(share / (1 - share)))
-    cuts = bin_cuts(df, inputs, p.max_bins)
+    base = float(np.log(share / (1 - share))) if base is None else float(base)
+    cuts = bin_cuts(df, inputs, p.max_bins) if cuts is None else [np.unique(np.array(c, float)) for c in cuts]
     tasks = max(1, -(-sums["n"] // task_rows))
     blocks = binned(df, inputs, cuts, label=label, draw=F.xxhash64(F.col(f"`{id_column}`")), base=base)
     # Blocks are few and large; dealt out anew they keep all tasks busy in each of the many passes.

@@ -1,48 +1,34 @@
-"""The default-probability model: encoding, imputation, boosted trees, calibration."""
+"""The default-probability model: encoding, boosted trees, calibration."""
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution
+from ..operators.boosting import Forest, TreeParams, boost
 from ..operators.encoding import SUFFIX, TargetEncoding, fit_target_encoding
 from ..operators.features import CATEGORICAL_FEATURES, FEATURE_COLUMNS, NUMERIC_FEATURES
-from ..operators.quantiles import exact_quantiles
-from ..session import materialise, work_dir
+from ..operators.isotonic import IsotonicCurve, fit_isotonic
+from ..session import materialise
 
 CATEGORICAL_ENCODING = "target_encoder"
-# Numeric features that can be missing; each gets a flag beside its imputed value.
-NULLABLE = ("revenue", "dti_n", "loan_amnt", "loan_to_income", "fico_n", "experience_c", "emp_length_years")
-INPUTS = (
-    *NUMERIC_FEATURES,
-    *[f"{c}_missing" for c in NULLABLE],
-    *[f"{c}{SUFFIX}" for c in CATEGORICAL_FEATURES],
-)
-# Attributions are reported per feature: a value and its missing flag belong together.
-INPUT_GROUPS = tuple(
-    (c, (f"{c}{SUFFIX}",) if c in CATEGORICAL_FEATURES else (c, f"{c}_missing") if c in NULLABLE else (c,))
-    for c in FEATURE_COLUMNS
-)
+# Missing numbers stay missing: every split has learned a side for them.
+INPUTS = (*NUMERIC_FEATURES, *[f"{c}{SUFFIX}" for c in CATEGORICAL_FEATURES])
+# Attributions are reported per feature.
+INPUT_GROUPS = tuple((c, (f"{c}{SUFFIX}" if c in CATEGORICAL_FEATURES else c,)) for c in FEATURE_COLUMNS)
 
 
 @dataclass(frozen=True)
 class ModelParams:
-    """Settings of the learner.
-
-    Spark's trees differ from a histogram learner with hessian weights: columns are drawn per
-    node, there is no L2 penalty on leaves, and the minimum leaf weight ``min_child_weight``
-    is turned into a row count with the variance of the target.
-    """
+    """Settings of the learner."""
 
     # The defaults of the full-size model.
     n_estimators: int = 400
@@ -51,8 +37,9 @@ class ModelParams:
     subsample: float = 0.8
     colsample: float = 0.8
     min_child_weight: float = 5.0
+    reg_lambda: float = 1.0
     gamma: float = 0.0
-    max_bins: int = 128
+    max_bins: int = 255
     calibration_method: str = "isotonic"
     seed: int = 42
 
@@ -60,31 +47,23 @@ class ModelParams:
         if self.calibration_method not in ("isotonic", "sigmoid"):
             raise ValueError(f"unknown calibration method {self.calibration_method!r}")
 
-    def learner(self, base_rate: float) -> GBTClassifier:
-        variance = max(base_rate * (1 - base_rate), 1e-3)
-        return GBTClassifier(
-            featuresCol="inputs",
-            labelCol="label",
-            maxIter=self.n_estimators,
-            maxDepth=self.max_depth,
-            stepSize=self.learning_rate,
-            subsamplingRate=self.subsample,
-            featureSubsetStrategy=str(self.colsample),
-            minInstancesPerNode=max(1, math.ceil(self.min_child_weight / variance)),
-            minInfoGain=self.gamma,
-            maxBins=self.max_bins,
-            # Long boosting runs cut their lineage through the shared checkpoint folder.
-            checkpointInterval=10,
-            maxMemoryInMB=1024,
+    def learner(self) -> TreeParams:
+        return TreeParams(
+            trees=self.n_estimators,
+            depth=self.max_depth,
+            learning_rate=self.learning_rate,
+            subsample=self.subsample,
+            colsample=self.colsample,
+            min_child_weight=self.min_child_weight,
+            l2=self.reg_lambda,
+            gamma=self.gamma,
+            max_bins=self.max_bins,
             seed=self.seed,
         )
 
 
-def _impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
-    changes = {f"{c}_missing": F.col(c).isNull().cast("double") for c in NULLABLE}
-    values = {c: F.col(c).cast("double") for c in NUMERIC_FEATURES}
-    values |= {c: F.coalesce(values[c], F.lit(medians[c])) for c in NULLABLE}
-    return df.withColumns({**changes, **values})
+def _numeric(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in NUMERIC_FEATURES})
 
 
 @dataclass(frozen=True)
@@ -92,59 +71,52 @@ class ScoringModel:
     """Everything needed to score feature rows; applying it never shuffles while levels are few."""
 
     encoding: TargetEncoding
-    medians: dict[str, float]
-    trees: GBTClassificationModel
-    calibrator: IsotonicRegressionModel | LogisticRegressionModel | None
+    forest: Forest
+    calibrator: IsotonicCurve | LogisticRegressionModel | None
     params: ModelParams
     path: str | None = None
 
     def design(self, features: DataFrame) -> DataFrame:
-        """``features`` with the model's input columns; feature columns hold imputed values."""
-        return _impute(self.encoding.transform(features), self.medians)
+        """``features`` with the model's input columns."""
+        return _numeric(self.encoding.transform(features))
 
     def raw_scores(self, features: DataFrame) -> DataFrame:
         """Add ``margin`` (log-odds) and the uncalibrated ``raw_score`` to the design rows."""
-        assembled = VectorAssembler(inputCols=list(INPUTS), outputCol="inputs").transform(self.design(features))
-        scored = self.trees.transform(assembled)
-        return scored.withColumns(
-            {
-                "margin": 2 * vector_to_array("rawPrediction")[1],
-                "raw_score": vector_to_array("probability")[1],
-            }
-        ).drop("inputs", "rawPrediction", "probability", "prediction")
+        scored = self.design(features).withColumn("margin", self.forest.margin(features.sparkSession))
+        return scored.withColumn("raw_score", 1 / (1 + F.exp(-F.col("margin"))))
 
     def score(self, features: DataFrame) -> DataFrame:
         """Design rows plus ``margin``, ``raw_score`` and the calibrated ``score``."""
         raw = self.raw_scores(features)
         if self.calibrator is None:
             return raw.withColumn("score", F.col("raw_score"))
-        if isinstance(self.calibrator, IsotonicRegressionModel):
-            return self.calibrator.transform(raw).withColumnRenamed("calibrated", "score")
+        if isinstance(self.calibrator, IsotonicCurve):
+            return self.calibrator.transform(raw, "raw_score", "score")
         margin = VectorAssembler(inputCols=["margin"], outputCol="margin_vector").transform(raw)
         out = self.calibrator.transform(margin)
         return out.withColumn("score", vector_to_array("calibrated")[1]).drop("margin_vector", "calibrated")
 
     def explain(self, features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Per-row base value and contributions of the uncalibrated trees, on the log-odds scale."""
-        design = self.design(features)
-        return attribution.attribute_rows(design, self.tree_tables(), INPUTS, INPUT_GROUPS, keep=keep)
+        return attribution.attribute_rows(self.design(features), self.tree_tables(), INPUTS, INPUT_GROUPS, keep=keep)
+
+    def importance(self, features: DataFrame) -> DataFrame:
+        """Mean absolute contribution per feature over all rows."""
+        return attribution.mean_contributions(self.design(features), self.tree_tables(), INPUTS, INPUT_GROUPS)
 
     def tree_tables(self) -> attribution.TreeTables:
-        spark = self.encoding.levels.sparkSession
-        return attribution.tree_tables(spark, self.trees, self.path and f"{self.path}/trees")
+        trees = self.forest.trees
+        return attribution.tables_of([t.nodes() for t in trees], [1.0] * len(trees), self.forest.base)
 
     def save(self, path: str) -> None:
+        spark = self.encoding.levels.sparkSession
         self.encoding.levels.write.mode("overwrite").parquet(f"{path}/levels")
-        self.trees.write().overwrite().save(f"{path}/trees")
-        if self.calibrator is not None:
+        self.forest.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+        if isinstance(self.calibrator, IsotonicCurve):
+            self.calibrator.save(f"{path}/calibrator")
+        elif self.calibrator is not None:
             self.calibrator.write().overwrite().save(f"{path}/calibrator")
-        meta = {
-            "prior": self.encoding.prior,
-            "medians": self.medians,
-            "params": asdict(self.params),
-            "calibrated": self.calibrator is not None,
-        }
-        spark = self.encoding.levels.sparkSession
+        meta = {"prior": self.encoding.prior, "params": asdict(self.params), "calibrated": self.calibrator is not None}
         # Written last: a folder with it is a complete model.
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -154,24 +126,20 @@ class ScoringModel:
         params = ModelParams(**meta["params"])
         calibrator = None
         if meta["calibrated"]:
-            kind = IsotonicRegressionModel if params.calibration_method == "isotonic" else LogisticRegressionModel
-            calibrator = kind.load(f"{path}/calibrator")
+            kind = IsotonicCurve if params.calibration_method == "isotonic" else LogisticRegressionModel
+            calibrator = kind.load(spark, f"{path}/calibrator") if kind is IsotonicCurve else kind.load(f"{path}/calibrator")
         encoding = TargetEncoding(spark.read.parquet(f"{path}/levels"), meta["prior"], CATEGORICAL_FEATURES)
-        return cls(encoding, meta["medians"], GBTClassificationModel.load(f"{path}/trees"), calibrator, params, path)
+        return cls(encoding, Forest.of_table(spark.read.parquet(f"{path}/trees"), INPUTS), calibrator, params, path)
 
 
 def fit_base(base: DataFrame, params: ModelParams, target: str = "Default", id_column: str = "id") -> ScoringModel:
-    """Encoding, medians and trees fitted on ``base``; not calibrated yet."""
-    work_dir(base.sparkSession)  # names the checkpoint folder where the session has none
+    """Encoding and trees fitted on ``base``; not calibrated yet."""
     crossfit = fit_target_encoding(base, target=target, id_column=id_column, seed=params.seed)
-    found = exact_quantiles(base, NULLABLE, [0.5])
-    medians = {c: q[0] if q else 0.0 for c, q in found.items()}
-    rows = _impute(crossfit.transform_train(base), medians)
-    rows = VectorAssembler(inputCols=list(INPUTS), outputCol="inputs").transform(rows)
-    train = materialise(rows.select("inputs", F.col(f"`{target}`").cast("double").alias("label")), "design")
-    trees = params.learner(crossfit.encoding.prior).fit(train)
+    rows = _numeric(crossfit.transform_train(base))
+    train = materialise(rows.select(f"`{id_column}`", *INPUTS, f"`{target}`"), "design")
+    forest = boost(train, INPUTS, params.learner(), label=target, id_column=id_column)
     encoding = TargetEncoding(materialise(crossfit.encoding.levels, "levels"), crossfit.encoding.prior, CATEGORICAL_FEATURES)
-    return ScoringModel(encoding, medians, trees, None, params)
+    return ScoringModel(encoding, forest, None, params)
 
 
 def calibrate(model: ScoringModel, held_out: DataFrame, target: str = "Default") -> ScoringModel:
@@ -179,18 +147,10 @@ def calibrate(model: ScoringModel, held_out: DataFrame, target: str = "Default")
     y = F.col(f"`{target}`").cast("double")
     scored = model.raw_scores(held_out)
     if model.params.calibration_method == "isotonic":
-        fitted = isotonic(scored.select("raw_score", y.alias("y")))
+        fitted = fit_isotonic(scored.select("raw_score", y.alias("y")))
     else:
         fitted = _platt(scored.select("margin", y.alias("y")))
-    return ScoringModel(model.encoding, model.medians, model.trees, fitted, model.params)
-
-
-def isotonic(scored: DataFrame) -> IsotonicRegressionModel:
-    """Monotone curve of ``y`` (0 or 1) over ``raw_score``; it adds the column ``calibrated``."""
-    # Equal scores are one weighted point, which is what isotonic regression makes of them.
-    points = scored.groupBy("raw_score").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    curve = IsotonicRegression(featuresCol="raw_score", labelCol="y", weightCol="w", predictionCol="calibrated")
-    return curve.fit(points)
+    return ScoringModel(model.encoding, model.forest, fitted, model.params)
 
 
 def _platt(scored: DataFrame) -> LogisticRegressionModel:

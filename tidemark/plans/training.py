@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import FeatureContract, load_contract
-from ..operators import attribution
 from ..operators.features import FEATURE_COLUMNS, get_xy
 from ..operators.metrics import METRICS, classification_metrics, gate_passed, metrics_frame, quality_gate, reliability_curve
 from ..operators.sampling import stratified_holdout
@@ -20,7 +19,7 @@ from ..settings import Settings
 from ..sources.exports import export_csv, export_json
 from ..sources.store import load_or_build, load_split
 from . import ledger
-from .model import CATEGORICAL_ENCODING, INPUT_GROUPS, ModelParams, ScoringModel, calibrate, fit_base
+from .model import CATEGORICAL_ENCODING, ModelParams, ScoringModel, calibrate, fit_base
 
 # Fixed value: share of the retraining window kept for calibration.
 CALIBRATION_SHARE = 0.15
@@ -111,8 +110,7 @@ def write_training_report(result: TrainingResult, base: DataFrame, test_scored:
         for name, s in (("uncalibrated", "raw_score"), ("calibrated", "score"))
     ]
     export_csv(curves[0].unionByName(curves[1]), f"{path}/reliability", order_by="bin", single_file=True)
-    importance = attribution.global_attribution(result.model.explain(base), [name for name, _ in INPUT_GROUPS])
-    export_csv(importance, f"{path}/importance", order_by="mean_abs_shap", single_file=True)
+    export_csv(result.model.importance(base), f"{path}/importance", order_by="mean_abs_shap", single_file=True)
 
 
 def _log_and_register(
