@@ -15,7 +15,7 @@ from tidemark.session import materialise
 
 NAMES = [
     "op1_caps", "op2_byte_bpe", "op3_simhash", "op4_licenses", "op5_passages", "op6_shards", "op7_mixture", "op8_quality",
-    "op9_ranking", "op10_token_files", "pipeline",
+    "op9_ranking", "op10_token_files", "op11_alignment", "op12_fingerprints", "op13_filter_audit", "pipeline",
 ]
 
 
@@ -26,12 +26,12 @@ def test_all_queries_are_registered():
     ]
 
 
-@pytest.mark.parametrize("name", ["op4_licenses", "op7_mixture"])
+@pytest.mark.parametrize("name", ["op4_licenses", "op7_mixture", "op13_filter_audit"])
 def test_queries_equal_their_sql(spark, sf_dir, name):
     assert difference(queries()[name](spark, sf_dir).toPandas(), connect(sf_dir).execute(oracle_sql()[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", ["op1_caps", "op3_simhash", "op6_shards", "op8_quality", "op9_ranking", "op10_token_files"])
+@pytest.mark.parametrize("name", ["op1_caps", "op3_simhash", "op6_shards", "op8_quality", "op9_ranking", "op10_token_files", "op11_alignment", "op12_fingerprints"])
 def test_queries_return_every_row_once(spark, sf_dir, name):
     of, key = ("embeddings", "vec_id") if name == "op1_caps" else ("documents", "doc_id")
     expected = spark.read.parquet(f"{sf_dir}/{of}.parquet").select(key).toPandas()[key]
@@ -97,3 +97,21 @@ def test_odd_rows_go_through(spark, sf_dir, tmp_path):
     assert ids[1] == ids[2] == sorted([*kept, 50, None], key=repr)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert sorted((r["doc_id"] for r in last.collect()), key=repr) == ids[3] and set(ids[3]) <= {*kept, 50, None}
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, documents):
+    """Names that the stages use themselves, or used once, as columns of the documents."""
+    words = [f"word{i}" for i in range(400)]
+    random.seed(11)
+    shared = " ".join(random.choices(words, k=60))
+    rows = [(i, f"{' '.join(random.choices(words, k=80))} {shared if i % 5 == 0 else ''}", "en", "s") for i in range(20)]
+    rows += [(100, rows[1][1], "en", "s"), (100, rows[1][1], "en", "s"), (None, rows[2][1], "en", "s")]
+    docs = documents(rows)
+    for c in ("left_text", "__doc", "_doc", "__first", "_place", "place_", "PASSAGES"):
+        if c.lower() not in {x.lower() for x in docs.columns}:
+            docs = docs.selectExpr("*", f"'kept' as `{c}`")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.passages):
+        found = stage(spark, docs, None)
+        assert found.columns == docs.columns
+        got = found.collect()
+        assert got and all(r["left_text"] == r["__first"] == r["__doc"] == "kept" for r in got)

@@ -118,7 +118,8 @@ def test_desirable_documents_are_taken_more_often(documents):
     df = documents(rows).withColumn("wish", F.when(F.col("doc_id") % 4 < 2, 3).otherwise(1))
     taken = mix(df, desirability="wish", carry=("wish", "source")).where("carried.source = 's'").groupBy("carried.wish").sum("copies")
     counts = dict(taken.collect())
-    assert counts[3] > 1.5 * counts[1] and abs(sum(counts.values()) - 2000 / 3) < 5 or counts[3] > 1.5 * counts[1]
+    total = mix(df, desirability="wish").agg({"taken": "sum", "size": "sum"}).first()
+    assert counts[3] > 1.5 * counts[1] and abs(total["sum(taken)"] - total["sum(size)"]) <= 2 * 4  # a document per source
 
 
 def test_mixture_of_nothing(documents):

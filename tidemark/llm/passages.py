@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .texts import as_bytes, slices, small_batches
+from .texts import as_bytes, slices, small_batches, unused
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -565,15 +565,17 @@ def remove_passages(
 ) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text`` and ``chars`` counted anew.
 
-    Documents of which nothing but white space is left go; all others stay, in their columns.
+    Documents of which nothing but white space is left go; all others stay, in their columns,
+    whatever these are named.
     """
+    doc, left = unused("doc", docs), unused("left_text", docs)
     found = repeated_passages(docs, rules, doc_id=doc_id, text=text).select(
-        F.col(doc_id).cast("bigint").alias("__doc"), "left_text"
+        F.col(doc_id).cast("bigint").alias(doc), F.col("left_text").alias(left)
     )
     found = materialise(found, "left-texts")
-    joined = docs.join(found, F.col(doc_id).cast("bigint") == F.col("__doc"), "left")
-    new = F.coalesce("left_text", text)
-    counted = F.when(F.col("left_text").isNotNull(), F.length("left_text")).otherwise(F.col(chars)) if chars else None
+    joined = docs.join(found, F.col(f"`{doc_id}`").cast("bigint") == F.col(doc), "left")
+    new = F.coalesce(left, f"`{text}`")
+    counted = F.when(F.col(left).isNotNull(), F.length(left)).otherwise(F.col(f"`{chars}`")) if chars else None
     columns = []
     for c in docs.columns:
         if c == text:
@@ -581,5 +583,5 @@ def remove_passages(
         elif c == chars:
             columns.append(counted.cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(F.col(c))
-    return joined.where(F.col("left_text").isNull() | F.col("left_text").rlike(r"[^\x20\x09-\x0D]")).select(*columns)
+            columns.append(F.col(f"`{c}`"))
+    return joined.where(F.col(left).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]")).select(*columns)

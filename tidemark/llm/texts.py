@@ -26,6 +26,14 @@ def narrow(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", more:
     return docs.select(doc_id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text), *more)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it while a column of the frames has it (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = _BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text, or one longer text."""
     for batch in batches:
