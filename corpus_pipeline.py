@@ -16,6 +16,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.passages import remove_passages
 from tidemark.llm.perplexity import quality_rules
 from tidemark.llm.simhash import simhash_groups
+from tidemark.llm.texts import unused
 from tidemark.session import materialise
 
 # Perplexity, SimHash, chaining and BPE are beyond SQL; tests hold the stages against brute force.
@@ -35,8 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = simhash_groups(docs, shingle=4, max_bits=4).where("kept").select("doc_id").distinct()
     rows = docs.join(kept, "doc_id", "left_semi")
     # The join has brought the rows of an id together already.
+    place = unused("place", docs)
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    rows = rows.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+    rows = rows.withColumn(place, first).where(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])
     return rows.unionByName(docs.where("doc_id is null"))
 
 
