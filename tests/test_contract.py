@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import FEATURE_COLUMNS, RAW_INPUT_COLUMNS, LeakageError, Settings, assert_lineage, assert_no_leakage
 from tidemark import build_feature_matrix, engineer_features, feature_columns_of, get_xy, load_contract
 from tidemark.contract import DEFAULT_CONTRACT, contract_hash
+from tidemark.contract import Leaks, find_leaks, provenance
 from tidemark.operators.split import rows_only_in_one
 
 LEAKS = ["int_rate", "grade", "sub_grade", "loan_status", "total_pymnt", "recoveries", "last_pymnt_d"]
@@ -44,7 +45,7 @@ def test_guard_refuses_every_banned_column(column):
 
 
 def test_guard_refuses_unlisted_input():
-    with pytest.raises(LeakageError, match="non-allowlisted"):
+    with pytest.raises(LeakageError, match="int_rate feeds features"):
         assert_no_leakage(FEATURE_COLUMNS, consumed=[*RAW_INPUT_COLUMNS, "int_rate"])
 
 
@@ -81,6 +82,29 @@ def test_lineage_finds_a_renamed_leak(spark, raw, tmp_path):
         assert_lineage(engineer_features(leaky))
 
 
+def test_leaks_are_told_apart(spark, raw, tmp_path):
+    """Renamed, joined, computed in passing, unioned or from a subquery: a leak. Filtered: no column of it."""
+    path = str(tmp_path / "leaky.parquet")
+    raw.withColumn("int_rate", F.rand(1)).write.parquet(path)
+    leaky = spark.read.parquet(path)
+    rates = leaky.select(F.col("id").alias("other"), F.col("int_rate").alias("r"))
+    joined = leaky.drop("dti_n", "int_rate").join(rates, F.col("id") == F.col("other")).withColumnRenamed("r", "dti_n")
+    window = leaky.withColumn("dti_n", F.expr("avg(int_rate) over (partition by purpose)"))
+    grouped = leaky.groupBy(*[c for c in raw.columns if c != "dti_n"]).agg(F.max("int_rate").alias("dti_n"))
+    scalar = leaky.withColumn("dti_n", leaky.agg(F.max("int_rate")).scalar())
+    both = raw.select("*").unionByName(leaky.withColumn("dti_n", F.col("int_rate")).select(*raw.columns))
+    exploded = leaky.withColumn("dti_n", F.explode(F.array("int_rate", "dti_n")))
+    for frame in (leaky.drop("dti_n").withColumnRenamed("int_rate", "dti_n"), joined, window, grouped, scalar, both, exploded):
+        found = find_leaks(engineer_features(frame))
+        assert ("dti_n", "int_rate") in found.computed and {c for c, _ in found.computed} == {"dti_n"}, frame.columns
+    filtered = find_leaks(engineer_features(leaky.where("int_rate > 0.5")))
+    assert filtered.computed == () and filtered.selecting == ("int_rate",)
+    semi = find_leaks(engineer_features(leaky.join(rates.where("r > 0.5"), F.col("id") == F.col("other"), "left_semi")))
+    assert semi.computed == () and semi.selecting == ("int_rate",)
+    assert find_leaks(engineer_features(leaky)) == find_leaks(engineer_features(raw)) == Leaks((), ())
+    assert provenance(leaky.selectExpr("int_rate + dti_n as x", "1 as y")).computed == {"x": {"int_rate", "dti_n"}, "y": frozenset()}
+
+
 def test_settings_from_variables():
     found = Settings.from_env({"TIDEMARK_PSI_THRESHOLD": "0.3", "TIDEMARK_SEED": "7", "OTHER": "x"})
     assert (found.psi_threshold, found.seed, found.roc_auc_min) == (0.3, 7, 0.67)

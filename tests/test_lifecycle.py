@@ -27,6 +27,56 @@ def shared(tmp_path_factory, spark, raw):
     return settings
 
 
+def versions_of(spark, settings):
+    return sorted(r["version"] for r in ledger.events(spark, settings).where("event = 'registered'").collect())
+
+
+def test_a_writer_that_was_overtaken_decides_anew(spark, settings):
+    """Two interleaved writers: the second commits between the first one's reading and writing."""
+    seen = []
+
+    def mine(version):
+        if not seen:
+            ledger.register(spark, settings, lambda v: Event(v, "registered", tags={"by": "other"}))
+        seen.append(version)
+        return Event(version, "registered", tags={"by": "me"})
+
+    assert ledger.register(spark, settings, mine) == 2 and seen == [1, 2]
+    assert versions_of(spark, settings) == [1, 2]
+
+
+def test_writers_at_the_same_time_get_versions_of_their_own(spark, settings):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(3) as pool:
+        found = list(pool.map(lambda i: ledger.register(spark, settings, lambda v: Event(v, "registered")), range(6)))
+    assert sorted(found) == versions_of(spark, settings) == [1, 2, 3, 4, 5, 6]
+
+
+def test_promotions_that_overlap_leave_one_version_in_production(spark, settings):
+    ledger.append(spark, settings, [Event(v, "registered", stage="None") for v in (1, 2)])
+
+    def second(log):
+        state = ledger.stages(log).collect()
+        if all(r["stage"] != "Production" for r in state):
+            ledger.commit(spark, settings, lambda now: ledger.promotion_events(ledger.stages(now).collect(), 1, 0.7))
+        return ledger.promotion_events(state, 2, 0.7)
+
+    ledger.commit(spark, settings, second)
+    assert {r["version"]: r["stage"] for r in ledger.stages(ledger.events(spark, settings)).collect()} == {1: "Archived", 2: "Production"}
+
+
+def test_half_written_commits_are_passed_over(spark, settings, monkeypatch):
+    monkeypatch.setattr(ledger, "_PATIENCE", 0.1)
+    ledger.append(spark, settings, [Event(1, "registered")])
+    path = f"{settings.ledger_dir}/commit-000000000002.json"
+    with open(path, "w") as f:
+        f.write('{"seq": 2000, "model_name": "%s", "version": 9, "event": "registered", "commit": 2, "size": 2}\n{"seq": 20' % settings.model_name)
+    assert versions_of(spark, settings) == [1]
+    assert ledger.register(spark, settings, lambda v: Event(v, "registered")) == 2
+    assert versions_of(spark, settings) == [1, 2]
+
+
 def test_ledger_folds_in_order(spark, settings):
     assert ledger.events(spark, settings).isEmpty()
     assert ledger.current_production(ledger.events(spark, settings)).first() is None

@@ -42,3 +42,19 @@ def test_expanded_window_prunes_partitions(features):
     assert values(window.select("split").distinct()) == [("train",), ("valid",)]
     plan = executed_plan(window.select("fico_n"))
     assert "PartitionFilters: [split" in plan
+
+
+def test_rows_only_in_one_equals_both_differences(spark):
+    from tidemark.operators import split
+
+    left = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, None, "b"), (3, "c", "d"), (4, "e", "f")], "x int, y string, z string")
+    right = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", "d"), (4, "e", "g"), (5, None, None)], "x int, y string, z string")
+    want = left.exceptAll(right).unionAll(right.exceptAll(left))
+    assert values(split.rows_only_in_one(left, right)) == values(want)
+    assert len(split.differing_buckets(left, right)) > 1
+    assert split.rows_only_in_one(left, left.repartition(3)).isEmpty() and split.differing_buckets(left, left) == []
+    assert split.rows_only_in_one(left, left.limit(0)).count() == 5
+    # Nulls in other places, and a row more of those that are there.
+    swapped = spark.createDataFrame([("a", None)], "y string, z string"), spark.createDataFrame([(None, "a")], "y string, z string")
+    assert split.rows_only_in_one(*swapped).count() == 2
+    assert split.rows_only_in_one(left, left.unionAll(left.limit(1))).count() == 1

@@ -374,6 +374,15 @@ best{i} as (
 
 
 ORACLE: dict[str, str] = {
+    "leak_lineage": _with(
+        _LOANS + """,
+r as (select id, dti_n, round(loan_amnt * "Default" / 2, 2) as recoveries from loans),
+n as (select count(*) filter (recoveries is distinct from dti_n) as other, count(*) filter (not recoveries > 0) as gone from r)""",
+        """select 'clean' as way, '' as computed_from, '' as selected_by, 0::bigint as n_changed
+        union all select 'renamed', 'dti_n <- recoveries', '', other from n
+        union all select 'joined', 'dti_n <- recoveries', '', other from n
+        union all select 'filtered', '', 'recoveries', gone from n""",
+    ),
     "boosting_round": _with(
         _FEATS
         + f""",

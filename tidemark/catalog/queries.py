@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..contract import find_leaks
 from ..functions import columns as fx
 from ..operators import attribution, boosting, cohorts, drift, encoding, metrics, profile, sampling, split
 from ..operators.features import (
@@ -28,7 +29,7 @@ from ..plans.lifecycle import run_lifecycle
 from ..plans.model import ModelParams, ScoringModel, calibrate, fit_base
 from ..plans.scoring import score_batch, with_errors
 from ..plans.training import EvalResult, promote
-from ..session import work_dir
+from ..session import materialise, work_dir
 from ..settings import Settings
 from ..sources import exports, integrity, loans, readers
 from ..sources.loans import VIEW_SETTINGS, loan_features, loan_reference, raw_loans, table
@@ -237,6 +238,34 @@ def leak_independence(spark, sf_dir):
     return clean.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_changed", changed)
 
 
+
+@query
+def leak_lineage(spark, sf_dir):
+    """Feature tables that an outcome column reaches in four ways, and one that it does not.
+
+    Each is followed back to its sources and, to see what the leak does, compared with the clean one.
+    """
+    outcome = raw_loans(spark, sf_dir).withColumn("recoveries", F.round(F.col("loan_amnt") * F.col("Default") / 2, 2))
+    leaky = materialise(outcome, "leaky")
+    side = leaky.select(F.col("id").alias("key"), F.col("recoveries").alias("r"))
+    ways = {
+        "clean": leaky,
+        "renamed": leaky.drop("dti_n").withColumnRenamed("recoveries", "dti_n"),
+        "joined": leaky.drop("dti_n").join(side, F.col("id") == F.col("key")).withColumnRenamed("r", "dti_n"),
+        "filtered": leaky.where("recoveries > 0"),
+    }
+    clean = build_feature_matrix(leaky, keep=("id",))
+    rows = []
+    for way, raw in ways.items():
+        features = build_feature_matrix(raw, keep=("id",))
+        leaks = find_leaks(features)
+        changed = split.rows_only_in_one(clean, features).select("id").distinct()
+        said = [", ".join(f"{c} <- {s}" for c, s in leaks.computed), ", ".join(leaks.selecting)]
+        told = [F.lit(way).alias("way"), F.lit(said[0]).alias("computed_from"), F.lit(said[1]).alias("selected_by")]
+        rows.append(changed.agg(F.count(F.lit(1)).alias("n_changed")).select(*told, "n_changed"))
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])
+
+
 @query
 def scenario_features(spark, sf_dir):
     stressed = apply_scenario(_split(spark, sf_dir, "test"))

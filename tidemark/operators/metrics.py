@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,13 +109,23 @@ def reliability_curve(df: DataFrame, *, score: str = "score", target: str = "Def
     )
 
 
-def _check(name: str, blocking: bool, passed: Column, detail: Column) -> Column:
-    return F.struct(
-        F.lit(name).alias("check"),
-        F.lit(blocking).alias("blocking"),
-        F.coalesce(passed, F.lit(False)).alias("passed"),
-        detail.alias("detail"),
-    )
+@dataclass(frozen=True)
+class Rule:
+    """A row of the gate: it is asked when all its ``measures`` are given. ``{...}`` are settings."""
+
+    check: str
+    blocking: bool
+    measures: tuple[str, ...]
+    condition: str
+    text: str
+
+
+# Names, texts and conditions of the gate's rows.
+GATE = (
+    Rule("roc_auc>={auc_floor:.2f}", True, ("auc",), "auc >= {auc_floor!r}D", "test ROC-AUC = %.4f"),
+    Rule("latency_p95<{latency:.0f}ms", True, ("p95",), "p95 < {latency!r}D", "p95 = %.1f ms"),
+    Rule("calibration_improves_brier", False, ("before", "after"), "after <= before + {slack!r}D", "brier %.5f -> %.5f"),
+)
 
 
 def quality_gate(
@@ -124,44 +135,25 @@ def quality_gate(
     brier_uncalibrated: Column | None = None,
     brier_calibrated: Column | None = None,
     latency_p95_ms: Column | None = None,
+    rules: Sequence[Rule] = GATE,
 ) -> DataFrame:
-    """(check, blocking, passed, detail) rows for a one-row metrics table.
-
-    The ranking floor always blocks, the latency limit only when a latency is given; whether
-    calibration helped is reported without blocking.
-    """
+    """(check, blocking, passed, detail), one row per rule that can be asked, for a one-row metrics table."""
     settings = settings or Settings()
-    auc = F.col("roc_auc")
-    checks = [
-        _check(
-            f"roc_auc>={settings.roc_auc_min:.2f}",
-            True,
-            auc >= settings.roc_auc_min,
-            F.format_string("test ROC-AUC = %.4f", auc),
+    limits = {"auc_floor": float(settings.roc_auc_min), "latency": float(settings.latency_p95_ms), "slack": BRIER_SLACK}
+    given = {"auc": F.col("roc_auc"), "p95": latency_p95_ms, "before": brier_uncalibrated, "after": brier_calibrated}
+    given = {name: value for name, value in given.items() if value is not None}
+    measured = metrics.select(*[value.cast("double").alias(name) for name, value in given.items()])
+    asked = [
+        F.struct(
+            F.lit(rule.check.format(**limits)).alias("check"),
+            F.lit(rule.blocking).alias("blocking"),
+            F.expr(f"coalesce({rule.condition.format(**limits)}, false)").alias("passed"),
+            F.format_string(rule.text, *rule.measures).alias("detail"),
         )
+        for rule in rules
+        if set(rule.measures) <= set(given)
     ]
-    if latency_p95_ms is not None:
-        limit = settings.latency_p95_ms
-        checks.append(
-            _check(
-                f"latency_p95<{int(limit)}ms",
-                True,
-                latency_p95_ms < limit,
-                F.format_string("p95 = %.1f ms", latency_p95_ms.cast("double")),
-            )
-        )
-    if brier_uncalibrated is not None and brier_calibrated is not None:
-        checks.append(
-            _check(
-                "calibration_improves_brier",
-                False,
-                brier_calibrated <= brier_uncalibrated + BRIER_SLACK,
-                F.format_string(
-                    "brier %.5f -> %.5f", brier_uncalibrated.cast("double"), brier_calibrated.cast("double")
-                ),
-            )
-        )
-    return metrics.select(F.inline(F.array(*checks)))
+    return measured.select(F.inline(F.array(*asked)))
 
 
 def gate_passed(gate: DataFrame) -> DataFrame:

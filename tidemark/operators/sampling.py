@@ -3,7 +3,8 @@
 "The k rows of each stratum with the smallest hash" would need every row of a stratum
 sorted in one task. Instead the k-th smallest hash is located first: a histogram of hash
 prefixes finds the one prefix in which it falls, prefixes grow until few hashes share it, and
-only those are ranked.
+only those are ranked. A small fixed k needs no histogram: every task hands on its k smallest
+hashes per stratum only, which one window over the narrow rows does by itself.
 The selection itself is then a comparison with the cut, without a shuffle.
 """
 
@@ -18,13 +19,39 @@ from .bounded import join_bounded, small_table
 # A bucket of this many hashes is ranked in one task; a larger one is told apart by more digits.
 _RANK_ROWS = 100_000
 _DIGITS = 2
+# Ranks up to this are cut off inside the tasks, before the shuffle (the default of
+# spark.sql.optimizer.windowGroupLimitThreshold).
+_LIMITED_RANKS = 1000
 
 
-def hash_cuts(df: DataFrame, strata: dict[str, Column], size: Column, *, id_column: str, salt: object) -> DataFrame:
+def _smallest_cuts(rows: DataFrame, names: list[str], k: int) -> DataFrame:
+    """Per stratum the last of its k smallest (h, row_id), and whether the next row has its id too."""
+    order = Window.partitionBy(*names).orderBy("h", "row_id")
+    ranked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    row = F.struct("h", "row_id")
+    ends = ranked.groupBy(*names).agg(
+        F.max(F.when(F.col("r") <= k, row)).alias("cut"), F.max(F.when(F.col("r") > k, row)).alias("following")
+    )
+    return ends.select(
+        *names,
+        F.col("cut.h").alias("cut_hash"),
+        _told_apart(F.col("cut.row_id"), F.col("following.row_id")).alias("cut_id"),
+    )
+
+
+def _told_apart(mine: Column, following: Column) -> Column:
+    """``mine``, unless the next row in order has the same id."""
+    split = F.raise_error(F.concat(F.lit("rows share the id "), mine.cast("string")))
+    return F.when(mine == following, split).otherwise(mine)
+
+
+def hash_cuts(
+    df: DataFrame, strata: dict[str, Column], size: Column | int, *, id_column: str, salt: object
+) -> DataFrame:
     """Per stratum the hash and id of its last selected row.
 
-    ``size`` is the number of rows to select, an expression that may use ``n``, the number
-    of rows of the stratum. Strata with nothing to select are absent. Ids must be there and
+    ``size`` is the number of rows to select: a number, or an expression that may use ``n``, the
+    number of rows of the stratum. Strata with nothing to select are absent. Ids must be there and
     unique: a null id and a cut between rows of one id fail the job, since no hash order
     tells such rows apart.
     """
@@ -33,6 +60,10 @@ def hash_cuts(df: DataFrame, strata: dict[str, Column], size: Column, *, id_colu
     row_id = F.col(f"`{id_column}`")
     known = F.when(row_id.isNull(), F.raise_error(F.lit(f"missing values in {id_column}"))).otherwise(row_id)
     rows = df.select(*keys, known.alias("row_id")).withColumn("h", fx.hash_order("row_id", salt))
+    if isinstance(size, int):
+        if size < _LIMITED_RANKS:
+            return _smallest_cuts(rows, names, size).where("cut_hash is not null")
+        size = F.lit(size)
     per_stratum = Window.partitionBy(*names)
     wanted, prefix = None, 0
     while True:
@@ -57,13 +88,12 @@ def hash_cuts(df: DataFrame, strata: dict[str, Column], size: Column, *, id_colu
     candidates = join_bounded(rows, wanted, names)
     order = Window.partitionBy(*names).orderBy("h", "row_id")
     ranked = candidates.withColumn("r", F.row_number().over(order)).withColumn("next_id", F.lead("row_id").over(order))
-    split = F.raise_error(F.concat(F.lit(f"rows share the {id_column} "), F.col("row_id").cast("string")))
-    cut_id = F.when(F.col("row_id").eqNullSafe(F.col("next_id")), split).otherwise(F.col("row_id"))
+    cut_id = _told_apart(F.col("row_id"), F.col("next_id"))
     return ranked.where("r = k").select(*names, F.col("h").alias("cut_hash"), cut_id.alias("cut_id"))
 
 
 def hash_select(
-    df: DataFrame, strata: dict[str, Column], size: Column, *, id_column: str = "id", salt: object = ""
+    df: DataFrame, strata: dict[str, Column], size: Column | int, *, id_column: str = "id", salt: object = ""
 ) -> tuple[DataFrame, Column]:
     """``df`` with its cuts joined, and the condition under which a row is selected."""
     keys = {f"__key_{n}": c for n, c in strata.items()} or {"__key___all": F.lit(1)}
@@ -79,13 +109,13 @@ def stratified_sample(df: DataFrame, per_cell: int = 170, *, target: str = "Defa
     """At most ``per_cell`` rows of each (target, issue year), by hash of the id; undated rows stay out."""
     dated = df.where(F.col(date).isNotNull())
     strata = {"cls": F.col(f"`{target}`"), "yr": F.year(date)}
-    rows, chosen = hash_select(dated, strata, F.lit(per_cell))
+    rows, chosen = hash_select(dated, strata, per_cell)
     return rows.where(chosen).select(*[F.col(f"`{c}`") for c in df.columns if c != date])
 
 
 def exact_sample(df: DataFrame, n: int, *, seed: int = 42, id_column: str = "id") -> DataFrame:
     """Exactly ``n`` rows, or all rows when there are no more than that; ids must be unique."""
-    rows, chosen = hash_select(df, {}, F.lit(n), id_column=id_column, salt=seed)
+    rows, chosen = hash_select(df, {}, n, id_column=id_column, salt=seed)
     return rows.where(chosen).select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -1,25 +1,37 @@
-"""Model versions and their stages as an append-only table of events.
+"""Model versions and their stages as an append-only log of commits.
 
-State is a fold over events ordered by ``seq``. Each change is one write of one file, so a
-reader sees all of it or nothing. One writer at a time.
+State is a fold over events ordered by ``seq``. A commit is one file, named by its number and
+created only if no file of that number is there: of writers that have seen the same state one
+succeeds, the others look again and decide anew. Every event says how many its commit holds, so
+a reader passes over a commit that is still being written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+import json
+import re
+import time
+from datetime import UTC, datetime
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..settings import Settings
-from ..sources.paths import path_exists
+from ..sources.paths import child_paths, path_exists
 
 STAGE_NONE, STAGING, PRODUCTION, ARCHIVED = "None", "Staging", "Production", "Archived"
 EVENT_SCHEMA = (
     "seq bigint, model_name string, version int, event string, stage string, metrics map<string,double>, "
     "params map<string,string>, tags map<string,string>, model_path string, input_schema string, ts timestamp"
 )
+_COMMIT_SCHEMA = f"{EVENT_SCHEMA.removeprefix('seq bigint, ')}, commit bigint, place int, size int"
+_COMMIT = re.compile(r"commit-(\d{12})\.json$")
+# Seconds that a commit may take to be written before others pass over it, and tries of a writer.
+_PATIENCE = 20.0
+_TRIES = 100
 
 
 @dataclass(frozen=True)
@@ -34,22 +46,73 @@ class Event:
     input_schema: str | None = None
 
 
+def _log(spark: SparkSession, settings: Settings) -> DataFrame:
+    written = spark.read.schema(_COMMIT_SCHEMA).option("mode", "DROPMALFORMED").json(settings.ledger_dir)
+    # All events of a commit are in one file, a few rows.
+    whole = F.count(F.lit(1)).over(Window.partitionBy("commit")) == F.col("size")
+    return written.withColumn("whole", whole).where("whole").drop("whole")
+
+
 def events(spark: SparkSession, settings: Settings) -> DataFrame:
     """All events of this model; empty only when nothing was ever written."""
     if not path_exists(spark, settings.ledger_dir):
         return spark.createDataFrame([], EVENT_SCHEMA)
-    return spark.read.schema(EVENT_SCHEMA).parquet(settings.ledger_dir).where(F.col("model_name") == settings.model_name)
+    own = _log(spark, settings).where(F.col("model_name") == settings.model_name)
+    order = Window.partitionBy("model_name").orderBy("commit", "place")
+    return own.select(F.row_number().over(order).cast("bigint").alias("seq"), *own.drop("commit", "place", "size").columns)
+
+
+def _last_commit(spark: SparkSession, settings: Settings) -> int:
+    if not path_exists(spark, settings.ledger_dir):
+        return 0
+    found = [_COMMIT.search(path) for path in child_paths(spark, settings.ledger_dir)]
+    return max((int(m[1]) for m in found if m), default=0)
+
+
+def _settled(spark: SparkSession, settings: Settings, number: int) -> None:
+    """Wait until commit ``number`` is whole, or for so long that its writer must be gone."""
+    until = time.monotonic() + _PATIENCE
+    while number and _log(spark, settings).where(F.col("commit") == number).isEmpty():
+        if time.monotonic() > until:
+            return
+        time.sleep(0.2)
+
+
+def _create(spark: SparkSession, settings: Settings, number: int, new: Sequence[Event]) -> bool:
+    """Write commit ``number``; False when there is one already."""
+    shared = {"model_name": settings.model_name, "ts": datetime.now(UTC).isoformat(), "commit": number, "size": len(new)}
+    rows = [{**asdict(e), **shared, "place": i} for i, e in enumerate(new)]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{settings.ledger_dir}/commit-{number:012d}.json")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = files.create(path, False)  # fails if the file is there
+    except Py4JJavaError as error:
+        if files.exists(path):
+            return False
+        raise error
+    try:
+        out.write(bytearray("".join(json.dumps(r) + "\n" for r in rows).encode()))
+    finally:
+        out.close()
+    return True
+
+
+def commit(spark: SparkSession, settings: Settings, decide: Callable[[DataFrame], Sequence[Event]]) -> list[Event]:
+    """Write the events that ``decide`` makes of the log, as one change.
+
+    Whoever else commits meanwhile is seen: then ``decide`` is asked again, with the new log.
+    """
+    for _ in range(_TRIES):
+        last = _last_commit(spark, settings)
+        _settled(spark, settings, last)
+        new = list(decide(events(spark, settings)))
+        if not new or _create(spark, settings, last + 1, new):
+            return new
+    raise RuntimeError(f"the ledger changed {_TRIES} times while writing to it")
 
 
 def append(spark: SparkSession, settings: Settings, new: Sequence[Event]) -> None:
-    last = events(spark, settings).agg(F.max("seq")).first()[0] or 0
-    rows = [
-        (last + i, settings.model_name, e.version, e.event, e.stage, dict(e.metrics), dict(e.params), dict(e.tags),
-         e.model_path, e.input_schema, None)
-        for i, e in enumerate(new, start=1)
-    ]
-    stamped = spark.createDataFrame(rows, EVENT_SCHEMA).withColumn("ts", F.current_timestamp())
-    stamped.coalesce(1).write.mode("append").parquet(settings.ledger_dir)
+    commit(spark, settings, lambda _: new)
 
 
 def _latest(name: str) -> Column:
@@ -91,11 +154,13 @@ def served_version(log: DataFrame, prefer_production: bool = True) -> DataFrame:
     return stages(log).orderBy(F.desc(rank), F.desc("version")).limit(1)
 
 
-def register(spark: SparkSession, settings: Settings, event_of_version) -> int:
-    """Append the event ``event_of_version(n)`` for the next version ``n``."""
-    top = events(spark, settings).agg(F.max("version")).first()[0] or 0
-    append(spark, settings, [event_of_version(top + 1)])
-    return top + 1
+def register(spark: SparkSession, settings: Settings, event_of_version: Callable[[int], Event]) -> int:
+    """Write the event ``event_of_version(n)`` for the next version ``n``, which no other writer gets."""
+
+    def decide(log: DataFrame) -> list[Event]:
+        return [event_of_version((log.agg(F.max("version")).first()[0] or 0) + 1)]
+
+    return commit(spark, settings, decide)[0].version
 
 
 def promotion_events(state: Sequence[Row], version: int, roc_auc: float, archive_existing: bool = True) -> list[Event]:

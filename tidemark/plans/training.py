@@ -276,7 +276,12 @@ def promote(
         verdict = evaluate(row)
     if not verdict.passed or dry_run:
         return PromotionResult(version, False, row["stage"], verdict.gate, verdict.passed, verdict.metrics)
-    change = ledger.promotion_events(state, version, verdict.metrics["roc_auc"], archive_existing)
-    ledger.append(spark, settings, change)
+
+    def decide(log: DataFrame) -> list[ledger.Event]:
+        # What is in Production may have changed while the model was measured.
+        now = ledger.stages(log).collect()
+        return ledger.promotion_events(now, version, verdict.metrics["roc_auc"], archive_existing)
+
+    change = ledger.commit(spark, settings, decide)
     archived = [e.version for e in change if e.stage == ledger.ARCHIVED]
     return PromotionResult(version, True, ledger.PRODUCTION, verdict.gate, True, verdict.metrics, archived)
