@@ -4,7 +4,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import by
-from tidemark.llm.mixing import mix, source_targets
+from tidemark.llm.mixing import expected_copies, mix, source_targets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.splitters import splitters
 
@@ -122,6 +122,64 @@ def test_desirable_documents_are_taken_more_often(documents):
     assert counts[3] > 1.5 * counts[1] and abs(total["sum(taken)"] - total["sum(size)"]) <= 2 * 4  # a document per source
 
 
+def share(words, target, most=3):
+    """Copies each merit expects: in proportion, the overflow of full ones shared again."""
+    full = set()
+    while True:
+        rest = target - sum(most * words[m] for m in full)
+        open_shares = sum(m * words[m] for m in words if m not in full)
+        unit = rest / open_shares if open_shares else 0.0
+        above = {m for m in words if unit * m >= most} - full
+        if not above:
+            return {m: float(most) if m in full else unit * m for m in words}
+        full |= above
+
+
+def test_copies_are_expected_in_proportion_to_merit(spark):
+    random.seed(6)
+    words = {f"s{i}": {m: random.randrange(1, 10_000) for m in random.sample(range(1, 60), 6)} for i in range(9)}
+    rows = [(s, m, w) for s, of in words.items() for m, w in of.items()] + [("s0", 0, 500)]
+    found = expected_copies(spark.createDataFrame(rows, "source string, merit bigint, words bigint")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        expected = 0.0 if r["merit"] == 0 else share(words[r["source"]], r["target"])[r["merit"]]
+        assert abs(r["whole"] + r["chance"] - expected) < 1e-6 and 0 <= r["chance"] < 1
+    for s in words:
+        mine = {r["merit"]: r for r in found if r["source"] == s}
+        certain = sum(mine[m]["whole"] * w for m, w in words[s].items())
+        assert abs(mine[min(mine)]["wanted"] - (mine[min(mine)]["target"] - certain)) < 1e-6
+
+
+def test_inclusion_frequencies_are_those_given(spark):
+    # 900 sources of the same 40 documents: 300 independent draws for each of the three weights.
+    merits = (1, 2, 5, 9)
+    population = spark.range(900 * 40).select(
+        F.col("id").alias("doc_id"),
+        F.format_string("s%03d", F.floor(F.col("id") / 40)).alias("source"),
+        F.repeat(F.lit("a "), (20 + F.col("id") % 7).cast("int")).alias("text"),
+        F.element_at(F.array(*map(F.lit, merits)), (F.col("id") % 4 + 1).cast("int")).alias("wish"),
+    )
+    taken = mix(population, desirability="wish", carry=("source",))
+    per_source = taken.groupBy("carried.source").agg(F.sum("taken").alias("t"), F.max("target").alias("target"))
+    assert per_source.where("abs(t - target) > 27").isEmpty()
+    weight = F.substring("carried.source", 2, 3).cast("int") % 3 + 1
+    cells = taken.groupBy(weight.alias("weight"), "merit").agg(
+        F.avg("copies").alias("copies"), F.avg("chance").alias("chance"), F.min("copies").alias("least"), F.max("copies").alias("greatest"),
+    ).collect()
+    assert len(cells) == 12 and len({round(c["chance"], 3) for c in cells}) > 8
+    for c in cells:
+        # 3,000 draws in each cell: a standard error of at most 0.01.
+        assert abs(c["copies"] % 1 - c["chance"]) < 0.04 or abs(abs(c["copies"] % 1 - c["chance"]) - 1) < 0.04
+        assert c["greatest"] - c["least"] <= 1 and c["greatest"] <= 3
+
+
+def test_mixture_of_undesired_documents(documents):
+    df = documents([(1, "a b", "en", "s"), (2, "c d e", "en", "s")]).withColumn("wish", F.lit(None).cast("int"))
+    assert [r["taken"] for r in mix(df, desirability="wish").collect()] == [0, 0]
+    one = df.withColumn("wish", F.when(F.col("doc_id") == 1, 1e9).otherwise(-1))
+    assert dict(mix(one, desirability="wish").select("doc_id", "copies").collect()) == {1: 2, 2: 0}
+
+
 def test_mixture_of_nothing(documents):
     assert mix(documents([])).collect() == []
     assert [(r["taken"], r["target"]) for r in mix(documents([(1, None, None, None), (2, "", "en", "a")])).collect()] == [(0, 0.0)] * 2

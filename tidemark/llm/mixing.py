@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from .splitters import splitters
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
+# Word counts from which a document is wanted twice, three and four times as much as a short one.
+MERIT_STEPS = (50, 200, 1000)
+# Merits are whole numbers up to this, which bounds the plan to so many rows a source.
+MOST_MERIT = 255
 _GRID = 1 << 52
 
 
@@ -44,6 +50,37 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return (number.cast("double") + 0.5) / _GRID
 
 
+def expected_copies(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """(source, merit, source_size, target, whole, chance, wanted) from words per source and merit.
+
+    ``sizes``: (source, merit, words). Within a source a document expects copies in proportion
+    to its merit, but never more than ``most``; what is over goes to the lower merits in
+    proportion, so that expected words add up to the target. ``whole`` copies are certain,
+    ``chance`` is the probability of one more, ``wanted`` the words of a source that those are
+    to fill. Merit zero expects nothing.
+    """
+    targets = source_targets(sizes.groupBy("source").agg(F.sum("words").cast("bigint").alias("source_size")), most)
+    targets = targets.withColumnRenamed("source", "target_source")
+    rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
+    in_source = Window.partitionBy("source")  # a row per merit
+    above = in_source.orderBy(F.col("merit").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    shares = F.col("merit") * F.col("words")
+    left = F.col("target") - most * F.coalesce(F.sum("words").over(above), F.lit(0))
+    over = F.sum(shares).over(in_source) - F.coalesce(F.sum(shares).over(above), F.lit(0))
+    # Copies a unit of merit gets if all higher merits are at the limit. The limit holds for a
+    # first few merits; the level of the first one below it is the highest of those below it.
+    rows = rows.withColumn("level", left / F.nullif(over, F.lit(0)))
+    limited = F.col("level") * F.col("merit") >= most
+    rows = rows.withColumn("open_level", F.max(F.when(~limited, F.col("level"))).over(in_source))
+    expected = F.when(F.col("merit") == 0, F.lit(0.0)).when(limited, F.lit(float(most)))
+    expected = expected.otherwise(F.coalesce(F.col("open_level") * F.col("merit"), F.lit(0.0)))
+    rows = rows.withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("int"))
+    wanted = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(in_source)
+    return rows.select(
+        "source", "merit", "source_size", "target", "whole", (F.col("expected") - F.col("whole")).alias("chance"), wanted.alias("wanted")
+    )
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -53,70 +90,71 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    merit_steps: Sequence[int] = MERIT_STEPS,
     desirability: str | None = None,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How often the mixture takes each document: one row per input row.
 
-    Every document is taken ``target div source_size`` times for certain. The rest of a
-    target is filled with one more copy of some documents, in Pareto order: by the odds of a
-    random number over the odds of inclusion, smallest first. The inclusion probability is the
-    part of a copy that its source still wants, times the document's ``desirability`` over the
-    mean of its source where such a column is named. Documents are taken while they fit; what
-    then is left is filled ``fills - 1`` more times from the documents behind that fit into it,
-    so a source ends within a fraction of a document of its target. The cuts are found by
-    repeated histograms; no source is sorted.
-
-    Columns: ``doc_id``, ``size`` (words), ``source_size``, ``target``, ``copies``, ``taken``
-    (words) and, in a struct ``carried``, those named in ``carry``. A null text has no words; null sources are one
-    source, the last; rows that repeat an id are drawn apart, in order of input. An empty
-    table gives an empty one. ``desirability`` below zero or null counts as zero.
+    A document expects copies in proportion to its merit: one more than the number of
+    ``merit_steps`` that its words reach, or a column named by ``desirability`` (a whole number,
+    at most 255; null or below zero counts as zero and is never taken). The whole part is taken
+    for certain, the fraction is the probability of one more copy. Those copies are drawn in
+    Pareto order: by the odds of a random number over the odds of inclusion, smallest first.
+    Documents are taken while they fit into the words their source still wants; what then is
+    left is filled ``fills - 1`` more times from the documents behind that fit into it, so a
+    source ends within a fraction of a document of its target. The cuts are found by repeated
+    histograms; no source is sorted.
+
+    Columns: ``doc_id``, ``size`` (words), ``source_size``, ``target``, ``merit``, ``chance`` (of
+    a copy beyond the certain ones), ``copies``, ``taken`` (words) and, in a struct ``carried``,
+    those named in ``carry``. A null text has no words; null sources are one source, the last;
+    rows that repeat an id are drawn apart, in order of input. An empty table gives an empty
+    one. A source whose documents all have merit zero gives nothing.
     """
     words = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
-    wish = F.greatest(F.coalesce(F.col(desirability).cast("double"), F.lit(0.0)), F.lit(0.0)) if desirability else F.lit(1.0)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         words.alias("size"),
-        wish.alias("wish"),
+        *([F.round(F.col(desirability).cast("double")).alias("wish")] if desirability else []),
         uniform(F.col(doc_id), seed).alias("draw"),
         F.monotonically_increasing_id().alias("row"),
         *([F.struct(*carry).alias("carried")] if carry else []),
     )
-    rows = materialise(rows, "mixture-rows")
-    sizes = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("wish") * F.col("size")), F.sum("size")).alias("mean_wish")
-    )
-    sizes = materialise(sizes, "source-sizes")
-    plan = source_targets(sizes.select("source", "source_size"), most).withColumnRenamed("source", "plan_source")
-    plan = plan.join(sizes.select(F.col("source").alias("s"), "mean_wish"), F.col("plan_source").eqNullSafe(F.col("s"))).drop("s")
-    whole = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("int")
-    plan = plan.withColumn("whole", whole).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumn("part", F.coalesce(F.col("wanted") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
-    plan = materialise(plan, "mixture-plan")
-    in_source = F.col("source").eqNullSafe(F.col("plan_source"))
-    chance = F.col("part") * F.col("wish") / F.coalesce(F.nullif(F.col("mean_wish"), F.lit(0.0)), F.lit(1.0))
-    ranked = rows.join(plan, in_source).withColumn("chance", F.least(chance, F.lit(1.0)))
+    if desirability:
+        merit = F.least(F.greatest(F.coalesce("wish", F.lit(0.0)), F.lit(0.0)), F.lit(float(MOST_MERIT))).cast("bigint")
+    else:
+        merit = sum((F.when(F.col("size") >= step, 1).otherwise(0) for step in merit_steps), F.lit(1)).cast("bigint")
+    rows = materialise(rows, "mixture-rows").withColumn("merit", merit)
+    sizes = rows.groupBy("source", "merit").agg(F.sum("size").alias("words"))
+    plan = expected_copies(materialise(sizes, "source-sizes"), most)
+    plan = materialise(plan.withColumnsRenamed({"source": "plan_source", "merit": "plan_merit"}), "mixture-plan")
+    planned = F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("merit") == F.col("plan_merit"))
+    ranked = rows.join(plan, planned)
     odds = F.col("draw") / (1 - F.col("draw")) * F.try_divide(1 - F.col("chance"), F.col("chance"))
-    # Ranks run from 0 (odds zero, certain) to the grid's end (never); order is that of the odds.
-    rank = F.when(F.col("chance") > 0, F.floor(odds / (1 + odds) * _GRID).cast("bigint")).otherwise(F.lit(_GRID))
+    # Ranks are the odds mapped to whole numbers; no rank: never.
+    rank = F.when(F.col("chance") > 0, F.floor(odds / (1 + odds) * _GRID).cast("bigint"))
     ranked = ranked.withColumn("rank", rank).select("row", "source", "rank", "size")
     ranked = materialise(ranked.withColumn("more", F.lit(0)), "mixture-ranks")
-    wanted = plan.select(F.col("plan_source").alias("left_source"), F.col("wanted").alias("left"))
+    sources = plan.select("plan_source", "wanted").distinct()
+    wanted = sources.select(F.col("plan_source").alias("left_source"), F.col("wanted").alias("left"))
     for number in range(fills):
         ranked = _fill(ranked, wanted, first=number == 0, last=number == fills - 1)
         if number < fills - 1:
             filled = ranked.where("more = 1").groupBy("source").agg(F.sum("size").alias("filled"))
-            wanted = plan.join(filled, F.col("plan_source").eqNullSafe(F.col("source")), "left").select(
+            wanted = sources.join(filled, F.col("plan_source").eqNullSafe(F.col("source")), "left").select(
                 F.col("plan_source").alias("left_source"), (F.col("wanted") - F.coalesce("filled", F.lit(0))).alias("left")
             )
-    out = rows.join(plan, in_source).join(ranked.select("row", "more"), "row")
+    out = rows.join(plan, planned).join(ranked.select("row", "more"), "row")
     copies = (F.col("whole") + F.col("more")).cast("int")
     return out.select(
         F.col("doc_id").alias(doc_id),
         "size",
         "source_size",
         "target",
+        "merit",
+        "chance",
         copies.alias("copies"),
         (copies * F.col("size")).cast("bigint").alias("taken"),
         *(["carried"] if carry else []),
@@ -131,7 +169,7 @@ def _fill(ranked: DataFrame, wanted: DataFrame, first: bool, last: bool) -> Data
     """
     wanted = materialise(wanted.where("left >= 1"), "mixture-left")
     joined = ranked.join(wanted, F.col("source").eqNullSafe(F.col("left_source")), "left")
-    open_rows = (F.col("more") == 0) & (F.col("size") > 0) & F.col("left").isNotNull()
+    open_rows = F.col("rank").isNotNull() & (F.col("more") == 0) & (F.col("size") > 0) & F.col("left").isNotNull()
     if not first:
         open_rows = open_rows & (F.col("size") <= F.col("left"))
     joined = materialise(joined.withColumn("open", open_rows).drop("left_source"), "mixture-open")

@@ -89,15 +89,17 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mixture of sources takes."""
     found = mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "merit", "chance", "taken")
 
 
 _MIXTURE = r"""
-with rows as (
+with counted as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
          (cast('0x' || substr(md5('7:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) + 0.5::double)
            / 4503599627370496::double as draw
   from documents),
+rows as (
+  select *, cast(1 + (size >= 50)::int + (size >= 200)::int + (size >= 1000)::int as bigint) as merit from counted),
 sizes as (
   select source, cast(sum(size) as bigint) as source_size, 3 * cast(sum(size) as bigint) as fill,
          (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight
@@ -111,13 +113,26 @@ targets as (
   select *, case when fill < level * weight then fill::double
                  else max(case when fill >= level * weight then level end) over () * weight end as target
   from levels),
+merits as (
+  select source, merit, cast(sum(size) as bigint) as words, cast(sum(size) as bigint) * merit as shares from rows group by source, merit),
+merit_levels as (
+  select m.*, t.source_size, t.target,
+         (t.target - 3 * coalesce(sum(words) over above, 0)::double)
+           / nullif(sum(shares) over (partition by m.source) - coalesce(sum(shares) over above, 0), 0)::double as level
+  from merits m join targets t on m.source is not distinct from t.source
+  window above as (partition by m.source order by merit desc rows between unbounded preceding and 1 preceding)),
+expectations as (
+  select *, case when level * merit >= 3 then 3::double
+                 else coalesce(max(case when level * merit < 3 then level end) over (partition by source) * merit, 0) end as expected
+  from merit_levels),
 plan as (
-  select *, target - whole * source_size as wanted, (target - whole * source_size) / source_size as part
-  from (select *, coalesce(floor(target / nullif(source_size, 0)), 0) as whole from targets)),
+  select source, merit, source_size, target, floor(expected) as whole, expected - floor(expected) as chance,
+         target - sum(floor(expected) * words) over (partition by source) as wanted
+  from expectations),
 ranked as (
-  select r.doc_id, r.size, p.source, p.source_size, p.target, p.whole, p.wanted,
-         r.draw / (1 - r.draw) * ((1 - p.part) / p.part) as odds
-  from rows r join plan p on r.source is not distinct from p.source),
+  select r.doc_id, r.size, r.merit, p.source, p.source_size, p.target, p.whole, p.wanted, p.chance,
+         case when p.chance > 0 then r.draw / (1 - r.draw) * ((1 - p.chance) / p.chance) end as odds
+  from rows r join plan p on r.source is not distinct from p.source and r.merit = p.merit),
 fill0 as (select *, 0 as more, wanted as rest from ranked)
 """
 
@@ -126,7 +141,7 @@ _FILL = """,
 run{i} as (
   select *, sum(case when open then size else 0 end) over (
       partition by source order by floor(odds / (1 + odds) * 4503599627370496), doc_id) as upto
-  from (select *, more = 0 and size > 0 and rest >= 1{fits} as open from fill{i})),
+  from (select *, odds is not null and more = 0 and size > 0 and rest >= 1{fits} as open from fill{i})),
 more{i} as (
   select * replace (case when open and (upto <= floor(rest){last}) then 1 else more end as more) from run{i}),
 fill{next} as (
@@ -140,7 +155,7 @@ ORACLE["op7_mixture"] = (
     + _FILL.format(
         i=2, next=3, fits=" and size <= rest", last=" or upto - size <= floor(rest) and 2 * (rest - (upto - size)) >= size"
     )
-    + " select doc_id, size, source_size, target, cast((whole + more) * size as bigint) as taken from fill3"
+    + " select doc_id, size, source_size, target, merit, chance, cast((whole + more) * size as bigint) as taken from fill3"
 )
 
 
