@@ -159,9 +159,8 @@ def test_loop_retrains_on_drift_and_only_then(spark, shared):
 
 
 def test_an_alert_of_the_stream_retrains_without_batch_drift(spark, shared, tmp_path):
-    schema = "window_start timestamp, drifted_features array<string>, max_psi double"
-    alert = spark.sql("select timestamp'2024-01-18' as w, array('fico_n') as f, 1.5D as p").toDF(*[c.split()[0] for c in schema.split(", ")])
-    alert.write.parquet(str(tmp_path / "alerts" / "batch=0"))
+    row = "timestamp'2024-01-18' as window_start, 'fico_n' as feature, 1.5D as psi, 9L as n_cur, true as is_key, true as drifted"
+    spark.sql(f"select {row}").write.parquet(str(tmp_path / "windows" / "window_id=1705536000000000"))
     quiet = dict(params=TINY, inject=False, write_reports=False, alerts_path=str(tmp_path))
     calm = dataclasses.replace(shared, psi_threshold=50.0)
     handled = run_cycle(spark, calm, alerts_handled_until=dt.datetime(2024, 1, 18), **quiet)

@@ -7,7 +7,7 @@ from tidemark.catalog.queries import formula_score
 from tidemark.functions import columns as fx
 from tidemark.sources.loans import landed_path, table
 from tidemark.streaming import drift as stream
-from tidemark.streaming.scoring import rejected_stream, start_scoring
+from tidemark.streaming.scoring import start_rejects, start_scoring
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def source(spark, events, path):
 def run(spark, events, frozen, path, **options):
     query = stream.start_drift(source(spark, events, path / "in"), frozen, str(path / "out"), **options)
     query.awaitTermination()
-    return stream.windowed_psi(stream.current_counts(spark, str(path / "out")), frozen)
+    return stream.window_psi(spark, str(path / "out"), frozen)
 
 
 def as_dict(psi):
@@ -79,7 +79,7 @@ def test_restart_and_repeated_batches_change_nothing(spark, events, frozen, tmp_
 def test_alerts_name_the_drifted_windows(spark, events, frozen, tmp_path):
     moved = events.withColumn("value", F.when(F.dayofmonth("ts") == 18, F.col("value") + 500).otherwise(F.col("value")))
     land(moved, tmp_path / "in", [17, 18, 19])
-    run(spark, events, frozen, tmp_path, threshold=2.0, key_features=["value"])
+    run(spark, events, frozen, tmp_path, threshold=2.0, key_features=["value"], watermark="1 hour")
     found = stream.alerts(spark, str(tmp_path / "out")).collect()
     assert [(str(r["window_start"])[:10], r["drifted_features"]) for r in found] == [("2024-01-18", ["value"])]
     assert stream.retrain_due(spark, str(tmp_path / "out"))
@@ -94,12 +94,42 @@ def test_a_feature_missing_all_through_a_window_has_a_row_there(spark, events, f
     assert found["2024-01-18 00:00:00", "value"] == (0.0, 0) and len(found) == 4
 
 
-def test_merged_counters_equal_all_counters(spark, events, frozen, tmp_path):
-    days = range(16, 21)
+def closed(path):
+    return sorted(p.name for p in (path / "out" / "windows").glob("window_id=*"))
+
+
+def test_closed_windows_leave_the_state_and_are_written_once(spark, events, frozen, tmp_path):
+    days = range(16, 24)
     land(events, tmp_path / "in", days)
-    later = events.where(F.dayofmonth("ts").between(16, 20))
-    assert as_dict(run(spark, events, frozen, tmp_path, merge_every=2, threshold=50.0)) == batch(later, frozen)
-    assert stream._merges(spark, str(tmp_path / "out"))
+    later = events.where(F.dayofmonth("ts").between(16, 23))
+    assert as_dict(run(spark, events, frozen, tmp_path, watermark="1 hour")) == batch(later, frozen)
+    left = stream.open_counts(spark, str(tmp_path / "out")).select(F.dayofmonth("window_start")).distinct().collect()
+    assert [r[0] for r in left] == [23] and len(closed(tmp_path)) == 7
+    files = [p for p in (tmp_path / "out" / "windows").rglob("*.parquet")]
+    before = {p: p.stat().st_mtime_ns for p in files}
+    assert len(files) == 7
+    # Triggers that close nothing write nothing and touch no earlier window.
+    events.where("dayofmonth(ts) = 23").coalesce(1).write.parquet(str(tmp_path / "in" / "99"))
+    run(spark, events, frozen, tmp_path, watermark="1 hour")
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "windows").rglob("*.parquet")} == before
+
+
+def test_a_batch_that_failed_before_its_commit_is_repeated(spark, events, frozen, tmp_path):
+    land(events, tmp_path / "in", range(16, 20))
+    found = as_dict(run(spark, events, frozen, tmp_path, watermark="1 hour", threshold=0.2))
+    windows, commits = closed(tmp_path), tmp_path / "out" / "checkpoint" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for n in (last, last - 1):
+        (commits / str(n)).unlink()
+        (commits / f".{n}.crc").unlink(missing_ok=True)
+    assert as_dict(run(spark, events, frozen, tmp_path, watermark="1 hour", threshold=0.2)) == found
+    assert closed(tmp_path) == windows
+
+
+def test_a_stream_without_rows_has_no_windows(spark, events, frozen, tmp_path):
+    events.limit(0).write.parquet(str(tmp_path / "in"))
+    assert run(spark, events, frozen, tmp_path).collect() == []
+    assert stream.alerts(spark, str(tmp_path / "out")).collect() == []
 
 
 def test_keys_default_to_those_of_the_batch_decision(events, frozen):
@@ -121,9 +151,7 @@ def test_stream_scores_equal_batch_scores(spark, sf_dir, raw, tmp_path):
     start_scoring(arriving, scorer, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     complete = "dti_n is not null and fico_n is not null"
     assert values(spark.read.parquet(str(tmp_path / "out"))) == values(scorer(odd.where(complete)))
-    turned_away = (
-        rejected_stream(arriving).select("id").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck2"))
-        .trigger(availableNow=True).start(str(tmp_path / "rejected"))
-    )
-    turned_away.awaitTermination()
-    assert values(spark.read.parquet(str(tmp_path / "rejected"))) == values(odd.where(f"not ({complete})"), "id")
+    start_rejects(arriving, str(tmp_path / "rejected"), str(tmp_path / "ck2")).awaitTermination()
+    rejected = spark.read.parquet(str(tmp_path / "rejected"))
+    assert values(rejected.select("id")) == values(odd.where(f"not ({complete})"), "id")
+    assert rejected.where("size(errors) = 0").isEmpty()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..functions.columns import TOWARD_DEFAULT, TOWARD_REPAYING
 from ..operators.drift import KEY_FEATURES
 from ..operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from .queries import CANDIDATES, ROUND_CUTS, SCORE_WEIGHTS, SEVERITIES, STREAM_REFERENCE_END
+from .queries import CANDIDATES, ROUND_CUTS, SCORE_WEIGHTS, SEVERITIES, STREAM_REFERENCE_END, STREAM_SHIFT, STREAM_THRESHOLD
 
 _LOANS = """
 li as (
@@ -308,6 +308,12 @@ sh as (select ac.day, ac.feature, coalesce(rc.n, 0) / (select sum(n) from rc z w
        left join cc on cc.day = ac.day and cc.feature = ac.feature and cc.cell = ac.cell)"""
 
 
+_MOVED_STREAM = _STREAM.replace(
+    "from events)",
+    f"""from (select * replace (value + case when ts >= timestamp '{STREAM_REFERENCE_END}' and day(ts) % 3 = 0
+                                             then {STREAM_SHIFT}::double else 0::double end as value) from events))""",
+)
+
 _BAND = "case when {s} < 0.15 then 'Lower risk' when {s} < 0.30 then 'Moderate risk' else 'Higher risk' end"
 
 
@@ -615,6 +621,18 @@ ok as (select id from loans where revenue is not null and revenue >= 0 and dti_n
          and loan_amnt is not null and loan_amnt > 0)""",
         f"select id, score, {_BAND.format(s='score')} as risk_band from scored where id in (select id from ok)",
     ),
+    "stream_rejects": _with(
+        _LOANS + """,
+e as (select id, concat_ws('; ', case when revenue is null then 'revenue: required' end, case when dti_n is null then 'dti_n: required' end,
+        case when loan_amnt is null then 'loan_amnt: required' end, case when fico_n is null then 'fico_n: required' end,
+        case when revenue < 0 then 'revenue: must be >= 0' end, case when loan_amnt <= 0 then 'loan_amnt: must be > 0' end) as errors from loans)""",
+        "select id, errors from e where errors <> ''",
+    ),
+    "stream_alerts": _with(
+        _MOVED_STREAM + f", ps as (select day, feature, sum({_TERM}) as psi from sh group by day, feature)",
+        f"""select day, string_agg(feature, ',' order by feature) as drifted_features, round(max(psi), 9) as max_psi
+        from ps where psi > {STREAM_THRESHOLD} and cast(day as timestamp) + interval 25 hour <= (select max(ts) from cu) group by day""",
+    ),
     "flagship": _with(
         _TRAIN_TEST + _psi_ctes("ref", "cur"),
         """select split, count(*) as rows, cast(min(issue_date) as varchar) as date_min, cast(max(issue_date) as varchar) as date_max,

@@ -45,6 +45,9 @@ CANDIDATES = ((1, -1.2, 0.5, -0.002), (2, 0.0, 0.0, -0.01), (3, -1.0, 0.4, 0.0),
 SEVERITIES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 # Events up to this moment are the reference of the streaming drift query.
 STREAM_REFERENCE_END = "2024-01-16"
+# Planted drift of the alert query: what is added to values, and the PSI that alerts.
+STREAM_SHIFT = 50.0
+STREAM_THRESHOLD = 0.2
 
 
 def query(fn: Query) -> Query:
@@ -681,7 +684,7 @@ def stream_psi(spark, sf_dir):
     arriving = _stream(spark, table(spark, sf_dir, "events"), sf_dir, "events.parquet").where(F.col("ts") >= end)
     running = stream_drift.start_drift(arriving.select("ts", "value", "event_type"), frozen, path)
     running.awaitTermination()
-    found = stream_drift.windowed_psi(stream_drift.current_counts(spark, path), frozen)
+    found = stream_drift.window_psi(spark, path, frozen)
     return found.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "feature", _r("psi").alias("psi"), F.col("n_cur").alias("n")
     )
@@ -702,6 +705,38 @@ def stream_scores(spark, sf_dir):
     return spark.read.schema("id bigint, score double, risk_band string").parquet(f"{path}/out")
 
 
+@query
+def stream_rejects(spark, sf_dir):
+    """Applications that the stream turns away, and why: the rest of those scored."""
+    raw = raw_loans(spark, sf_dir)
+    path = f"{work_dir(spark)}/rejects-{uuid.uuid4().hex[:12]}"
+    arriving = _stream(spark, raw, loans.landed_path(spark, sf_dir)).select("id", *RAW_INPUT_COLUMNS)
+    stream_scoring.start_rejects(arriving, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    found = spark.read.schema("id bigint, errors array<string>").parquet(f"{path}/out")
+    return found.select("id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    """Days that the watermark has closed on which the values or types of events drifted."""
+    events = table(spark, sf_dir, "events").select("ts", "value", "event_type")
+    end = F.lit(STREAM_REFERENCE_END).cast("timestamp_ntz")
+    reference = events.where(F.col("ts") < end)
+    frozen = stream_drift.FrozenReference.fit(reference, drift.fit_reference(reference, ["value"]), ["event_type"])
+    path = f"{work_dir(spark)}/alerts-{uuid.uuid4().hex[:12]}"
+    arriving = _stream(spark, table(spark, sf_dir, "events"), sf_dir, "events.parquet").where(F.col("ts") >= end)
+    # Every third day the values are moved, so that there is drift to report.
+    moved = F.col("value") + F.when(F.dayofmonth("ts") % 3 == 0, F.lit(STREAM_SHIFT)).otherwise(F.lit(0.0))
+    arriving = arriving.select("ts", moved.alias("value"), "event_type")
+    running = stream_drift.start_drift(arriving, frozen, path, watermark="1 hour", threshold=STREAM_THRESHOLD)
+    running.awaitTermination()
+    return stream_drift.alerts(spark, path).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"),
+        F.array_join("drifted_features", ",").alias("drifted_features"),
+        _r("max_psi").alias("max_psi"),
+    )
+
+
 @query
 def flagship(spark, sf_dir):
     """Split summary beside the FICO drift between train and test."""

@@ -1,9 +1,11 @@
 """Drift per event-time window, continuously, against a frozen reference.
 
-The stream keeps one counter per (window, feature, cell). In update mode every trigger
-hands over the counters that changed; they are written per batch, and the largest value of
-a counter is its current one, so a replayed batch changes nothing. Rows later than the
-watermark are dropped by Spark: arrival may be disordered by at most that much.
+The stream's state is one counter per (window, feature, cell). A window is closed by the
+watermark, once: its counters leave the state, and its PSI rows are written in a folder of
+the window's own, so a replayed batch overwrites what it wrote before. Nothing else is kept:
+files grow with the windows, not with the triggers, and no trigger reads earlier ones. Windows
+still open are read from the state itself. Rows later than the watermark are dropped by Spark:
+arrival may be disordered by at most that much.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.bounded import small_rows
-from ..operators.drift import KEY_FEATURES, ReferenceBins, cells, drifted_features, psi_of_counts
+from ..operators.drift import KEY_FEATURES, ReferenceBins, cells, psi_of_counts
 from ..session import materialise
 from ..sources.paths import child_paths, path_exists
 
 _CELL = ["feature", "bin", "level"]
-MERGE_EVERY = 50
+_PSI = "window_start timestamp, feature string, psi double, n_cur bigint"
+_CLOSED = f"{_PSI}, is_key boolean, drifted boolean, window_id bigint"
 
 
 @dataclass(frozen=True)
@@ -78,35 +80,32 @@ def windowed_psi(counts: DataFrame, ref: FrozenReference) -> DataFrame:
     )
 
 
-def current_counts(
-    spark: SparkSession, path: str, days: Sequence[object] | None = None, *, upto: int | None = None
-) -> DataFrame:
-    """Latest value of every counter written so far, or up to a batch. Counters only grow.
+def _closed_windows(spark: SparkSession, path: str) -> DataFrame:
+    if not path_exists(spark, f"{path}/windows"):
+        return spark.createDataFrame([], _CLOSED)
+    return spark.read.schema(_CLOSED).parquet(f"{path}/windows")
 
-    ``days`` limits the files read to windows that start on those dates.
+
+def open_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counters of the windows that the watermark has not closed, from the stream's state."""
+    columns = ["window_start", *_CELL, "cur"]
+    commits = f"{path}/checkpoint/commits"
+    # Other files are the checksums some file systems keep beside them.
+    if not path_exists(spark, commits) or not any(p.rsplit("/", 1)[1].isdigit() for p in child_paths(spark, commits)):
+        return spark.createDataFrame([], "window_start timestamp, feature string, bin int, level string, cur bigint")
+    state = spark.read.format("statestore").load(f"{path}/checkpoint")
+    return state.select(F.col("key.window.start").alias("window_start"), *[f"key.{c}" for c in _CELL], "value.*").toDF(*columns)
+
+
+def window_psi(spark: SparkSession, path: str, ref: FrozenReference) -> DataFrame:
+    """(window_start, feature, psi, n_cur) of all windows, closed ones and those still open.
+
+    While the stream runs, a window may be written as closed before the batch that closed it
+    is committed; it counts as closed then.
     """
-    columns = ["window_start", *_CELL, "cur", "day"]
-    written = spark.read.option("basePath", f"{path}/counts").parquet(f"{path}/counts")
-    if upto is not None:
-        written = written.where(F.col("batch") <= upto)
-    merges = [n for n in _merges(spark, path) if upto is None or n < upto]
-    if merges:
-        merged = spark.read.parquet(f"{path}/merged/upto={max(merges)}")
-        written = written.where(F.col("batch") > max(merges)).select(*columns).unionByName(merged.select(*columns))
-    if days is not None:
-        written = written.where(F.col("day").isin(list(days)))
-    return written.groupBy("window_start", *_CELL).agg(F.max("cur").alias("cur"))
-
-
-def _merges(spark: SparkSession, path: str) -> list[int]:
-    """Batches up to which a finished merge exists."""
-    if not path_exists(spark, f"{path}/merged"):
-        return []
-    return [
-        int(p.rsplit("=", 1)[1])
-        for p in child_paths(spark, f"{path}/merged")
-        if path_exists(spark, f"{p}/_SUCCESS")
-    ]
+    closed = _closed_windows(spark, path).select("window_start", "feature", "psi", "n_cur")
+    still_open = open_counts(spark, path).join(closed.select("window_start").distinct(), "window_start", "left_anti")
+    return closed.unionByName(windowed_psi(still_open, ref))
 
 
 def start_drift(
@@ -120,42 +119,38 @@ def start_drift(
     threshold: float | None = None,
     key_features: Sequence[str] | None = None,
     score: str | None = None,
-    merge_every: int = MERGE_EVERY,
     **trigger,
 ) -> StreamingQuery:
-    """Maintain counters under ``path`` and, given a threshold, append an alert per drifted window.
+    """Write the PSI of every window under ``path`` once the watermark closes it.
 
-    ``score`` names a prediction column among the reference's features; its drift raises an
-    alert beside that of the key features, as prediction drift does in the batch decision.
-    Every ``merge_every`` batches the counters so far are merged into one table, so that a
-    trigger reads that table and the few batches after it.
+    Given a ``threshold``, rows above it are marked as drifted; ``alerts`` gives the windows in
+    which a key feature is. A window is judged once and whole: the few rows of one that has
+    just begun would drift nearly always. ``score`` names a prediction column among the
+    reference's features; its drift raises an alert beside that of the key features, as
+    prediction drift does in the batch decision.
     """
     keys = dict.fromkeys([*ref.key_features(key_features), *([score] if score else [])])
     timed = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     counts = windowed_cells(timed, ref, ts=ts, width=width)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        # Overwriting its own folder makes a repeated batch harmless.
-        target = f"{path}/counts/batch={batch_id}"
-        batch.withColumn("day", F.to_date("window_start")).write.mode("overwrite").partitionBy("day").parquet(target)
-        spark = batch.sparkSession
-        if batch_id % merge_every == merge_every - 1:
-            merged = current_counts(spark, path, upto=batch_id).withColumn("day", F.to_date("window_start"))
-            merged.write.mode("overwrite").partitionBy("day").parquet(f"{path}/merged/upto={batch_id}")
-        if threshold is None:
-            return
-        touched = spark.read.schema(batch.schema).parquet(target).select("window_start").distinct()
-        days = [r[0] for r in small_rows(touched.select(F.to_date("window_start")).distinct())]
-        latest = current_counts(spark, path, days).join(touched, "window_start", "left_semi")
-        psi = drifted_features(windowed_psi(latest, ref), threshold, list(keys))
-        fired = psi.where("is_key and drifted").groupBy("window_start").agg(
-            F.sort_array(F.collect_list("feature")).alias("drifted_features"), F.max("psi").alias("max_psi")
+    def close(batch: DataFrame, batch_id: int) -> None:
+        # Counters are read several times below: written, the state is only asked once.
+        batch.write.mode("overwrite").parquet(f"{path}/closing")
+        closing = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/closing")
+        drifted = F.lit(None).cast("boolean") if threshold is None else F.col("psi") > threshold
+        found = windowed_psi(closing, ref).select(
+            "*",
+            F.col("feature").isin(*keys).alias("is_key"),
+            drifted.alias("drifted"),
+            F.unix_micros("window_start").alias("window_id"),
         )
-        fired.coalesce(1).write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+        # Only the folders of this batch's windows are replaced; without any nothing is written.
+        writer = found.repartition("window_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("window_id").parquet(f"{path}/windows")
 
     return (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(upsert)
+        counts.writeStream.outputMode("append")
+        .foreachBatch(close)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -163,13 +158,11 @@ def start_drift(
 
 
 def alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The last word on each window that ever fired: (window_start, drifted_features, max_psi)."""
-    if not path_exists(spark, f"{path}/alerts"):
-        schema = "window_start timestamp, drifted_features array<string>, max_psi double"
-        return spark.createDataFrame([], schema)
-    found = spark.read.option("basePath", f"{path}/alerts").parquet(f"{path}/alerts")
-    last = F.max_by(F.struct("drifted_features", "max_psi"), "batch")
-    return found.groupBy("window_start").agg(last.alias("a")).select("window_start", "a.*")
+    """Closed windows in which a key feature drifted: (window_start, drifted_features, max_psi)."""
+    fired = _closed_windows(spark, path).where("is_key and drifted")
+    return fired.groupBy("window_start").agg(
+        F.sort_array(F.collect_list("feature")).alias("drifted_features"), F.max("psi").alias("max_psi")
+    )
 
 
 def retrain_due(spark: SparkSession, path: str, handled_until=None) -> bool:

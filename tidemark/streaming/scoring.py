@@ -30,13 +30,21 @@ def rejected_stream(applications: DataFrame) -> DataFrame:
     return checked.where(F.size("errors") > 0)
 
 
+def _append(rows: DataFrame, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Append to a Parquet table; exactly once through the checkpoint and the file log."""
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    return writer.trigger(**(trigger or {"availableNow": True})).start(out)
+
+
 def start_scoring(applications: DataFrame, scorer: Scorer, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append scores to a Parquet table; exactly once through the checkpoint and the file log."""
-    return (
-        score_stream(applications, scorer)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start(out)
-    )
+    """Append the scores of acceptable applications to a Parquet table."""
+    return _append(score_stream(applications, scorer), out, checkpoint, trigger)
+
+
+def start_rejects(applications: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append the applications that are not scored, with their ``errors``, to a Parquet table.
+
+    Beside ``start_scoring`` on the same applications every row ends up in one of the two. It is
+    a query of its own, so that each table has its exactly-once log.
+    """
+    return _append(rejected_stream(applications), out, checkpoint, trigger)
