@@ -180,6 +180,17 @@ def test_mixture_of_undesired_documents(documents):
     assert dict(mix(one, desirability="wish").select("doc_id", "copies").collect()) == {1: 2, 2: 0}
 
 
+def test_mixture_with_a_very_long_text(documents):
+    rows = [(0, "word " * 300_000, "en", "s")] + [(i, "a b c d e f g h i j", "en", "s") for i in range(1, 101)]
+    rows += [(i, "w " * 1000, "en", "t") for i in range(101, 201)]
+    found = {r["doc_id"]: r for r in mix(documents(rows)).collect()}
+    assert len(found) == 201 and found[0]["size"] == 300_000 and found[0]["merit"] == 4
+    assert all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in found.values())
+    # The long text is more than its source wants; all that fits beside it is taken once more.
+    assert found[0]["copies"] == 0 and all(found[i]["copies"] == 1 for i in range(1, 101))
+    assert abs(sum(found[i]["taken"] for i in range(101, 201)) - found[101]["target"]) <= 500
+
+
 def test_mixture_of_nothing(documents):
     assert mix(documents([])).collect() == []
     assert [(r["taken"], r["target"]) for r in mix(documents([(1, None, None, None), (2, "", "en", "a")])).collect()] == [(0, 0.0)] * 2
