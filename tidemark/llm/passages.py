@@ -10,7 +10,8 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -35,8 +36,9 @@ class PassageRules:
     window: int = 8
     max_gap: int = 30
     margin: int = 64
-    # Bits of the membership filter that keeps documents without matches out of the shuffle.
-    filter_bits: int = 1 << 23
+    # Most bits of the membership filter that keeps documents without matches out of the shuffle:
+    # eight a document while they fit. A full filter costs time, not results.
+    filter_bits: int = 1 << 27
 
 
 def _mix(keys: np.ndarray) -> np.ndarray:
@@ -89,6 +91,8 @@ def _freed_shuffles(docs: DataFrame) -> Iterator[None]:
 # Hashes are sorted into buckets by their first bits; of the next 32 bits a bucket's cells are the first.
 _BUCKET_BITS, _CELL_BITS = 12, 15
 _HELD_HASHES = 1 << 21
+# Texts of more bytes than this fill the bitmap, so it is left out and every run is a seed.
+_BITMAP_TEXT_BYTES = 1 << 33
 
 
 def _packed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -108,7 +112,8 @@ def _shared_cells(docs: DataFrame, rules: PassageRules) -> np.ndarray:
     """A bitmap of fixed size over the first bits of hashes: cells that hold a run of two rows.
 
     It only spares the shuffle runs that one row alone holds; those that pass by chance are
-    dropped by the counts afterwards. Four bytes a run are shuffled for it.
+    dropped by the counts afterwards. Four bytes a run are shuffled for it, and a bucket gathers
+    a 4,096th of the runs of at most ``_BITMAP_TEXT_BYTES``, so about 2 MB.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,25 +147,53 @@ def _shared_cells(docs: DataFrame, rules: PassageRules) -> np.ndarray:
     return bitmap.reshape(-1)
 
 
-def seeds(docs: DataFrame, rules: PassageRules) -> DataFrame:
-    """(h, doc, pos) of all runs of ``k`` words of ``docs`` (doc, text) that two rows may hold."""
-    held = docs.sparkSession.sparkContext.broadcast(_shared_cells(docs, rules))
+def seeds(docs: DataFrame, rules: PassageRules, cells: Broadcast | None, *, once: bool = False) -> DataFrame:
+    """(h, doc, pos) of the runs of ``k`` words of ``docs`` (doc, text) that ``cells`` let through: all
+    of them, or with ``once`` the first of each in a document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [runs_of(t, rules.k) for t in as_bytes(batch.column("text"))]
-            sizes = [len(h) for h in found]
-            doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), sizes)
-            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-            h = np.concatenate(found)
-            cell = h >> np.uint64(64 - _BUCKET_BITS - _CELL_BITS)
-            kept = (held.value[(cell >> np.uint64(3)).astype(np.int64)] << (cell & np.uint64(7)).astype(np.uint8)) & 128 != 0
-            columns = [h[kept].view(np.int64), doc[kept], pos[kept]]
+            found, places = [], []
+            for t in as_bytes(batch.column("text")):
+                h = runs_of(t, rules.k)
+                at = np.arange(len(h), dtype=np.int32)
+                if cells is not None:
+                    cell = h >> np.uint64(64 - _BUCKET_BITS - _CELL_BITS)
+                    bits = cells.value[(cell >> np.uint64(3)).astype(np.int64)] << (cell & np.uint64(7)).astype(np.uint8)
+                    h, at = h[bits & 128 != 0], at[bits & 128 != 0]
+                if once:
+                    h, first = np.unique(h, return_index=True)
+                    at = at[first]
+                found.append(h.view(np.int64))
+                places.append(at)
+            doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), [len(h) for h in found])
+            columns = [np.concatenate(found), doc, np.concatenate(places)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "pos"])
 
     return docs.mapInArrow(run, "h bigint, doc bigint, pos int")
 
 
+_HOT_SHARE = 1000
+
+
+def _with_first(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``firsts``, one row per ``key`` with the number ``n`` of its holders.
+
+    Keys with more than a thousandth of all holders, fewer than a thousand of them, are dealt to as
+    many tasks as there are shuffle partitions, so that no task gets all rows of a common one.
+    """
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") * _HOT_SHARE > F.lit(total)
+    hot = firsts.where(often).select(key, F.lit(True).alias("hot"))  # fewer than a thousand rows
+    salts = F.when(often, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    dealt = firsts.withColumn("salt", F.explode(salts)).drop("n")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int")).otherwise(F.lit(0))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("hot")
+    return salted.join(dealt, [key, "salt"]).drop("salt")
+
+
 class _PrefixMax:
     """Fenwick tree: largest (value, owner) among the first places."""
 
@@ -236,7 +269,7 @@ def unsettled_runs(h: np.ndarray, pos: np.ndarray, stretch: np.ndarray, rules: P
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     at = np.nonzero((pos[span:] - pos[:n] == span) & (stretch[span:] != stretch[:n]))[0]
-    keys, seed = np.zeros(len(at), np.uint64), h.view(np.uint64)
+    keys, seed = np.zeros(len(at), np.uint64), h.astype(np.int64).view(np.uint64)
     for i in sorted({*range(0, span, rules.k), span}):
         keys *= np.uint64(0x9E3779B97F4A7C15)
         keys += seed[at + i]
@@ -322,9 +355,9 @@ def _equal_runs(runs: DataFrame, rules: PassageRules) -> DataFrame:
     """(doc, other, pos, other_pos) of runs (doc, key, at) that an earlier document holds: at the
     first place of the whole run, so no part of it that stands elsewhere gets in the way.
     """
-    shared = runs.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"))
-    shared = shared.where("first.doc < last").select("key", F.col("first.doc").alias("other"), F.col("first.at").alias("other_at"))
-    by_doc = runs.join(shared, "key").where("doc <> other").groupBy("doc")
+    shared = runs.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = shared.where("first.doc < last").select("key", "n", F.col("first.doc").alias("other"), F.col("first.at").alias("other_at"))
+    by_doc = _with_first(runs, materialise(shared, "first-runs"), "key").where("doc <> other").groupBy("doc")
     by_doc = by_doc.agg(F.collect_list(F.struct("at", "other", "other_at")).alias("matches"))
     span = rules.min_words - rules.k
 
@@ -455,24 +488,32 @@ def repeated_passages(
     rows = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("bigint").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
-    found = seeds(rows, rules)
     repeated = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
     repeated = materialise(repeated, "repeated-ids")
+    size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not repeated.isEmpty():
-        found = found.join(repeated, "doc", "left_anti")
-    # One shuffle serves both the first place and its holders.
-    holders = Window.partitionBy("h")
-    placed = found.withColumns({"first": F.min(F.struct("doc", "pos")).over(holders), "last": F.max("doc").over(holders)})
-    matches = placed.where("first.doc < last").select("doc", "h", "pos", F.col("first.doc").alias("other"), F.col("first.pos").alias("other_pos"))
-    by_doc = matches.groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "other", "other_pos")).alias("matches"))
+        rows = rows.join(repeated, "doc", "left_anti")
+    cells = None
+    if size[1] <= _BITMAP_TEXT_BYTES:
+        cells = docs.sparkSession.sparkContext.broadcast(_shared_cells(rows, rules))
     with _freed_shuffles(docs):
+        # The first place of a run: smallest document, and its first there. Aggregated before the shuffle.
+        firsts = seeds(rows, rules, cells, once=True).groupBy("h").agg(
+            F.min("doc").alias("other"), F.min_by("pos", "doc").alias("other_pos"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")
+        )
+        firsts = materialise(firsts.where("other < last").drop("last"), "first-places")
+        # Written, so that the seeds' shuffle is gone before the one by document. Half a hash tells a document's runs apart.
+        matches = _with_first(seeds(rows, rules, cells), firsts, "h").withColumn("h", F.shiftright("h", 32).cast("int"))
+        matches = materialise(matches.select("doc", "h", "pos", "other", "other_pos"), "matches")
+        by_doc = matches.groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "other", "other_pos")).alias("matches"))
         links = materialise(_chain_documents(by_doc, rules), "chains")
     runs = links.where("key is not null").select("doc", "key", "at")
     linked = links.where("key is null").select("doc", "other", "pos", "other_pos")
     linked = linked.union(materialise(_equal_runs(runs, rules), "equal-runs"))
 
     ids = linked.select("doc").union(linked.select(F.col("other").alias("doc")))
-    texts = materialise(_holding(rows, _members(ids, rules.filter_bits), rules.filter_bits), "passage-texts")
+    bits = min(rules.filter_bits, max(1 << 16, 8 << int(size[0]).bit_length()))
+    texts = materialise(_holding(rows, _members(ids, bits), bits), "passage-texts")
     anchored = linked.join(texts.withColumnRenamed("doc", "other"), "other")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
