@@ -175,6 +175,8 @@ def seeds(docs: DataFrame, rules: PassageRules, cells: Broadcast | None, *, once
 
 
 _HOT_SHARE = 1000
+# Rows of a task that a hash join may hold (tens of bytes each); more are joined by sorting.
+_HASHED_ROWS = 1 << 20
 
 
 def _with_first(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
@@ -184,14 +186,18 @@ def _with_first(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
     many tasks as there are shuffle partitions, so that no task gets all rows of a common one.
     """
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, count = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = F.col("n") * _HOT_SHARE > F.lit(total)
     hot = firsts.where(often).select(key, F.lit(True).alias("hot"))  # fewer than a thousand rows
-    salts = F.when(often, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    dealt = firsts.withColumn("salt", F.explode(salts)).drop("n")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int")).otherwise(F.lit(0))
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("hot")
-    return salted.join(dealt, [key, "salt"]).drop("salt")
+    dealt, by = firsts.drop("n"), [key]
+    if not hot.isEmpty():
+        salts = F.when(often, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+        dealt, by = firsts.withColumn("salt", F.explode(salts)).drop("n"), [key, "salt"]
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int")).otherwise(F.lit(0))
+        rows = rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("hot")
+    if count <= spread * _HASHED_ROWS:
+        dealt = dealt.hint("shuffle_hash")
+    return rows.join(dealt, by).drop("salt")
 
 
 class _PrefixMax:
