@@ -155,6 +155,34 @@ def test_passages_edited_every_few_words(documents):
     assert set(found) == set(range(1, len(rows), 2))
 
 
+def edited_from_parts(shapes, copies):
+    """Rows in which parts stand alone, then together, then together with every n-th word replaced."""
+    rows, last = [], []
+    for parts, every, offset in shapes * copies:
+        texts = [prose(n) for n in parts]
+        rows += [(len(rows) + i, " ".join(prose(20) + t + prose(20))) for i, t in enumerate(texts)]
+        whole = sum(texts, [])
+        changed = [w if j % every != offset % every else prose(1)[0] + "x" for j, w in enumerate(whole)]
+        rows.append((len(rows), " ".join(prose(30) + whole + prose(30))))
+        rows.append((len(rows), " ".join(prose(30) + changed + prose(30))))
+        last.append((rows[-1][0], len(whole)))
+    return rows, last
+
+
+def test_edited_passages_of_parts_that_stood_elsewhere(documents):
+    random.seed(9)
+    halves = [([n // 2, n // 2], every, offset) for n in (60, 90) for every in (10, 20) for offset in (0, every - 1, 5)]
+    rows, last = edited_from_parts([*halves, ([20, 20, 20], 10, 9), ([40, 20, 30], 12, 3), ([25, 25, 25, 25], 8, 2)], 4)
+    found = {r["doc_id"]: r for r in repeated_passages(documents(rows)).collect()}
+    caught = [i for i, n in last if i in found and sum(p["n_words"] for p in found[i]["passages"]) >= 0.8 * n]
+    assert len(caught) >= 0.9 * len(last), (len(caught), len(last))
+    # Parts alone are too short to be passages, and no one's earlier document loses anything.
+    allowed = {i for i, _ in last} | {i for i, j in equal_runs(rows, 50)}
+    assert set(found) <= allowed
+    for r in found.values():
+        assert all(p["other"] < r["doc_id"] and p["matching"] >= 0.8 * p["n_words"] for p in r["passages"])
+
+
 def test_few_spans_cover_all():
     random.seed(8)
     for _ in range(300):

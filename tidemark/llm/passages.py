@@ -36,6 +36,8 @@ class PassageRules:
     window: int = 8
     max_gap: int = 30
     margin: int = 64
+    # Words that a part of a passage put together from parts that stand elsewhere spans at least.
+    least_part: int = 12
     # Most bits of the membership filter that keeps documents without matches out of the shuffle:
     # eight a document while they fit. A full filter costs time, not results.
     filter_bits: int = 1 << 27
@@ -282,19 +284,50 @@ def unsettled_runs(h: np.ndarray, pos: np.ndarray, stretch: np.ndarray, rules: P
     return _mix(keys).view(np.int64), pos[at]
 
 
+def junctions(pos: np.ndarray, other: np.ndarray, at: np.ndarray, rules: PassageRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, places, offset) where a part that first stands in one document meets one of another.
+
+    A part is a diagonal of matches: one other document, one difference of positions, no gap above
+    ``max_gap``. The key is made of both documents and of how far the two differences lie apart, so
+    it is that of whoever holds the two parts in this order at this distance, whichever of their
+    words are replaced. Places are the first and last seed of both parts; the offset is the
+    first part's difference.
+    """
+    shift = pos.astype(np.int64) - at
+    order = np.lexsort((pos, shift, other))
+    o, d, p = other[order], shift[order], pos[order].astype(np.int64)
+    cuts = np.nonzero((np.diff(o) != 0) | (np.diff(d) != 0) | (np.diff(p) > rules.max_gap))[0] + 1
+    first, last = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(p)])) - 1
+    if not len(p):
+        first = last = np.zeros(0, np.int64)
+    spans = p[last] - p[first] + rules.k >= rules.least_part
+    first, last = first[spans], last[spans]
+    order = np.argsort(p[first], kind="stable")
+    first, last = first[order], last[order]
+    a, b = slice(None, -1), slice(1, None)
+    meet = (o[first[a]] != o[first[b]]) & (p[first[b]] - p[last[a]] <= rules.max_gap) & (p[last[b]] > p[last[a]])
+    i, j = np.nonzero(meet)[0], np.nonzero(meet)[0] + 1
+    keys = o[first[i]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = _mix(keys + o[first[j]].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    keys = _mix(keys + (d[first[j]] - d[first[i]]).view(np.uint64))
+    places = np.stack([p[first[i]], p[last[i]], p[first[j]], p[last[j]]], axis=1).astype(np.int32)
+    return keys.view(np.int64), places, d[first[i]].astype(np.int32)
+
+
+# Candidate links have no key; runs and junctions looked up by key have no other, and only junctions have places.
 _LINKS = "doc bigint, other bigint, pos array<int>, other_pos array<int>, key bigint, at int"
 
 
 def _chain_documents(matches: DataFrame, rules: PassageRules) -> DataFrame:
     """(doc, other, pos, other_pos): chains that may reach ``min_words`` and equal runs that do; and
-    (doc, key, at): runs that first places of seeds do not settle.
+    (doc, key, at): runs that first places of seeds do not settle; and (doc, key, pos, at): junctions.
     """
     least = rules.min_words - 2 * (rules.k + rules.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, list[int], list[int]]] = []
-            keys, places, holders = [], [], []
+            keys, places, holders, ends_of = [], [], [], []
             column = batch.column("matches")
             cuts, flat = column.offsets.to_numpy(), column.values
             columns = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
@@ -307,6 +340,12 @@ def _chain_documents(matches: DataFrame, rules: PassageRules) -> DataFrame:
                 keys.append(key)
                 places.append(place)
                 holders.append(np.full(len(key), doc, np.int64))
+                ends_of += [None] * len(key)
+                key, four, place = junctions(pos, other, at, rules)
+                keys.append(key)
+                places.append(place)
+                holders.append(np.full(len(key), doc, np.int64))
+                ends_of += four.tolist()
                 for a, b in zip(starts[:-1].tolist(), (starts[1:] - 1).tolist()):
                     if b - a + rules.k >= rules.min_words and other[a] != doc:
                         out.append((doc, int(other[a]), [int(pos[a]), int(pos[b])], [int(at[a]), int(at[b])]))
@@ -332,7 +371,7 @@ def _chain_documents(matches: DataFrame, rules: PassageRules) -> DataFrame:
                 [
                     pa.array(np.concatenate([np.array([r[0] for r in out], np.int64), *holders])),
                     pa.array([r[1] for r in out] + [None] * more, pa.int64()),
-                    pa.array([r[2] for r in out] + [None] * more, pa.list_(pa.int32())),
+                    pa.array([r[2] for r in out] + ends_of, pa.list_(pa.int32())),
                     pa.array([r[3] for r in out] + [None] * more, pa.list_(pa.int32())),
                     pa.concat_arrays([pa.nulls(len(out), pa.int64()), *map(pa.array, keys)]),
                     pa.concat_arrays([pa.nulls(len(out), pa.int32()), *map(pa.array, places)]),
@@ -388,6 +427,22 @@ def _equal_runs(runs: DataFrame, rules: PassageRules) -> DataFrame:
     return by_doc.mapInArrow(run, "doc bigint, other bigint, pos array<int>, other_pos array<int>")
 
 
+def _joined_parts(found: DataFrame, rules: PassageRules) -> DataFrame:
+    """(doc, other, pos, other_pos) of junctions (doc, key, pos, at) that an earlier document has: the ends
+    of what both hold of either part, at the first document with the junction.
+    """
+    shared = found.groupBy("key").agg(F.min(F.struct("doc", "at", "pos")).alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = shared.where("first.doc < last").select(
+        "key", "n", F.col("first.doc").alias("other"), F.col("first.at").alias("other_at"), F.col("first.pos").alias("ends")
+    )
+    both = _with_first(found, materialise(shared, "first-junctions"), "key").where("doc <> other")
+    shift = F.col("at") - F.col("other_at")
+    a, c = (F.greatest(F.col("pos")[i], F.col("ends")[i] + shift) for i in (0, 2))
+    b, d = (F.least(F.col("pos")[i], F.col("ends")[i] + shift) for i in (1, 3))
+    held = both.where((a <= b) & (c <= d)).select("doc", "other", F.array_sort(F.array_distinct(F.array(a, b, c, d))).alias("pos"), shift.alias("shift"))
+    return held.select("doc", "other", "pos", F.transform("pos", lambda p: p - F.col("shift")).alias("other_pos"))
+
+
 def _common(a: Sequence[bytes], b: Sequence[bytes]) -> int:
     """Length of the longest common subsequence of two short runs of words."""
     if not a or not b:
@@ -488,7 +543,9 @@ def repeated_passages(
     matches is that of the places however many documents share a passage. Runs of ``min_words``
     words whose seeds are all shared but do not point at one stretch (put together from parts that
     stand elsewhere, or of few distinct words) point as a whole at their first place, so every
-    equal run of ``min_words`` words is found.
+    equal run of ``min_words`` words is found. Where two parts meet that first stand in different
+    documents, the junction points at the first document that has it, so edited passages put
+    together from such parts are aligned with that one too.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull()).select(
@@ -513,9 +570,11 @@ def repeated_passages(
         matches = materialise(matches.select("doc", "h", "pos", "other", "other_pos"), "matches")
         by_doc = matches.groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "other", "other_pos")).alias("matches"))
         links = materialise(_chain_documents(by_doc, rules), "chains")
-    runs = links.where("key is not null").select("doc", "key", "at")
+    runs = links.where("key is not null and pos is null").select("doc", "key", "at")
+    meeting = links.where("key is not null and pos is not null").select("doc", "key", "pos", "at")
     linked = links.where("key is null").select("doc", "other", "pos", "other_pos")
     linked = linked.union(materialise(_equal_runs(runs, rules), "equal-runs"))
+    linked = linked.union(materialise(_joined_parts(meeting, rules), "joined-parts"))
 
     ids = linked.select("doc").union(linked.select(F.col("other").alias("doc")))
     bits = min(rules.filter_bits, max(1 << 16, 8 << int(size[0]).bit_length()))
