@@ -473,11 +473,12 @@ def _reach(a: Sequence[bytes], i: int, b: Sequence[bytes], j: int, step: int) ->
     return reached
 
 
-def align(words: Sequence[bytes], other: Sequence[bytes], pos: Sequence[int], at: Sequence[int], k: int) -> tuple[int, int, int, int, int]:
+def align(words: Sequence[bytes], other: Sequence[bytes], pos: Sequence[int], at: Sequence[int], k: int, max_gap: int = 30) -> tuple[int, int, int, int, int]:
     """Align a chain: (start, end, start in the other, its end, matching words).
 
     Seeds are equal runs; what lies between two of them is aligned by its longest common
-    subsequence, and the ends are extended word by word.
+    subsequence, and the ends are extended word by word. Chains have no gap above ``max_gap``; what is
+    longer is a part of one diagonal, whose ends alone are named, and is compared place by place.
     """
     start, a_start = pos[0], at[0]
     end, a_end, matching = start, a_start, 0
@@ -487,7 +488,12 @@ def align(words: Sequence[bytes], other: Sequence[bytes], pos: Sequence[int], at
             continue
         x, y = x + skip, y + skip
         gap, a_gap = words[end:x], other[a_end:y]
-        matching += len(gap) if gap == a_gap else _common(gap, a_gap)
+        if gap == a_gap:
+            matching += len(gap)
+        elif len(gap) == len(a_gap) > max_gap:
+            matching += sum(map(bytes.__eq__, gap, a_gap))
+        else:
+            matching += _common(gap, a_gap)
         end, a_end = x + k - skip, y + k - skip
         matching += sum(map(bytes.__eq__, words[x:end], other[y:a_end]))
     n, same = _reach(words, start - 1, other, a_start - 1, -1)
@@ -628,7 +634,7 @@ def _verified(raw: bytes, own: list[dict], rules: PassageRules) -> list[dict]:
     words, found = raw.lower().split(), []
     for chain in own:
         at, pos, part = [p - chain["begin"] for p in chain["other_pos"]], chain["pos"], chain["part"].encode().split()
-        aligned = [align(words, part, pos, at, rules.k)]
+        aligned = [align(words, part, pos, at, rules.k, rules.max_gap)]
         n = pos[-1] + rules.k - pos[0]
         if words[pos[0] : pos[0] + n] == part[at[0] : at[-1] + rules.k]:
             # What follows an equal run must not cost it.
