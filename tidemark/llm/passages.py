@@ -156,21 +156,22 @@ def seeds(docs: DataFrame, rules: PassageRules, cells: Broadcast | None, *, once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, places = [], []
-            for t in as_bytes(batch.column("text")):
-                h = runs_of(t, rules.k)
-                at = np.arange(len(h), dtype=np.int32)
-                if cells is not None:
-                    cell = h >> np.uint64(64 - _BUCKET_BITS - _CELL_BITS)
-                    bits = cells.value[(cell >> np.uint64(3)).astype(np.int64)] << (cell & np.uint64(7)).astype(np.uint8)
-                    h, at = h[bits & 128 != 0], at[bits & 128 != 0]
-                if once:
-                    h, first = np.unique(h, return_index=True)
-                    at = at[first]
-                found.append(h.view(np.int64))
-                places.append(at)
-            doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), [len(h) for h in found])
-            columns = [np.concatenate(found), doc, np.concatenate(places)]
+            found = [runs_of(t, rules.k) for t in as_bytes(batch.column("text"))]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            row = np.repeat(np.arange(len(found)), sizes)
+            pos = np.arange(len(row), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+            h = np.concatenate(found)
+            if cells is not None:
+                cell = h >> np.uint64(64 - _BUCKET_BITS - _CELL_BITS)
+                bits = cells.value[(cell >> np.uint64(3)).astype(np.int64)] << (cell & np.uint64(7)).astype(np.uint8)
+                kept = np.nonzero(bits & 128)[0]
+                h, row, pos = h[kept], row[kept], pos[kept]
+            if once:
+                cuts = np.searchsorted(row, np.arange(len(found) + 1)).tolist()
+                kept = [np.unique(h[a:b], return_index=True)[1] + a for a, b in zip(cuts, cuts[1:]) if b > a]
+                kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+                h, row, pos = h[kept], row[kept], pos[kept]
+            columns = [h.view(np.int64), batch.column("doc").to_numpy(zero_copy_only=False)[row], pos]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "pos"])
 
     return docs.mapInArrow(run, "h bigint, doc bigint, pos int")
@@ -284,33 +285,33 @@ def unsettled_runs(h: np.ndarray, pos: np.ndarray, stretch: np.ndarray, rules: P
     return _mix(keys).view(np.int64), pos[at]
 
 
-def junctions(pos: np.ndarray, other: np.ndarray, at: np.ndarray, rules: PassageRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def junctions(pos: np.ndarray, other: np.ndarray, at: np.ndarray, starts: np.ndarray, rules: PassageRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, places, offset) where a part that first stands in one document meets one of another.
 
     A part is a diagonal of matches: one other document, one difference of positions, no gap above
     ``max_gap``. The key is made of both documents and of how far the two differences lie apart, so
     it is that of whoever holds the two parts in this order at this distance, whichever of their
     words are replaced. Places are the first and last seed of both parts; the offset is the
-    first part's difference.
+    first part's difference. ``starts`` are those of the stretches, of which diagonals are made.
     """
-    shift = pos.astype(np.int64) - at
-    order = np.lexsort((pos, shift, other))
-    o, d, p = other[order], shift[order], pos[order].astype(np.int64)
-    cuts = np.nonzero((np.diff(o) != 0) | (np.diff(d) != 0) | (np.diff(p) > rules.max_gap))[0] + 1
+    begin, end = starts[:-1], starts[1:] - 1
+    o, p, q = other[begin], pos[begin].astype(np.int64), pos[end].astype(np.int64)
+    d = p - at[begin]
+    order = np.lexsort((p, d, o))
+    o, d, p, q = o[order], d[order], p[order], q[order]
+    cuts = np.nonzero((np.diff(o) != 0) | (np.diff(d) != 0) | (p[1:] - q[:-1] > rules.max_gap))[0] + 1
     first, last = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(p)])) - 1
-    if not len(p):
-        first = last = np.zeros(0, np.int64)
-    spans = p[last] - p[first] + rules.k >= rules.least_part
+    spans = q[last] - p[first] + rules.k >= rules.least_part
     first, last = first[spans], last[spans]
     order = np.argsort(p[first], kind="stable")
     first, last = first[order], last[order]
     a, b = slice(None, -1), slice(1, None)
-    meet = (o[first[a]] != o[first[b]]) & (p[first[b]] - p[last[a]] <= rules.max_gap) & (p[last[b]] > p[last[a]])
+    meet = (o[first[a]] != o[first[b]]) & (p[first[b]] - q[last[a]] <= rules.max_gap) & (q[last[b]] > q[last[a]])
     i, j = np.nonzero(meet)[0], np.nonzero(meet)[0] + 1
     keys = o[first[i]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     keys = _mix(keys + o[first[j]].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     keys = _mix(keys + (d[first[j]] - d[first[i]]).view(np.uint64))
-    places = np.stack([p[first[i]], p[last[i]], p[first[j]], p[last[j]]], axis=1).astype(np.int32)
+    places = np.stack([p[first[i]], q[last[i]], p[first[j]], q[last[j]]], axis=1).astype(np.int32)
     return keys.view(np.int64), places, d[first[i]].astype(np.int32)
 
 
@@ -341,7 +342,7 @@ def _chain_documents(matches: DataFrame, rules: PassageRules) -> DataFrame:
                 places.append(place)
                 holders.append(np.full(len(key), doc, np.int64))
                 ends_of += [None] * len(key)
-                key, four, place = junctions(pos, other, at, rules)
+                key, four, place = junctions(pos, other, at, starts, rules)
                 keys.append(key)
                 places.append(place)
                 holders.append(np.full(len(key), doc, np.int64))
