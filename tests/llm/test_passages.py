@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tests.llm.conftest import by
+from tidemark.llm import passages
 from tidemark.llm.passages import PassageRules, align, chains, covering, remove_passages, repeated_passages, seeds_of, without
 
 
@@ -183,6 +184,22 @@ def test_edited_passages_of_parts_that_stood_elsewhere(documents):
         assert all(p["other"] < r["doc_id"] and p["matching"] >= 0.8 * p["n_words"] for p in r["passages"])
 
 
+def test_results_do_not_depend_on_the_plan(documents, monkeypatch):
+    random.seed(10)
+    rows, _ = edited_from_parts([([30, 30], 10, 9), ([20, 20, 20], 10, 9)], 3)
+    common = prose(60)  # in most rows, so its runs are salted
+    rows += [(1000 + i, " ".join(prose(10) + common + prose(10))) for i in range(60)]
+
+    def found():
+        return sorted((r["doc_id"], r["left_text"], r["passages"]) for r in repeated_passages(documents(rows)).collect())
+
+    usual = found()
+    assert len(usual) >= 59
+    for name, value in (("_BITMAP_TEXT_BYTES", -1), ("_HASHED_ROWS", -1), ("_HOT_SHARE", 0)):
+        monkeypatch.setattr(passages, name, value)
+        assert found() == usual
+
+
 def test_few_spans_cover_all():
     random.seed(8)
     for _ in range(300):
