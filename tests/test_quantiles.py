@@ -39,6 +39,22 @@ def test_equal_to_numpy_whatever_the_ranges(data, rows_per_range):
         np.testing.assert_array_equal(found[c], np.quantile(values, PROBS))
 
 
+def test_a_column_of_one_value_beside_a_range_cut_again(spark):
+    """A range of one value that many rows hold stays as it is while a range of another column is cut."""
+    rng = np.random.default_rng(9)
+    n = 5000
+    columns = {
+        "constant": np.full(n, 2.5),
+        "flag": np.ones(n),
+        "half": np.where(rng.random(n) < 0.5, 0.0, rng.random(n)),  # zeros and a few others share a range
+        "tiny": np.where(rng.random(n) < 0.5, 0.0, 5e-324),  # halves of both are zero
+    }
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], ", ".join(f"{c} double" for c in columns))
+    found = exact_quantiles(df, df.columns, PROBS, rows_per_range=20)
+    for c, values in columns.items():
+        np.testing.assert_array_equal(found[c], np.quantile(values, PROBS))
+
+
 def test_ranges_split_a_hot_column(data):
     ranges = fit_ranges(data, ["hot"], rows_per_range=100)
     sizes = {r["range_hot"]: r["count"] for r in ranges.ids(data).where("hot <> 7").groupBy("range_hot").count().collect()}

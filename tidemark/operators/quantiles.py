@@ -67,10 +67,12 @@ def exact_quantiles(
     sizes = {c: size for c, *_, size in found}
     brackets = {b[:-1] for b in found}
     values = doubles.selectExpr(f"stack({len(names)}, {', '.join(f'{i}, {c}' for i, c in enumerate(names))}) as (column, x)")
-    while any(lo < hi and inside > rows_per_range for _, _, lo, hi, _, inside in brackets):
-        before, brackets = brackets, set(_cut_again(values, brackets))
-        if brackets == before:  # infinite ends cannot be cut
+    # Brackets of a single value are settled, however many rows hold it.
+    while wide := {b for b in brackets if b[2] < b[3] and b[5] > rows_per_range}:
+        cut = set(_cut_again(values, wide))
+        if cut == wide:  # infinite ends cannot be cut, nor ends too close for a double between them
             break
+        brackets = brackets - wide | cut
     at = {(c, rank): lo for c, rank, lo, hi, _, _ in brackets if lo == hi}
     at |= _pick(values, [b for b in brackets if b[2] < b[3]])
     return {
@@ -87,9 +89,9 @@ def _inside(values: DataFrame, brackets: Iterable[tuple]) -> DataFrame:
 
 
 def _cut_again(values: DataFrame, brackets: set[tuple]) -> list[tuple]:
-    # Halves before the difference, so that it cannot overflow.
-    share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    cell = F.least(F.floor(F.nanvl(share, F.lit(0.0)) * _RANGES), F.lit(_RANGES - 1))
+    # Halves before the difference, so that it cannot overflow; those of the smallest doubles may be equal.
+    share = F.try_divide(F.col("x") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+    cell = F.least(F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * _RANGES), F.lit(_RANGES - 1))
     counts = _inside(values, brackets).groupBy("column", "lo", "hi", "below", cell.alias("cell")).agg(
         F.count(F.lit(1)).alias("inside"), F.min("x").alias("new_lo"), F.max("x").alias("new_hi")
     )
