@@ -143,3 +143,37 @@ def test_degenerate_inputs(spark):
         boost(same.limit(0), INPUTS, p, label="y", id_column="key")
     with pytest.raises(Exception, match="0 or 1"):
         boost(same.withColumn("y", F.lit(2)), INPUTS, p, label="y", id_column="key")
+
+
+def random_block(n):
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 20, (4, n)).astype(np.uint8)
+    bins[1][rng.random(n) < 0.2] = MISSING
+    label = (rng.random(n) < np.where(bins[0] < 17, 0.2, 0.8) + np.where(bins[1] == MISSING, 0.1, 0)).astype(np.uint8)
+    return boosting._Block(bins, label, rng.integers(-(1 << 62), 1 << 62, n), np.zeros(n))
+
+
+@pytest.mark.parametrize("flat", [0, 128])
+def test_rows_end_where_following_them_ends(flat, monkeypatch):
+    monkeypatch.setattr(boosting, "_FLAT_NODES", flat)
+    block, p = random_block(40_000), TreeParams(trees=3, depth=5, learning_rate=0.3)
+    for tree in boosting._boosted(boosting._InTask(block, p), [np.arange(19.0)] * 4, p):
+        at = np.zeros(block.bins.shape[1], np.int64)
+        for _ in range(tree.depth):
+            at = tree.step_bins(at, block.bins)
+        assert len(tree.feature) > 40 and (tree.leaves_of_bins(block.bins) == at).all()
+
+
+def test_the_lighter_of_two_siblings_is_counted():
+    """No more than half of the weight of a level is counted again on the next."""
+    weights = []
+
+    class Source(boosting._InTask):
+        def histograms(self, *asked):
+            found = super().histograms(*asked)
+            weights.append(found[:, 0, :, 1].sum())
+            return found
+
+    p = TreeParams(trees=1, depth=4, learning_rate=0.3)
+    boosting.grow(Source(random_block(5_000), p), [np.arange(19.0)] * 4, 0, p)
+    assert len(weights) == 4 and all(2 * w <= weights[0] for w in weights[1:])

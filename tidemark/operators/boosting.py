@@ -34,6 +34,12 @@ _TASK_ROWS = 1 << 20
 _FAN_IN = 32
 # Margins are written after this many trees; those grown since are applied anew in each pass.
 _TREES_PER_STATE = 8
+# Rows below which one more task is not worth its start.
+_FEWEST_ROWS = 1 << 16
+# Nodes of a tree up to which all of its splits are decided for all rows, which costs less than to follow
+# each row, and rows that are looked at together meanwhile.
+_FLAT_NODES = 128
+_AT_ONCE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -90,10 +96,26 @@ class Tree:
 
     def leaves_of_bins(self, bins: np.ndarray) -> np.ndarray:
         at = np.zeros(bins.shape[1], np.int64)
-        for _ in range(self.depth):
-            at = self.step_bins(at, bins)
+        if len(self.feature) > _FLAT_NODES:
+            for _ in range(self.depth):
+                at = self.step_bins(at, bins)
+            return at
+        for start in range(0, len(at), _AT_ONCE):
+            at[start : start + _AT_ONCE] = self._end(0, bins[:, start : start + _AT_ONCE])
         return at
 
+    def _end(self, node: int, bins: np.ndarray) -> np.ndarray | np.uint8:
+        """The node at which rows end that are taken to stand at ``node``."""
+        if self.feature[node] < 0:
+            return np.uint8(node)
+        b = bins[self.feature[node]]
+        goes_left = b <= np.uint8(self.cut[node])
+        if self.missing_left[node]:
+            goes_left |= b == np.uint8(MISSING)
+        right = self._end(self.right[node], bins)
+        # The difference may pass below zero and comes back: numbers of a byte wrap around.
+        return right + goes_left.view(np.uint8) * np.subtract(self._end(self.left[node], bins), right, dtype=np.uint8)
+
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Leaf values of rows of raw inputs (rows x inputs, NaN for missing)."""
 
@@ -266,16 +288,21 @@ def taken(draw: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) < share * (1 << 53)
 
 
-def _histogram(
-    bins: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, at: np.ndarray, nodes: np.ndarray, features: np.ndarray
-) -> np.ndarray:
-    """Sums of gradients and hessians (nodes x features x bins x 2) of the given rows, which stand ``at`` nodes."""
+def _standing(rows: np.ndarray, at: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the given rows those that stand ``at`` one of ``nodes``, and which."""
     place = np.full(max(at.max(initial=0), nodes.max()) + 1, -1)
     place[nodes] = np.arange(len(nodes))
     slot = place[at[rows]]
     here = slot >= 0
-    rows, slot = rows[here], slot[here] * _BINS
-    g, h = g[rows], h[rows]
+    return rows[here], slot[here]
+
+
+def _histogram(
+    bins: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, slot: np.ndarray, nodes: np.ndarray, features: np.ndarray
+) -> np.ndarray:
+    """Sums of gradients and hessians (nodes x features x bins x 2) of the given rows; ``g``, ``h`` and ``slot``,
+    the place of their node, are theirs."""
+    slot = slot * _BINS
     out = np.empty((len(nodes), len(features), _BINS, 2))
     for k, f in enumerate(features):
         cell = slot + bins[f, rows]
@@ -297,8 +324,9 @@ class _InTask:
             self.g, self.h = gradients(self.block.label, self.margin)
             self.rows = np.nonzero(taken(self.block.draw, number, self.p.seed, self.p.subsample))[0]
         else:
-            self.at = grown.step_bins(self.at, self.block.bins)
-        return _histogram(self.block.bins, self.g, self.h, self.rows, self.at, nodes, features)
+            self.at = grown.leaves_of_bins(self.block.bins)
+        rows, slot = _standing(self.rows, self.at, nodes)
+        return _histogram(self.block.bins, self.g[rows], self.h[rows], rows, slot, nodes, features)
 
     def add(self, tree: Tree) -> None:
         self.margin += tree.value[tree.leaves_of_bins(self.block.bins)]
@@ -333,9 +361,10 @@ class _Spread:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for block in _blocks(batches):
-                g, h = gradients(block.label, _margin(block, since))
                 rows = np.nonzero(taken(block.draw, number, p.seed, p.subsample))[0]
-                found = _histogram(block.bins, g, h, rows, grown.leaves_of_bins(block.bins), nodes, features)
+                rows, slot = _standing(rows, grown.leaves_of_bins(block.bins), nodes)
+                g, h = gradients(block.label[rows], _margin(block, since)[rows])
+                found = _histogram(block.bins, g, h, rows, slot, nodes, features)
                 total = found if total is None else total + found
             if total is not None:
                 columns = [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())]
@@ -444,11 +473,13 @@ def grow(source: _InTask | _Spread, cuts: Sequence[np.ndarray], number: int, p:
             whole = growing.rows[node][8]
             left, right = growing.node(splits.left[k]), growing.node(whole - splits.left[k])
             growing.split(node, f, float(cuts[f][cut]), cut, bool(splits.missing_left[k]), float(splits.gain[k]), left, right)
-            counted_next.append(left)
-            derived[right] = (sums[node], left)
+            # The lighter one is counted, which is the one of fewer rows as a rule.
+            light, heavy = (left, right) if 2 * splits.left[k][1] <= whole[1] else (right, left)
+            counted_next.append(light)
+            derived[heavy] = (sums[node], light)
         if not counted_next:
             break
-        counted = np.array(counted_next)
+        counted = np.sort(counted_next)
     growing.prune(p.gamma)
     return growing.tree(p)
 
@@ -515,6 +546,8 @@ def boost(
     base = float(np.log(share / (1 - share))) if base is None else float(base)
     cuts = bin_cuts(df, inputs, p.max_bins) if cuts is None else [np.unique(np.array(c, float)) for c in cuts]
     tasks = max(1, -(-sums["n"] // task_rows))
+    if tasks > 1:  # all cores take part
+        tasks = max(tasks, min(df.sparkSession.sparkContext.defaultParallelism, sums["n"] // _FEWEST_ROWS))
     blocks = binned(df, inputs, cuts, label=label, draw=F.xxhash64(F.col(f"`{id_column}`")), base=base)
     # Blocks are few and large; dealt out anew they keep all tasks busy in each of the many passes.
     state = materialise(blocks.repartition(tasks), "binned")
