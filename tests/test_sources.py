@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import values
 from tidemark import Settings, land_raw, read_loans, resolve_source, stratified_sample, validate_source
 from tidemark.session import materialise, work_dir
-from tidemark.sources import exports, integrity, readers
+from tidemark.sources import exports, integrity, loans, readers
 
 HEADER = ",".join(readers.REQUIRED_COLUMNS)
 
@@ -113,3 +114,44 @@ def test_work_folder_follows_the_session(spark):
     df = spark.range(5)
     kept = materialise(df, "numbers")
     assert values(kept) == values(df) and "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def own_tables(spark, path):
+    made = {
+        "nation": "select * from values (1, 'PERU'), (2, 'KENYA') t(n_nationkey, n_name)",
+        "customer": "select * from values (10L, 'C10', 1, -5.0D, 'AUTO'), (11L, 'C11', 2, 70.0D, 'HOME'), (12L, 'C12', null, 1.0D, 'HOME') "
+        "t(c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)",
+        "orders": "select o_orderkey, o_custkey, o_totalprice, timestamp(d) as o_orderdate, p as o_orderpriority from values "
+        "(1L, 10L, 9.0D, '1999-03-04', 'LOW'), (2L, 10L, 8.0D, '1999-01-04', 'LOW'), (5L, 11L, 7.0D, null, null), (6L, 12L, 6.0D, '1999-01-04', 'LOW'), "
+        "(7L, null, 6.0D, '1999-01-04', 'LOW') t(o_orderkey, o_custkey, o_totalprice, d, p)",
+        "lineitem": "select * from values (1L, 0.02D, 10.0D, 'R'), (1L, 0.04D, 20.0D, 'N'), (5L, null, 30.0D, 'N') "
+        "t(l_orderkey, l_discount, l_quantity, l_returnflag)",
+        "documents": "select * from values (2L, 'why'), (3L, 'not') t(doc_id, text)",
+    }
+    for name, sql in made.items():
+        spark.sql(sql).write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def test_loan_view_of_few_rows(spark, tmp_path):
+    found = loans.loan_view(spark, own_tables(spark, str(tmp_path)))
+    shown = found.select("id", "revenue", "dti_n", "fico_n", "experience_c", "addr_state", "zip_code", "title", "desc", "Default")
+    assert sorted(map(tuple, shown.collect())) == [
+        (1, 0.0, 3.0, 465.0, 1, "PERU", "010xx", "C10", None, 1),
+        (2, 0.0, None, None, 0, "PERU", "010xx", "C10", "why", 0),
+        (5, 70.0, None, 630.0, 0, "KENYA", "011xx", None, None, 0),
+    ]
+
+
+def test_orders_are_dealt_by_their_key_with_no_more_than_they_become(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        view = loans.loan_view(spark, own_tables(spark, str(tmp_path)))
+        plan = spark._jvm.PythonSQLUtils.explainString(view._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(o_orderkey", plan)
+    assert len(dealt) == 1
+    names = set(re.findall(r"(\w+)#", dealt[0]))
+    assert "o_orderkey" in names and not names & {"n_name", "first_placed", "c_name", "c_acctbal", "o_custkey", "c_custkey"}
