@@ -66,7 +66,8 @@ class TreePaths:
                 pattern = np.zeros(x.shape[1], np.uint8)
                 for j, hit in enumerate(hits):
                     pattern |= hit.view(np.uint8) << np.uint8(j)
-                parts = (column[pattern] for column in leaf.table)
+                index = pattern.astype(np.intp)  # once for all inputs
+                parts = (np.take(column, index) for column in leaf.table)
             for feature, part in zip(leaf.features, parts):
                 out[feature] += part
 
