@@ -1,5 +1,7 @@
 import dataclasses
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +203,16 @@ def test_verbs_and_exit_codes(spark, shared, capsys):
     assert main(["promote", "--dry-run"], spark, strict) == 0
     assert main(["monitor", "--no-inject", "--no-reports", "--sample-size", "300"], spark, shared) == 0
     assert "roc_auc>=0.99" in capsys.readouterr().out
+
+
+def test_a_commit_is_created_by_one_of_many_writers(spark, settings):
+    for number in range(1, 41):
+        start = Barrier(8)
+
+        def create(i, number=number, start=start):
+            start.wait()
+            return ledger._create(spark, settings, number, [ledger.Event(i, "registered")])
+
+        with ThreadPoolExecutor(8) as writers:
+            assert sum(writers.map(create, range(8))) == 1
+    assert ledger.events(spark, settings).count() == 40

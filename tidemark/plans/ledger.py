@@ -9,6 +9,7 @@ a reader passes over a commit that is still being written.
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 from datetime import UTC, datetime
@@ -84,6 +85,17 @@ def _create(spark: SparkSession, settings: Settings, number: int, new: Sequence[
     rows = [{**asdict(e), **shared, "place": i} for i, e in enumerate(new)]
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{settings.ledger_dir}/commit-{number:012d}.json")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    data = "".join(json.dumps(r) + "\n" for r in rows).encode()
+    if files.getUri().getScheme() == "file":
+        # Hadoop looks for a local file before it creates one, and another writer may do so in between.
+        target = path.toUri().getPath()
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        try:
+            with open(target, "xb") as out:
+                out.write(data)
+        except FileExistsError:
+            return False
+        return True
     try:
         out = files.create(path, False)  # fails if the file is there
     except Py4JJavaError as error:
@@ -91,7 +103,7 @@ def _create(spark: SparkSession, settings: Settings, number: int, new: Sequence[
             return False
         raise error
     try:
-        out.write(bytearray("".join(json.dumps(r) + "\n" for r in rows).encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
     return True
