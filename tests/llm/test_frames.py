@@ -51,6 +51,18 @@ def test_strings_of_added_tokens_get_their_ids(documents, tmp_path):
     assert 50256 in ids_of(plain, texts[0])
 
 
+def test_plain_words_are_merged_once():
+    plain = Tokenizer.from_file(PATH)
+    encoder = ChunkEncoder(PATH, class_table(), added_tokens=True)
+    merged, tokenize = [], encoder.tokenize
+    encoder.tokenize = lambda piece: merged.append(piece) or tokenize(piece)
+    texts = ["Zorble quaffle, quaffle. quaffle", "quaffle Zorble. zorblé, a,. , .", "Zorble, " + "Zorble" * 20 + " it's, zorblé"]
+    for _ in range(2):
+        assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == [ids_of(plain, t) for t in texts]
+    short = [m for m in merged if len(m) < 40]
+    assert len(short) == len(set(short)) and {"Ġquaffle", "ĠZorble"} <= set(short)
+
+
 def written(documents, frame_ids):
     sink = pa.BufferOutputStream()
     writer = FrameWriter(sink, frame_ids)

@@ -67,9 +67,12 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = not added_tokens
         found = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
         self.added = [t.content for t in found if t.content]
-        self.tokenizer.model._resize_cache(0)  # pieces are remembered here
+        model = self.tokenizer.model
+        model._resize_cache(0)  # pieces are remembered here
+        self.tokenize = model.tokenize
         self.classes = load_table(packed_classes)
         # Ids as little-endian 32-bit numbers, so that a text's ids are one join of bytes.
+        self.packed = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.merged: dict[str, bytes] = {}
@@ -79,14 +82,14 @@ class ChunkEncoder:
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.space = self.shown[ord(" ")]
 
+    def _ids(self, mapped: str) -> bytes:
+        return b"".join([self.packed[t.id] for t in self.tokenize(mapped)])
+
     def _merge(self, piece: str) -> bytes:
         body = piece[1:]
         if body.isascii() and body.isalpha() and (piece[0] == " " or piece[0].isascii() and piece[0].isalpha()):
-            mapped = self.space + body if piece[0] == " " else piece  # letters stand for themselves
-        else:
-            mapped = piece.encode().decode("latin-1").translate(self.shown)
-        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return self._ids(self.space + body if piece[0] == " " else piece)  # letters stand for themselves
+        return self._ids(piece.encode().decode("latin-1").translate(self.shown))
 
     def _merge_once(self, piece: str) -> bytes:
         found = self.merged.get(piece)
@@ -102,7 +105,7 @@ class ChunkEncoder:
         """Ids of a space and a word of plain letters, which as a run of its own is remembered already."""
         found = self.later.get(body)
         if found is None:
-            found = self._merge(" " + body)
+            found = self._ids(self.space + body)
             if len(body) < 64:
                 self.later[body] = found
         return found
@@ -111,12 +114,14 @@ class ChunkEncoder:
         found, wanted = {}, []
         for c in chunks:
             # A word of plain letters is one piece; a full stop or comma after it another.
-            body = c[:-1] if c[-1] in ".," else c
-            if body.isascii() and body.isalpha():
-                ids = self._word(body) if prefix else self._merge_once(body)
-                found[c] = ids if body is c else ids + self._merge_once(c[-1])
-            else:
-                wanted.append(c)
+            if c.isascii():
+                if c.isalpha():
+                    found[c] = self._word(c) if prefix else self._merge_once(c)
+                    continue
+                if c[-1] in ".," and (body := c[:-1]).isalpha():
+                    found[c] = (self._word(body) if prefix else self._merge_once(body)) + self._merge_once(c[-1])
+                    continue
+            wanted.append(c)
         cut, upto = pieces([prefix + c for c in wanted], self.classes)
         ids = list(map(self.merged.get, cut))
         for i in [i for i, known_ids in enumerate(ids) if known_ids is None]:
