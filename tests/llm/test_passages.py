@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.conftest import by
 from tidemark.llm import passages
@@ -213,3 +214,36 @@ def test_empty_tables(documents):
     assert repeated_passages(documents([])).collect() == []
     assert remove_passages(documents([])).collect() == []
     assert by(remove_passages(documents([(1, None), (2, "a")])), "doc_id", "text") == [(1, None), (2, "a")]
+
+
+class _Rows:
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_documents_of_a_batch_are_chained_together_and_as_each_alone(monkeypatch):
+    rng, kind = np.random.default_rng(4), pa.struct([("h", pa.int32()), ("pos", pa.int32()), ("other", pa.int64()), ("other_pos", pa.int32())])
+    lists = []
+    for doc in range(5, 11):
+        parts = [(int(rng.integers(0, 4)), int(rng.integers(0, 900)), int(n)) for n in rng.integers(3, 80, doc - 5)]
+        places, at = [], 0
+        for other, begin, n in parts:
+            places += [{"h": (at + i) * 31, "pos": at + i, "other": other, "other_pos": begin + i} for i in range(n)]
+            at += n + int(rng.integers(0, 9))
+        lists.append([places[i] for i in rng.permutation(len(places))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5, 11), pa.int64()), pa.array(lists, pa.list_(kind))], ["doc", "matches"])
+    calls, real = [], passages.junctions
+    monkeypatch.setattr(passages, "junctions", lambda *a: calls.append(1) or real(*a))
+    run = passages._chain_documents(_Rows(), PassageRules())
+    together = [r for out in run(iter([batch])) for r in out.to_pylist()]
+    assert len(calls) == 1
+    alone = [r for i in range(6) for out in run(iter([batch.slice(i, 1)])) for r in out.to_pylist()]
+    assert sorted(map(repr, together)) == sorted(map(repr, alone))
+    assert {r["key"] is None for r in together} == {True, False}
+
+
+def test_repeats_within_a_text_count_once():
+    hashes = np.array([9, 9, 5, 9, 7, 5], np.uint64) << np.uint64(30)
+    packed = passages._packed(hashes, np.array([3, 0, 3]))
+    found = np.concatenate([np.frombuffer(b, np.uint32) for b in packed.column("hashes").to_pylist()])
+    assert found.tolist() == [5 << 10, 5 << 10, 7 << 10, 9 << 10, 9 << 10]

@@ -50,18 +50,29 @@ def _mix(keys: np.ndarray) -> np.ndarray:
     return keys
 
 
-def runs_of(text: bytes, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` words of one text by word position, letters A-Z lowered."""
-    words = text.lower().split()
-    n = len(words) - k + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    single = np.fromiter(map(crc32, words), np.uint64, len(words))
+def runs_of_all(texts: Sequence[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, their number by text) of all runs of ``k`` words by word position, letters A-Z lowered."""
+    found = []
+    for text in texts:
+        words = text.lower().split()
+        found.append(np.fromiter(map(crc32, words), np.uint64, len(words)))
+    single = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    total = len(single)
+    n = max(0, total - k + 1)
     mixed = single[:n].copy()
     for i in range(1, k):
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed += single[i : n + i]
-    return _mix(mixed)
+    counts = np.maximum(sizes - k + 1, 0)
+    # The last runs of a text go on into the next one.
+    within = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(counts, sizes)
+    return _mix(mixed[within[:n]]), counts
+
+
+def runs_of(text: bytes, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words of one text by word position, letters A-Z lowered."""
+    return runs_of_all([text], k)[0]
 
 
 def seeds_of(text: bytes, rules: PassageRules) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +108,20 @@ _HELD_HASHES = 1 << 21
 _BITMAP_TEXT_BYTES = 1 << 33
 
 
-def _packed(held: list[np.ndarray]) -> pa.RecordBatch:
-    """(bucket, hashes): sorted 32-bit numbers, none more than twice."""
-    found = np.sort(np.concatenate(held) >> np.uint64(32 - _BUCKET_BITS))
+def _packed(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """(bucket, hashes): sorted 32-bit numbers, none more than twice, of texts with so many hashes each."""
+    bits = np.uint64(_BUCKET_BITS + 32)
+    found = hashes >> (np.uint64(64) - bits)
+    # A text's repeats count once. With its number behind the hash one sort finds them, while both fit.
+    if len(counts) <= 1 << int(np.uint64(64) - bits):
+        tagged = found << (np.uint64(64) - bits) | np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+        tagged.sort()
+        once = np.ones(len(tagged), bool)
+        once[1:] = tagged[1:] != tagged[:-1]
+        found = tagged[once] >> (np.uint64(64) - bits)
+    else:
+        cuts = np.concatenate(([0], np.cumsum(counts))).tolist()
+        found = np.sort(np.concatenate([np.unique(found[i:j]) for i, j in zip(cuts, cuts[1:])]))
     often = np.zeros(len(found), bool)
     often[2:] = found[2:] == found[:-2]
     found = found[~often]
@@ -121,14 +143,13 @@ def _shared_cells(docs: DataFrame, rules: PassageRules) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in slices(batches):
-            for t in as_bytes(batch.column("text")):
-                held.append(np.unique(runs_of(t, rules.k)))
-                size += len(held[-1])
-                if size >= _HELD_HASHES:
-                    yield _packed(held)
-                    held, size = [], 0
+            held.append(runs_of_all(as_bytes(batch.column("text")), rules.k))
+            size += len(held[-1][0])
+            if size >= _HELD_HASHES:
+                yield _packed(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
         if size:
-            yield _packed(held)
+            yield _packed(*map(np.concatenate, zip(*held)))
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,18 +177,16 @@ def seeds(docs: DataFrame, rules: PassageRules, cells: Broadcast | None, *, once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [runs_of(t, rules.k) for t in as_bytes(batch.column("text"))]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            row = np.repeat(np.arange(len(found)), sizes)
+            h, sizes = runs_of_all(as_bytes(batch.column("text")), rules.k)
+            row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(row), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
-            h = np.concatenate(found)
             if cells is not None:
                 cell = h >> np.uint64(64 - _BUCKET_BITS - _CELL_BITS)
                 bits = cells.value[(cell >> np.uint64(3)).astype(np.int64)] << (cell & np.uint64(7)).astype(np.uint8)
                 kept = np.nonzero(bits & 128)[0]
                 h, row, pos = h[kept], row[kept], pos[kept]
             if once:
-                cuts = np.searchsorted(row, np.arange(len(found) + 1)).tolist()
+                cuts = np.searchsorted(row, np.arange(len(sizes) + 1)).tolist()
                 kept = [np.unique(h[a:b], return_index=True)[1] + a for a, b in zip(cuts, cuts[1:]) if b > a]
                 kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 h, row, pos = h[kept], row[kept], pos[kept]
@@ -262,31 +281,35 @@ def chains(pos: np.ndarray, other: np.ndarray, max_gap: int) -> list[np.ndarray]
     return found
 
 
-def _breaks(other: np.ndarray, pos: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Starts of the stretches, with the end: neighbouring places that point at neighbouring places."""
-    going_on = (np.diff(pos) == 1) & (np.diff(at) == 1) & (np.diff(other) == 0)
+def _breaks(row: np.ndarray, other: np.ndarray, pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Starts of the stretches, with the end: neighbouring places of a row that point at neighbouring places."""
+    going_on = (np.diff(pos) == 1) & (np.diff(at) == 1) & (np.diff(other) == 0) & (np.diff(row) == 0)
     return np.concatenate(([0], np.nonzero(~going_on)[0] + 1, [len(pos)]))
 
 
-def unsettled_runs(h: np.ndarray, pos: np.ndarray, stretch: np.ndarray, rules: PassageRules) -> tuple[np.ndarray, np.ndarray]:
-    """(key, position) of the runs of ``min_words`` words whose seeds are all shared, but whose seeds'
+def unsettled_runs(
+    row: np.ndarray, h: np.ndarray, pos: np.ndarray, stretch: np.ndarray, rules: PassageRules
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, position) of the runs of ``min_words`` words whose seeds are all shared, but whose seeds'
     first places do not stand in one stretch. Both depend on the words alone, so whoever holds such
     a run lists it.
     """
     span = rules.min_words - rules.k
     n = len(pos) - span
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    at = np.nonzero((pos[span:] - pos[:n] == span) & (stretch[span:] != stretch[:n]))[0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    at = np.nonzero((pos[span:] - pos[:n] == span) & (stretch[span:] != stretch[:n]) & (row[span:] == row[:n]))[0]
     keys, seed = np.zeros(len(at), np.uint64), h.astype(np.int64).view(np.uint64)
     for i in sorted({*range(0, span, rules.k), span}):
         keys *= np.uint64(0x9E3779B97F4A7C15)
         keys += seed[at + i]
-    return _mix(keys).view(np.int64), pos[at]
+    return row[at], _mix(keys).view(np.int64), pos[at]
 
 
-def junctions(pos: np.ndarray, other: np.ndarray, at: np.ndarray, starts: np.ndarray, rules: PassageRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, places, offset) where a part that first stands in one document meets one of another.
+def junctions(
+    row: np.ndarray, pos: np.ndarray, other: np.ndarray, at: np.ndarray, starts: np.ndarray, rules: PassageRules
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, places, offset) where a part that first stands in one document meets one of another.
 
     A part is a diagonal of matches: one other document, one difference of positions, no gap above
     ``max_gap``. The key is made of both documents and of how far the two differences lie apart, so
@@ -295,24 +318,25 @@ def junctions(pos: np.ndarray, other: np.ndarray, at: np.ndarray, starts: np.nda
     first part's difference. ``starts`` are those of the stretches, of which diagonals are made.
     """
     begin, end = starts[:-1], starts[1:] - 1
-    o, p, q = other[begin], pos[begin].astype(np.int64), pos[end].astype(np.int64)
+    r, o, p, q = row[begin], other[begin], pos[begin].astype(np.int64), pos[end].astype(np.int64)
     d = p - at[begin]
-    order = np.lexsort((p, d, o))
-    o, d, p, q = o[order], d[order], p[order], q[order]
-    cuts = np.nonzero((np.diff(o) != 0) | (np.diff(d) != 0) | (p[1:] - q[:-1] > rules.max_gap))[0] + 1
+    order = np.lexsort((p, d, o, r))
+    r, o, d, p, q = r[order], o[order], d[order], p[order], q[order]
+    cuts = np.nonzero((np.diff(r) != 0) | (np.diff(o) != 0) | (np.diff(d) != 0) | (p[1:] - q[:-1] > rules.max_gap))[0] + 1
     first, last = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(p)])) - 1
     spans = q[last] - p[first] + rules.k >= rules.least_part
     first, last = first[spans], last[spans]
-    order = np.argsort(p[first], kind="stable")
+    order = np.lexsort((p[first], r[first]))
     first, last = first[order], last[order]
     a, b = slice(None, -1), slice(1, None)
-    meet = (o[first[a]] != o[first[b]]) & (p[first[b]] - q[last[a]] <= rules.max_gap) & (q[last[b]] > q[last[a]])
+    meet = (r[first[a]] == r[first[b]]) & (o[first[a]] != o[first[b]])
+    meet &= (p[first[b]] - q[last[a]] <= rules.max_gap) & (q[last[b]] > q[last[a]])
     i, j = np.nonzero(meet)[0], np.nonzero(meet)[0] + 1
     keys = o[first[i]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     keys = _mix(keys + o[first[j]].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     keys = _mix(keys + (d[first[j]] - d[first[i]]).view(np.uint64))
     places = np.stack([p[first[i]], q[last[i]], p[first[j]], q[last[j]]], axis=1).astype(np.int32)
-    return keys.view(np.int64), places, d[first[i]].astype(np.int32)
+    return r[first[i]], keys.view(np.int64), places, d[first[i]].astype(np.int32)
 
 
 # Candidate links have no key; runs and junctions looked up by key have no other, and only junctions have places.
@@ -328,46 +352,42 @@ def _chain_documents(matches: DataFrame, rules: PassageRules) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, list[int], list[int]]] = []
-            keys, places, holders, ends_of = [], [], [], []
-            column = batch.column("matches")
-            cuts, flat = column.offsets.to_numpy(), column.values
+            column, docs = batch.column("matches"), batch.column("doc").to_numpy()
+            cuts, flat = column.offsets.to_numpy(), column.flatten()
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(len(docs)), np.diff(cuts))
             columns = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            for doc, i, j in zip(batch.column("doc").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
-                order = np.argsort(columns[1][i:j], kind="stable") + i
-                h, pos, other, at = (c[order] for c in columns)
-                starts = _breaks(other, pos, at)
-                stretch = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                key, place = unsettled_runs(h, pos, stretch, rules)
-                keys.append(key)
-                places.append(place)
-                holders.append(np.full(len(key), doc, np.int64))
-                ends_of += [None] * len(key)
-                key, four, place = junctions(pos, other, at, starts, rules)
-                keys.append(key)
-                places.append(place)
-                holders.append(np.full(len(key), doc, np.int64))
-                ends_of += four.tolist()
-                for a, b in zip(starts[:-1].tolist(), (starts[1:] - 1).tolist()):
-                    if b - a + rules.k >= rules.min_words and other[a] != doc:
-                        out.append((doc, int(other[a]), [int(pos[a]), int(pos[b])], [int(at[a]), int(at[b])]))
-                # Of a stretch every fourth place and the last are enough for chains.
-                ends = np.zeros(len(pos), bool)
-                ends[starts[1:] - 1] = True
-                some = (((np.arange(len(pos)) - starts[stretch]) % 4 == 0) | ends) & (other != doc)
-                pos, other, at = pos[some], other[some], at[some]
-                order = np.argsort(other, kind="stable")
-                names = other[order]
-                edges = np.concatenate(([0], np.nonzero(np.diff(names))[0] + 1, [len(names)])).tolist()
-                for a, b in zip(edges, edges[1:]):
-                    if b - a < 2:
-                        continue
-                    x, y = pos[order[a:b]], at[order[a:b]]
-                    if x.max() - x.min() + rules.k < least:
-                        continue
-                    for chain in chains(x, y, rules.max_gap):
-                        if x[chain[-1]] - x[chain[0]] + rules.k >= least:
-                            out.append((doc, int(names[a]), x[chain].tolist(), y[chain].tolist()))
-            more = sum(map(len, keys))
+            # Rows stay where they are; the places of each are put in order.
+            order = np.lexsort((columns[1], row))
+            h, pos, other, at = (c[order] for c in columns)
+            starts = _breaks(row, other, pos, at)
+            stretch = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            holder, key, place = unsettled_runs(row, h, pos, stretch, rules)
+            meeting, joint, four, offset = junctions(row, pos, other, at, starts, rules)
+            own = docs[row]
+            first, last = starts[:-1], starts[1:] - 1
+            equal = (last - first + rules.k >= rules.min_words) & (other[first] != own[first])
+            for a, b in zip(first[equal].tolist(), last[equal].tolist()):
+                out.append((int(own[a]), int(other[a]), [int(pos[a]), int(pos[b])], [int(at[a]), int(at[b])]))
+            # Of a stretch every fourth place and the last are enough for chains.
+            ends = np.zeros(len(pos), bool)
+            ends[last] = True
+            some = (((np.arange(len(pos)) - starts[stretch]) % 4 == 0) | ends) & (other != own)
+            row, pos, other, at = row[some], pos[some], other[some], at[some]
+            order = np.lexsort((other, row))
+            row, pos, other, at = row[order], pos[order], other[order], at[order]
+            edges = np.nonzero((np.diff(row, prepend=-1) != 0) | (np.diff(other, prepend=0) != 0))[0]
+            upto = np.append(edges[1:], len(row))
+            wide = (upto - edges >= 2) & (pos[upto - 1] - pos[edges] + rules.k >= least) if len(row) else slice(0)
+            for a, b in zip(edges[wide].tolist(), upto[wide].tolist()):
+                x, y = pos[a:b], at[a:b]
+                for chained in chains(x, y, rules.max_gap):
+                    if x[chained[-1]] - x[chained[0]] + rules.k >= least:
+                        out.append((int(docs[row[a]]), int(other[a]), x[chained].tolist(), y[chained].tolist()))
+            keys, holders = [key, joint], [docs[holder], docs[meeting]]
+            places, ends_of = [place, offset], [None] * len(key) + four.tolist()
+            more = len(ends_of)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([np.array([r[0] for r in out], np.int64), *holders])),
@@ -416,7 +436,7 @@ def _equal_runs(runs: DataFrame, rules: PassageRules) -> DataFrame:
             for doc, i, j in zip(batch.column("doc").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
                 order = np.argsort(columns[0][i:j], kind="stable") + i
                 at, other, place = (c[order] for c in columns)
-                starts = _breaks(other, at, place)
+                starts = _breaks(np.zeros_like(at), other, at, place)
                 first, last = starts[:-1], starts[1:] - 1
                 chosen = covering(list(zip(at[first].tolist(), (at[last] + rules.min_words).tolist())))
                 for a, b in zip(first[chosen].tolist(), last[chosen].tolist()):
