@@ -169,3 +169,81 @@ def test_bands_joined_by_a_shuffle_give_the_same_verdicts(documents, monkeypatch
     sent = by(quality_rules(documents(rows), rules), *columns)
     monkeypatch.setattr(perplexity, "MOST_LANGUAGES", 0)
     assert by(quality_rules(documents(rows), rules), *columns) == sent and len(sent) == 60
+
+
+def kneser_ney_of_points(texts, model):
+    """The model of code points by dictionaries, from the definition; below it the model of classes."""
+    symbols, shares = symbol_table(), model.log_shares().astype(float)
+    counts = [Counter() for _ in range(ORDER + 1)]
+    for t in texts:
+        padded = "\n" * (ORDER - 1) + t
+        counts[ORDER].update(padded[i : i + ORDER] for i in range(len(t)))
+    for order in range(ORDER - 1, 0, -1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+    cuts, totals, left = [None], [None], [None]
+    for order in range(1, ORDER + 1):
+        kinds = Counter(counts[order].values())
+        n = [0, *(kinds[i] for i in range(1, 5))]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = {i: max(0.0, i - (i + 1) * y * n[i + 1] / n[i]) if n[i] else 0.5 for i in (1, 2, 3)}
+        total, mass = Counter(), defaultdict(float)
+        for g, c in counts[order].items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += d[min(c, 3)]
+        cuts.append(d)
+        totals.append(total)
+        left.append(mass)
+
+    def p(gram, whole):
+        if not gram:
+            key = sum(int(symbols[ord(c)]) << 6 * (ORDER - 1 - i) for i, c in enumerate(whole))
+            return math.exp(model.log_probabilities(np.array([key], np.uint32))[0] + shares[ord(whole[-1])])
+        k, before, c = len(gram), gram[:-1], counts[len(gram)][gram]
+        own = (c - cuts[k][min(c, 3)]) / totals[k][before] if c else 0.0
+        return own + left[k][before] / totals[k][before] * p(gram[1:], whole)
+
+    return {g: p(g, g) for g in counts[ORDER]}
+
+
+def point_logs(model):
+    return {
+        "".join(chr(r["context"] >> 21 * i & 0x1FFFFF) for i in (2, 1, 0)) + chr(r["point"]): r["log"] for r in model.collect()
+    }
+
+
+def test_every_code_point_counts_in_contexts(spark, texts):
+    texts = [*texts, "Ab ABBA 一丅\U0001f600\U0010ffff", "丅一 zE", "", "A"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    expected = kneser_ney_of_points(texts, train_model(df))
+    found = point_logs(perplexity.point_model(df))
+    assert found.keys() == expected.keys()
+    assert all(math.isclose(found[g], math.log(expected[g]), abs_tol=1e-5) for g in found)
+
+
+def test_texts_alike_by_class_differ_by_their_code_points(documents):
+    # Capitals, digits and code points five apart are of one class each; what follows them is not the same.
+    rows = [(i, "Ax 1y 一z Bq 2r 丅s " * 5, "en") for i in range(60)]
+    rows += [(100, "Bx 2y 丅z Aq 1r 一s ", "en")]
+    symbols = symbol_table()
+    as_classes = {tuple(int(symbols[ord(c)]) for c in t[:18]) for _, t, _ in (rows[0], rows[-1])}
+    assert len(as_classes) == 1
+    got = {r["doc_id"]: r["perplexity"] for r in quality_rules(documents(rows)).collect()}
+    assert got[100] > 1.5 * got[0]
+
+
+def test_n_grams_of_many_code_points_and_in_pieces(spark, documents, texts, monkeypatch):
+    def grams(texts):
+        contexts, points, which, ends = perplexity.grams_of(texts)
+        return list(zip(contexts[which].tolist(), points[which].tolist())), ends.tolist()
+
+    wide = ["".join(map(chr, random.Random(4).choices(range(0x3400, 0x3500), k=900))), "", "\U0010ffff" * 5, "ab"]
+    packed = grams(wide)
+    monkeypatch.setattr(perplexity, "_PACKED", 2)
+    assert grams(wide) == packed and packed[1] == [900, 900, 905, 907]
+    monkeypatch.undo()
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    whole = by(quality_rules(documents(rows)), "doc_id", "perplexity")
+    for name, size in (("_HELD", 4), ("_LOOKED_UP_BYTES", 100), ("_PIECE", 7), ("_SCORED_BYTES", 64)):
+        monkeypatch.setattr(perplexity, name, size)
+    for (i, a), (j, b) in zip(whole, by(quality_rules(documents(rows)), "doc_id", "perplexity")):
+        assert i == j and math.isclose(a, b, rel_tol=1e-9)
