@@ -221,3 +221,27 @@ def test_missing_numbers_are_not_imputed(model, rows):
     design = model.design(row.withColumn("fico_n", F.lit(None).cast("double")))
     assert design.first()["fico_n"] is None
     assert {t.missing_left.any() for t in model.forest.trees} <= {True, False}
+
+
+def test_leaves_of_a_branch_share_a_look_up(monkeypatch):
+    """Trees of depth 5 need at most 8 look-ups, and contributions are those of leaf by leaf."""
+    rng = np.random.default_rng(5)
+
+    def grow(nodes, at, d, cover):
+        if d == 5 or (d > 2 and rng.random() < 0.1):
+            nodes[at] = leaf(rng.normal(), cover)
+            return nodes
+        share = rng.uniform(0.2, 0.8)
+        nodes[at] = node(int(rng.integers(6)), rng.random(), 2 * at + 1, 2 * at + 2, cover, bool(rng.integers(2)))
+        grow(nodes, 2 * at + 1, d + 1, cover * share)
+        return grow(nodes, 2 * at + 2, d + 1, cover * (1 - share))
+
+    trees = [grow({}, 0, 0, 400.0) for _ in range(5)]
+    x = rng.random((200, 6))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    shared = attribution.tables_of(trees, [1.0] * 5)
+    assert all(len(t.branches) + len(t.leaves) <= 8 for t in shared.trees)
+    monkeypatch.setattr(attribution, "_BRANCH_SPLITS", 0)
+    alone = attribution.tables_of(trees, [1.0] * 5)
+    assert not any(t.branches for t in alone.trees)
+    assert shared.contributions(x) == pytest.approx(alone.contributions(x), abs=1e-12)

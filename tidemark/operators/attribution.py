@@ -2,7 +2,8 @@
 
 A leaf contributes to a row only through which inputs of its path the row satisfies. Short
 paths have few such patterns, so each of their leaves gets a table from pattern to
-contributions (Yang 2021) and a row costs one look-up per leaf. Long paths are extended and
+contributions (Yang 2021). Leaves of a branch that few splits decide share one table from the
+outcomes of these splits, so a row costs one look-up per branch. Long paths are extended and
 unwound for all rows of a batch at once.
 """
 
@@ -24,6 +25,8 @@ TOP_FEATURES = 20
 TOP_CONTRIBUTIONS = 8
 # Inputs on a path up to which a leaf has a table (of 2^inputs x inputs numbers).
 _TABLE_INPUTS = 7
+# Splits, on the path to a branch and in it, up to which its leaves share a table (of 2^splits x inputs numbers).
+_BRANCH_SPLITS = 6
 
 
 @dataclass(frozen=True)
@@ -35,12 +38,54 @@ class Leaf:
     table: np.ndarray | None  # input x pattern -> contribution
 
 
+@dataclass(frozen=True)
+class Branch:
+    """Leaves that the same few splits decide: what they add to each input by the outcomes of the splits."""
+
+    splits: tuple[int, ...]
+    features: tuple[int, ...]
+    table: np.ndarray  # input x outcomes -> contribution
+
+
+def _branch(leaves: Sequence[Leaf]) -> Branch:
+    splits = sorted({split for leaf in leaves for turns in leaf.turns for split, _ in turns})
+    features = sorted({f for leaf in leaves for f in leaf.features})
+    table, outcomes = np.zeros((len(features), 1 << len(splits))), np.arange(1 << len(splits))
+    for leaf in leaves:
+        pattern = np.zeros(len(outcomes), np.int64)
+        for j, turns in enumerate(leaf.turns):
+            hit = np.ones(len(outcomes), bool)
+            for split, goes_left in turns:
+                hit &= (outcomes >> splits.index(split) & 1 == 1) == goes_left
+            pattern |= hit.astype(np.int64) << j
+        for f, column in zip(leaf.features, leaf.table):
+            table[features.index(f)] += column[pattern]
+    return Branch(tuple(splits), tuple(features), table)
+
+
+def _branches(leaves: Sequence[Leaf]) -> tuple[list[Branch], list[Leaf]]:
+    """Branches of neighbouring leaves that have tables, and the leaves that stay alone."""
+    branches, alone, held, decided = [], [], [], set()
+    for leaf in leaves:  # in order along the tree, so that neighbours share the most splits
+        own = {split for turns in leaf.turns for split, _ in turns}
+        if leaf.table is None or len(own) > _BRANCH_SPLITS:
+            alone.append(leaf)
+            continue
+        if held and len(decided | own) > _BRANCH_SPLITS:
+            branches.append(_branch(held))
+            held, decided = [], set()
+        held.append(leaf)
+        decided |= own
+    return branches + ([_branch(held)] if held else []), alone
+
+
 @dataclass(frozen=True)
 class TreePaths:
     """Leaves of one tree, and its splits: input, threshold and the side of missing values."""
 
     splits: tuple[tuple[int, float, bool], ...]
     leaves: tuple[Leaf, ...]
+    branches: tuple[Branch, ...] = ()
 
     def add_contributions(self, x: np.ndarray, out: np.ndarray) -> None:
         """``x``, ``out``: inputs x rows."""
@@ -51,7 +96,15 @@ class TreePaths:
             if missing_left:
                 goes |= np.isnan(v)
             left.append(goes)
-        right = [~goes for goes in left]
+        bits = [goes.view(np.uint8) for goes in left]
+        for branch in self.branches:
+            pattern = np.zeros(x.shape[1], np.uint8)
+            for j, split in enumerate(branch.splits):
+                pattern |= bits[split] << np.uint8(j)
+            index = pattern.astype(np.intp)  # once for all inputs
+            for feature, column in zip(branch.features, branch.table):
+                out[feature] += np.take(column, index)
+        right = [~goes for goes in left] if self.leaves else []
         for leaf in self.leaves:
             hits = []
             for turns in leaf.turns:
@@ -182,7 +235,11 @@ def tables_of(trees: Sequence[dict[int, dict]], weights: Sequence[float], base:
     leaves_of: list[list[Leaf]] = [[] for _ in splits]
     for owner, (path, value), zero, table in zip(owners, paths, zeros, tables):
         leaves_of[owner].append(Leaf(tuple(path), tuple(turns for turns, _ in path.values()), zero, value, table))
-    return TreeTables(tuple(TreePaths(s, tuple(leaves)) for s, leaves in zip(splits, leaves_of)), base)
+    made = []
+    for own, leaves in zip(splits, leaves_of):
+        branches, alone = _branches(leaves)
+        made.append(TreePaths(own, tuple(alone), tuple(branches)))
+    return TreeTables(tuple(made), base)
 
 
 def _fold(inputs: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]]) -> np.ndarray:
