@@ -177,3 +177,47 @@ def test_the_lighter_of_two_siblings_is_counted():
     p = TreeParams(trees=1, depth=4, learning_rate=0.3)
     boosting.grow(Source(random_block(5_000), p), [np.arange(19.0)] * 4, 0, p)
     assert len(weights) == 4 and all(2 * w <= weights[0] for w in weights[1:])
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_many_tasks_boost_in_jobs_that_do_not_grow_with_the_trees(spark, table, monkeypatch):
+    monkeypatch.setattr(boosting, "_BLOCK_ROWS", 300)
+
+    def grown(trees):
+        p = TreeParams(trees=trees, depth=3, learning_rate=0.3, subsample=0.7, colsample=0.67, min_child_weight=2.0)
+        cuts = [np.arange(1, 10), [0.25, 0.5, 0.75], [0, 1]]
+        return boost(table.repartition(9), INPUTS, p, label="y", id_column="key", cuts=cuts, task_rows=600)
+
+    few, jobs_of_few = jobs_of(spark, "boost-2", lambda: grown(2))
+    many, jobs_of_many = jobs_of(spark, "boost-7", lambda: grown(7))
+    assert 0 < jobs_of_few == jobs_of_many and len(many.trees) == 7 and many.rows()[: len(few.rows())] == few.rows()
+    # Where the tasks cannot run side by side, jobs of a level each grow the same trees.
+    monkeypatch.setattr(boosting, "_side_by_side", lambda spark: 0)
+    spread, jobs_of_spread = jobs_of(spark, "boost-spread", lambda: grown(7))
+    assert spread.rows() == many.rows() and jobs_of_spread > jobs_of_many
+
+
+def test_rows_ranked_once_get_the_margins_of_the_trees(spark, table, monkeypatch):
+    p = TreeParams(trees=6, depth=4, learning_rate=0.3)
+    forest = boost(table, INPUTS, p, label="y", id_column="key")
+    rows = table.select(*INPUTS, forest.margin(spark).alias("m")).toPandas()
+    expected = np.full(len(rows), forest.base)
+    for tree in forest.trees:
+        expected += tree.margins(rows[INPUTS].to_numpy(float))
+    assert (rows["m"].to_numpy() == expected).all()
+    thresholds, ranked = forest._by_rank()
+    assert ranked is not None and max(map(len, thresholds)) > 3
+    step = Forest((boosting.Tree(np.array([0, -1, -1]), np.array([0.5, 0, 0]), np.zeros(3, int), np.array([True, False, False]),
+                                 np.array([1, -1, -1]), np.array([2, -1, -1]), np.array([0.0, 1.0, 2.0]), np.ones(3)),), 0.0, ("a",))
+    wide = Forest(tuple(boosting.replace(step.trees[0], threshold=np.array([t, 0, 0])) for t in np.arange(300.0)), 0.0, ("a",))
+    assert step._by_rank()[1] is not None and wide._by_rank()[1] is None  # more thresholds than a byte tells apart
+    found = spark.createDataFrame([(0.0,), (150.5,), (None,)], "a double").select(wide.margin(spark).alias("m"))
+    assert [r["m"] for r in found.collect()] == [300.0, 451.0, 300.0]

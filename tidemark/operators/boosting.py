@@ -5,22 +5,27 @@ tree is one pass over the binned rows: tasks add up gradients and hessians per n
 bin, the sums are merged in a tree of tasks, and the driver picks one split per node from them.
 Gradients are whole numbers (fixed point), so that sums, splits and trees do not depend on how
 rows are dealt out. Rows that are no more than a task is given anyway are boosted inside that
-task, with the same sums and the same trees, since there is nothing to merge.
+task, with the same sums and the same trees, since there is nothing to merge. Rows that the tasks
+which can run side by side hold between them are boosted in one job: each task keeps its rows and
+grows all trees, and the tasks exchange their sums through the shared folder.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyarrow import fs
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, work_dir
 
 # Values 0 to 254 of a bin are ranges between cuts, 255 is missing.
 MISSING = 255
@@ -30,10 +35,14 @@ _UNIT = 1 << 20
 # Rows of a block (one row of the binned table) and of a task.
 _BLOCK_ROWS = 1 << 14
 _TASK_ROWS = 1 << 20
+# Rows, of about 120 bytes, that each of several tasks keeps while they boost together.
+_KEPT_ROWS = 1 << 22
 # Sums of this many tasks are merged by one.
 _FAN_IN = 32
 # Margins are written after this many trees; those grown since are applied anew in each pass.
 _TREES_PER_STATE = 8
+# Seconds that a task waits for the sums of another.
+_PATIENCE = 3600
 # Rows below which one more task is not worth its start.
 _FEWEST_ROWS = 1 << 16
 # Nodes of a tree up to which all of its splits are decided for all rows, which costs less than to follow
@@ -162,18 +171,40 @@ class Forest:
 
     def margin(self, spark: SparkSession) -> Column:
         """Log-odds as a column over the input columns (doubles; null is missing). Stays in the row's task."""
-        shared = spark.sparkContext.broadcast(self)
+        shared = spark.sparkContext.broadcast((self, self._by_rank()))
 
         def add_up(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            total = np.full(len(x), shared.value.base)
-            for tree in shared.value.trees:
-                total += tree.margins(x)
+            forest, (thresholds, ranked) = shared.value
+            total = np.full(len(columns[0]), forest.base)
+            if ranked is None:
+                x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+                for tree in forest.trees:
+                    total += tree.margins(x)
+            else:
+                bins = np.stack([bin_of(c.to_numpy(dtype=float), t) for c, t in zip(columns, thresholds)])
+                for tree in ranked:
+                    total += tree.value[tree.leaves_of_bins(bins)]
             return pd.Series(total)
 
         add_up.__annotations__ = {"columns": pd.Series, "return": pd.Series}
         return F.pandas_udf(add_up, "double")(*[F.col(f"`{c}`").cast("double") for c in self.inputs])
 
+    def _by_rank(self) -> tuple[list[np.ndarray], tuple[Tree, ...] | None]:
+        """Thresholds of each input and the trees with the rank of theirs as cut, so that rows can be ranked once
+        for all trees; no trees where an input has more thresholds than bins."""
+        inner = [tree.feature >= 0 for tree in self.trees]
+        feature = np.concatenate([np.zeros(0, int), *[t.feature[i] for t, i in zip(self.trees, inner)]])
+        threshold = np.concatenate([np.zeros(0), *[t.threshold[i] for t, i in zip(self.trees, inner)]])
+        by_input = [np.unique(threshold[feature == f]) for f in range(len(self.inputs))]
+        if any(len(t) >= MISSING for t in by_input):
+            return by_input, None
+        ranked = []
+        for tree, some in zip(self.trees, inner):
+            cut = np.zeros(len(tree.cut), np.int32)
+            cut[some] = [np.searchsorted(by_input[f], t) for f, t in zip(tree.feature[some], tree.threshold[some])]
+            ranked.append(replace(tree, cut=cut))
+        return by_input, tuple(ranked)
+
     def rows(self) -> list[tuple]:
         """One row per node; the base value is that of a tree -1."""
         rows = [(-1, 0, -1, 0.0, 0, False, -1, -1, float(self.base), 0.0)]
@@ -332,6 +363,79 @@ class _InTask:
         self.margin += tree.value[tree.leaves_of_bins(self.block.bins)]
 
 
+class _Exchange:
+    """Sums over the tasks of a barrier stage, by files in a folder that all of them reach.
+
+    Up to ``_FAN_IN`` tasks read the sums of one another; of more, groups are added up by one of their tasks first.
+    A task waits for files, not at a barrier, which Spark looks at only now and then.
+    """
+
+    def __init__(self, folder: str):
+        self.task = BarrierTaskContext.get()
+        self.system, self.folder = fs.FileSystem.from_uri(folder)
+        # Numbers that no other attempt has, so that files of a failed one are not taken for those of this.
+        self.names = self.task.allGather(str(self.task.taskAttemptId()))
+        self.place, self.round, self.old = self.task.partitionId(), 0, []
+
+    def _put(self, kind: str, sums: np.ndarray) -> str:
+        path = self._path(kind, self.place)
+        with self.system.open_output_stream(f"{path}.part", compression=None) as sink:
+            sink.write(sums.tobytes())
+        self.system.move(f"{path}.part", path)
+        return path
+
+    def _path(self, kind: str, place: int) -> str:
+        return f"{self.folder}/{kind}-{self.round}-{self.names[place]}"
+
+    def _total(self, kind: str, places: range, shape: tuple[int, ...]) -> np.ndarray:
+        total, left = np.zeros(shape, np.int64), [self._path(kind, place) for place in places]
+        pause, until = 0.001, time.monotonic() + _PATIENCE
+        while left:
+            there = [x.path for x in self.system.get_file_info(left) if x.type == fs.FileType.File]
+            for path in there:
+                with self.system.open_input_file(path) as source:
+                    total += np.frombuffer(source.read(), np.int64).reshape(shape)
+            if there:
+                left, pause = [path for path in left if path not in set(there)], 0.001
+            elif time.monotonic() > until:
+                raise TimeoutError(f"no sums of {len(left)} tasks, {left[0]} among them")
+            else:
+                time.sleep(pause)
+                pause = min(2 * pause, 0.05)
+        return total
+
+    def add_up(self, sums: np.ndarray) -> np.ndarray:
+        kind, step, tasks, written = "task", 1, len(self.names), [self._put("task", sums)]
+        while -(-tasks // step) > _FAN_IN:
+            wide = step * _FAN_IN
+            if self.place % wide == 0:
+                total = self._total(kind, range(self.place, min(self.place + wide, tasks), step), sums.shape)
+                written.append(self._put(f"group{wide}", total))
+            kind, step = f"group{wide}", wide
+        total = self._total(kind, range(0, tasks, step), sums.shape)
+        # These files hold sums of all tasks, each of which had read all of the round before.
+        for path in self.old:
+            self.system.delete_file(path)
+        self.old, self.round = written, self.round + 1
+        return total
+
+    def close(self) -> None:
+        self.task.barrier()
+        for path in self.old:
+            self.system.delete_file(path)
+
+
+class _Together(_InTask):
+    """Histograms of rows that several tasks keep; all of them get the same sums and grow the same trees."""
+
+    def __init__(self, block: _Block, p: TreeParams, exchange: _Exchange):
+        super().__init__(block, p)
+        self.exchange = exchange
+
+    def histograms(self, *asked) -> np.ndarray:
+        return self.exchange.add_up(super().histograms(*asked))
+
+
 def _summed(parts: DataFrame, tasks: int, shape: tuple[int, ...]) -> np.ndarray:
     """The sums of all tasks; while there are many, groups of them are added up by tasks first."""
 
@@ -509,19 +613,54 @@ def _boosted(source: _InTask | _Spread, cuts: Sequence[np.ndarray], p: TreeParam
     return tuple(trees)
 
 
-def _boosted_in_task(state: DataFrame, cuts: Sequence[np.ndarray], p: TreeParams, inputs: Sequence[str]) -> tuple[Tree, ...]:
-    names = [f.split()[0].strip("`") for f in _NODE.split(", ")]
+_NAMES = [f.split()[0].strip("`") for f in _NODE.split(", ")]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], inputs: int) -> _Block:
+    blocks = list(_blocks(batches))
+    if not blocks:
+        return _Block(*[np.zeros(shape, kind) for shape, kind in (((inputs, 0), np.uint8), (0, np.uint8), (0, np.int64), (0, float))])
+    return _Block(*[np.concatenate([getattr(b, f) for b in blocks], axis=-1) for f in ("bins", "label", "draw", "margin")])
+
 
+def _node_batch(trees: tuple[Tree, ...], inputs: Sequence[str]) -> pa.RecordBatch:
+    rows = Forest(trees, 0.0, tuple(inputs)).rows()
+    return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=_NAMES).astype(_NODE_TYPES), preserve_index=False)
+
+
+def _boosted_in_task(state: DataFrame, cuts: Sequence[np.ndarray], p: TreeParams, inputs: Sequence[str]) -> tuple[Tree, ...]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = list(_blocks(batches))  # at most _TASK_ROWS rows of about 40 bytes
-        if blocks:
-            whole = _Block(*[np.concatenate([getattr(b, f) for b in blocks], axis=-1) for f in ("bins", "label", "draw", "margin")])
-            rows = Forest(_boosted(_InTask(whole, p), cuts, p), 0.0, tuple(inputs)).rows()
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names).astype(_NODE_TYPES), preserve_index=False)
+        whole = _whole(batches, len(cuts))  # at most _TASK_ROWS rows of about 40 bytes
+        if len(whole.label):
+            yield _node_batch(_boosted(_InTask(whole, p), cuts, p), inputs)
 
     return Forest.of_table(state.mapInArrow(run, _NODE), inputs).trees
 
 
+def _side_by_side(spark: SparkSession) -> int:
+    """Tasks that run at once for certain; none while the cluster may give executors back."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    sc = spark.sparkContext._jsc.sc()
+    return sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile())
+
+
+def _boosted_together(blocks: DataFrame, tasks: int, cuts: Sequence[np.ndarray], p: TreeParams, inputs: Sequence[str]) -> tuple[Tree, ...]:
+    folder = f"{work_dir(blocks.sparkSession)}/sums-{uuid.uuid4().hex[:12]}"
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    system, place = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+    system.create_dir(place, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, exchange = _whole(batches, len(cuts)), _Exchange(folder.replace("s3a://", "s3://", 1))
+        trees = _boosted(_Together(whole, p, exchange), cuts, p)
+        exchange.close()
+        if exchange.place == 0:
+            yield _node_batch(trees, inputs)
+
+    return Forest.of_table(blocks.repartition(tasks).mapInArrow(run, _NODE, barrier=True), inputs).trees
+
+
 def boost(
     df: DataFrame,
     inputs: Sequence[str],
@@ -536,8 +675,8 @@ def boost(
     """Fit a forest to the 0/1 column ``label``; null and NaN inputs are missing.
 
     Rows of a tree are drawn by a hash of ``id_column``, columns by the tree's number. Besides
-    trees, one histogram per node of a level is what reaches the driver. Up to ``task_rows`` rows are
-    boosted within one task. ``cuts`` of the inputs and the ``base`` log-odds are found unless given.
+    trees, one histogram per node of a level is what reaches the driver, and none where the tasks exchange
+    them. Up to ``task_rows`` rows are boosted within one task. ``cuts`` of the inputs and the ``base`` log-odds are found unless given.
     """
     sums = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(f"`{label}`").cast("double")).alias("pos")).first()
     if not sums["n"]:
@@ -549,6 +688,9 @@ def boost(
     if tasks > 1:  # all cores take part
         tasks = max(tasks, min(df.sparkSession.sparkContext.defaultParallelism, sums["n"] // _FEWEST_ROWS))
     blocks = binned(df, inputs, cuts, label=label, draw=F.xxhash64(F.col(f"`{id_column}`")), base=base)
+    slots = _side_by_side(df.sparkSession) if tasks > 1 else 0
+    if slots > 1 and sums["n"] <= slots * _KEPT_ROWS:
+        return Forest(_boosted_together(blocks, min(tasks, slots), cuts, p, inputs), base, tuple(inputs))
     # Blocks are few and large; dealt out anew they keep all tasks busy in each of the many passes.
     state = materialise(blocks.repartition(tasks), "binned")
     if tasks == 1:
