@@ -1,3 +1,4 @@
+import glob
 import math
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import executed_plan, values
 from tidemark import engineer_features, split_summary, time_split
 from tidemark.operators.split import expanded_window, split_integrity
+from tidemark.session import work_dir
 from tidemark.sources.loans import VIEW_SETTINGS
 
 
@@ -58,3 +60,21 @@ def test_rows_only_in_one_equals_both_differences(spark):
     swapped = spark.createDataFrame([("a", None)], "y string, z string"), spark.createDataFrame([(None, "a")], "y string, z string")
     assert split.rows_only_in_one(*swapped).count() == 2
     assert split.rows_only_in_one(left, left.unionAll(left.limit(1))).count() == 1
+
+
+def test_rows_that_mostly_differ_are_compared_by_one_shuffle(spark):
+    """No copy of either side is written, and each row is moved once."""
+    from tidemark.operators import split
+
+    left = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, null, id % 7) as x", "'a' as t")
+    right = left.withColumn("x", F.col("x") + F.when(F.col("id") % 2 == 0, 1).otherwise(0)).unionAll(left.where("id = 1"))
+    written = lambda: set(glob.glob(f"{work_dir(spark)}/bucketed-*"))
+    before = written()
+    found = split.rows_only_in_one(left, right)
+    assert 2 * len(split.differing_buckets(left, right)) > split.BUCKETS and written() == before
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    # Even ids whose x is known stand on both sides, and the repeated row on one.
+    assert found.count() == 2 * left.where("id % 2 = 0 and x is not null").count() + 1
+    few = split.rows_only_in_one(left, left.where("id <> 5"))
+    assert values(few) == [(5, 5, "a")] and written() != before
